@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from routescope.plans import q_scalar  # noqa: F401
-from routescope.plans.registry import ORACLES, QUERIES  # noqa: F401
+from routescope.plans import q_hijack, q_joins, q_scalar  # noqa: F401
+from routescope.plans.registry import QUERIES, oracles  # noqa: F401

@@ -91,7 +91,7 @@ def add_view(name: str, body: str) -> None:
 
 def _needed(body: str, have: list[str]) -> list[str]:
     for name in VIEWS:
-        if name not in have and re.search(rf"\b{name}\b", body):
+        if name not in have and re.search(rf"\b(FROM|JOIN)\s+{name}\b", body):
             _needed(VIEWS[name], have)
             if name not in have:
                 have.append(name)

@@ -31,20 +31,22 @@ def local_session(app: str = "routescope", cpus: int | str = "*", partitions: in
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only for local runs."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only for local runs."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="routescope-ckpt-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="routescope-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,5 +1,8 @@
 """Routing-shaped views of the supplied tables.
 
+``derive_*`` state the views; ``paths``, ``updates``, ``prefix2as``, ``asrel`` and
+``asprob`` are those views landed once in the shared folder (see ``landing``).
+
 Nothing here is collected or broadcast by hint. A path is the hops of an order, one
 per line number, so it is short however many lines an order has: the first grouping,
 combined before the shuffle, leaves one row per (order, line number).
@@ -12,13 +15,14 @@ from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
 from routescope.functions import times as T
+from routescope.sources.landing import landed
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def paths(spark: SparkSession, folder: str) -> DataFrame:
+def derive_paths(spark: SparkSession, folder: str) -> DataFrame:
     """(l_orderkey, raw, hops): raw repeats a hop whose line has a large quantity."""
     hops = (
         table(spark, folder, "lineitem")
@@ -50,7 +54,7 @@ def _subnet(user: Column, tail: str) -> Column:
     return F.concat(high, F.lit("."), mid, F.lit("."), F.pmod(user, F.lit(256)).cast("string"), F.lit(".0"), F.lit(tail))
 
 
-def updates(spark: SparkSession, folder: str) -> DataFrame:
+def derive_updates(spark: SparkSession, folder: str) -> DataFrame:
     """Update messages: an event carries the path of the order with its number."""
     e = table(spark, folder, "events")
     user = F.col("user_id")
@@ -70,10 +74,37 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
             user.alias("user_id"),
         )
         .withColumn("origin_as", P.origin(F.col("hops")))
+        .withColumn("date", F.col("ts").cast("date"))
     )
 
 
+def _time_ordered_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """Split by time, so each task writes one or two days, a busy day is spread over
+    several files, and the files' time bounds are narrow."""
+    return derive_updates(spark, folder).repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
+
+
+def paths(spark: SparkSession, folder: str) -> DataFrame:
+    return landed(spark, folder, "paths", derive_paths)
+
+
+def updates(spark: SparkSession, folder: str) -> DataFrame:
+    return landed(spark, folder, "updates", _time_ordered_updates, ("date",))
+
+
 def prefix2as(spark: SparkSession, folder: str) -> DataFrame:
+    return landed(spark, folder, "prefix2as", derive_prefix2as)
+
+
+def asrel(spark: SparkSession, folder: str) -> DataFrame:
+    return landed(spark, folder, "asrel", derive_asrel)
+
+
+def asprob(spark: SparkSession, folder: str) -> DataFrame:
+    return landed(spark, folder, "asprob", derive_asprob)
+
+
+def derive_prefix2as(spark: SparkSession, folder: str) -> DataFrame:
     """(prefix, ord, origin): /24s of even users, with a second owner on every fourth,
     and a /16 over every block of users."""
     a = updates(spark, folder).where("aw = 'A'")
@@ -108,7 +139,7 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
-def asrel(spark: SparkSession, folder: str) -> DataFrame:
+def derive_asrel(spark: SparkSession, folder: str) -> DataFrame:
     """Relationship edges; a quarter of the observed links has none."""
     x = F.pmod(3 * F.col("lo") + 5 * F.col("hi"), F.lit(8))
     lo, hi = F.col("lo").cast("string"), F.col("hi").cast("string")
@@ -124,7 +155,7 @@ def asrel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def asprob(spark: SparkSession, folder: str) -> DataFrame:
+def derive_asprob(spark: SparkSession, folder: str) -> DataFrame:
     """Link probabilities in numeric order of the ends; some links are unknown."""
     x = F.pmod(7 * F.col("lo") + 3 * F.col("hi"), F.lit(11))
     return (
