@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routescope.operators import frequency, hijack, prefix_join
+from routescope.functions.paths import touched_asns
+from routescope.functions.text import parse_as_list
+from routescope.functions.times import from_seconds, seconds, text
+from routescope.operators import baselines, features, frequency, hijack, intervals, prefix_join
 
 ALERT_COLUMNS = (
     "type", "seq", "ts", "prefix", "origin_as", "as_path", "target_as", "victim_as", "hijacker_as", "confidence",
@@ -65,3 +68,45 @@ def revalidate(alerts: DataFrame, updates: DataFrame, threshold: float = 0.001)
     return keyed.join(verdicts, ["as1", "as2"]).withColumns(
         {"is_legitimate": legit, "detection_status": F.when(legit, "legitimate").otherwise("confirmed")}
     )
+
+
+# Columns of the per-event feature table, in file order.
+CSV_FEATURES = (
+    "announcement_count", "withdrawal_count", "flapping_prefix_count", "ori_change_rate", "path_change_rate",
+    "dup_A_rate", "avg_arrival_interval", "editDis_entropy", "unique_as_count", "avg_path_length",
+)
+
+
+def event_series(updates: DataFrame, events: DataFrame, bucket: int = 300, around: str = "INTERVAL 1 DAY") -> DataFrame:
+    """Feature series of every event's own ASes, from a day before it to a day after.
+
+    All events share one pass over the updates.
+    """
+    wide = events.select(
+        "event_name",
+        (F.col("start") - F.expr(around)).alias("start"),
+        (F.col("end") + F.expr(around)).alias("end"),
+        F.explode(parse_as_list(F.col("outage_as"))).alias("asn"),
+    )
+    columns = features.FEATURE_INPUT
+    touched = updates.select(*columns, F.explode(touched_asns(F.col("peer_as"), F.col("hops"))).alias("asn"))
+    rows = intervals.in_windows(touched, wide, on=["asn"]).select(F.col("event_name").alias("target"), *columns)
+    return features.feature_series(rows.dropDuplicates(["target", "seq"]), bucket)
+
+
+def event_anomalies(updates: DataFrame, events: DataFrame, bucket: int = 300) -> DataFrame:
+    """Which features of an event's ASes departed from the day before it."""
+    series = event_series(updates, events, bucket)
+    times = events.select(F.col("event_name").alias("target"), "event_name", seconds(F.col("start")).alias("s0"),
+                          seconds(F.col("end")).alias("s1"))
+    long = baselines.long_form(series.join(times, "target"), ["event_name", "bucket", "s0", "s1"])
+    base = baselines.stats(long.where("bucket < s0"), ["event_name", "feature"])
+    inside = long.where("bucket BETWEEN s0 AND s1")
+    return baselines.z_anomalies(inside, base, ["event_name", "feature"])
+
+
+def feature_table(series: DataFrame) -> DataFrame:
+    """The chosen features with a readable time, in time order."""
+    return series.select(
+        F.col("target").alias("event_name"), text(from_seconds(F.col("bucket"))).alias("timestamp"), *CSV_FEATURES
+    ).orderBy("event_name", "timestamp")
