@@ -38,7 +38,7 @@ def relationship_summary(edges: DataFrame) -> DataFrame:
     A list holds at most every other AS; edges are distinct before they are gathered.
     """
     def listed(kind: str):
-        member = F.when(F.col("kind") == kind, F.col("other").cast("bigint"))
+        member = F.when(F.col("kind") == kind, F.col("other").try_cast("bigint"))
         return F.array_sort(F.collect_list(member)).alias(f"{kind}s")
 
     g = neighbours(edges).groupBy("asn").agg(*[listed(k) for k in ("provider", "peer", "customer")])

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from routescope.functions.paths import touched_asns
 from routescope.functions.text import parse_as_list
-from routescope.functions.times import from_seconds, seconds, text
-from routescope.operators import baselines, features, frequency, hijack, intervals, prefix_join
+from routescope.functions.times import extended_window, from_seconds, seconds, text
+from routescope.operators import baselines, features, frequency, hijack, intervals, learned, prefix_join
+from routescope.operators import sequences as Q
+from routescope.operators import traffic as TR
+from routescope.session import cut_lineage
 
 ALERT_COLUMNS = (
     "type", "seq", "ts", "prefix", "origin_as", "as_path", "target_as", "victim_as", "hijacker_as", "confidence",
@@ -110,3 +113,77 @@ def feature_table(series: DataFrame) -> DataFrame:
     return series.select(
         F.col("target").alias("event_name"), text(from_seconds(F.col("bucket"))).alias("timestamp"), *CSV_FEATURES
     ).orderBy("event_name", "timestamp")
+
+
+def widened(windows: DataFrame) -> DataFrame:
+    """Windows from a day before to six hours after."""
+    start, end = extended_window(F.col("start"), F.col("end"))
+    return windows.withColumns({"start": start, "end": end})
+
+
+def _modes(traffic: DataFrame, windows: DataFrame, periods: DataFrame) -> DataFrame:
+    """(series, event_name, mode): the period to compare with; series without one fall
+    back to weekly when two earlier weeks have data."""
+    weeks = TR.history(traffic, windows, 7 * 86400, 4).groupBy(*TR.KEY).agg(F.count_distinct("period").alias("weeks"))
+    keys = traffic.select("series").distinct().join(periods, "series", "left")
+    cases = TR.current_points(traffic, windows).select(*TR.KEY).distinct().join(keys, "series").join(weeks, TR.KEY, "left")
+    named = F.coalesce("period_name", F.lit("none"))
+    mode = F.when(named.isin("daily", "weekly"), named).when(F.col("weeks") >= 2, "weekly").otherwise("none")
+    return cases.select(*TR.KEY, mode.alias("mode"))
+
+
+def traffic_points(traffic: DataFrame, windows: DataFrame, periods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points with mean and std, the history behind them, points without history)."""
+    modes = _modes(traffic, windows, periods)
+    current = TR.current_points(traffic, windows)
+    past = None
+    for name, (n, gap) in (("daily", (7, 86400)), ("weekly", (4, 7 * 86400))):
+        rows = TR.history(traffic, windows, gap, n).join(modes.where(F.col("mode") == name).select(*TR.KEY), TR.KEY, "left_semi")
+        past = rows if past is None else past.unionByName(rows)
+    alone = current.join(modes.where("mode = 'none'").select(*TR.KEY), TR.KEY, "left_semi")
+    return TR.align_by_position(current, past), past, alone
+
+
+def traffic_anomalies(traffic: DataFrame, windows: DataFrame, periods: DataFrame, forest: bool = True) -> DataFrame:
+    """Anomalous points of every series in every window, by the detector its period calls for."""
+    points, past, alone = traffic_points(traffic, windows, periods)
+    return _anomalies(points, past, alone, forest)
+
+
+def _anomalies(points: DataFrame, past: DataFrame, alone: DataFrame, forest: bool) -> DataFrame:
+    odd = learned.isolation_forest(points, past) if forest else None
+    shape = [*TR.KEY, "idx", "method", "confidence", "severity", "z"]
+    found = TR.combined(points, odd).select(*shape)
+    rest = TR.non_periodic(alone, TR.KEY).withColumn("method", F.lit("combined_non_periodic")).select(*shape)
+    return found.unionByName(rest)
+
+
+def traffic_job(
+    traffic: DataFrame, windows: DataFrame, periods: DataFrame, forest: bool = True
+) -> DataFrame:
+    """Per (series, event): number of anomalies and of windows, change against history, and
+    the widened time span of the anomalies.
+
+    The points and the anomalies are each used several times, so both are saved first.
+    """
+    wide = widened(windows)
+    points, past, alone = traffic_points(traffic, wide, periods)
+    points = cut_lineage(points)
+    found = cut_lineage(_anomalies(points, past, alone, forest))
+    counts = found.groupBy(*TR.KEY).agg(F.count("*").alias("anomaly_count"))
+    spans = Q.run_windows(found, TR.KEY).groupBy(*TR.KEY).agg(F.count("*").alias("windows"), F.max("points").alias("longest"))
+    grown = TR.expand_boundaries(found, points)
+    cases = TR.current_points(traffic, wide).select(*TR.KEY).distinct()
+    joined = cases.join(TR.statistics(points), TR.KEY, "left").join(counts, TR.KEY, "left").join(spans, TR.KEY, "left")
+    joined = joined.join(grown.select(*TR.KEY, F.col("start").alias("anomaly_start"), F.col("end").alias("anomaly_end")), TR.KEY, "left")
+    numbers = ["anomaly_count", "windows", "longest", "data_points", "current_avg", "historical_avg", "percent_change"]
+    return joined.fillna(0, numbers).withColumn("anomalies_detected", F.col("anomaly_count") > 0)
+
+
+def role_job(points: DataFrame, threshold: float = 2.5) -> DataFrame:
+    """Role-aware anomalies; series where none are found are looked at by the combined
+    detector at ``threshold``."""
+    mine = TR.role_anomalies(points).select(*TR.KEY, "idx", "severity", F.lit("role").alias("found_by"))
+    silent = points.join(mine.select(*TR.KEY).distinct(), TR.KEY, "left_anti")
+    rest = TR.combined(silent, None, threshold).select(*TR.KEY, "idx", "severity", F.lit("combined").alias("found_by"))
+    return mine.unionByName(rest)

@@ -218,6 +218,10 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def traffic(spark: SparkSession, folder: str, step: int = 3600) -> DataFrame:
+    return landed(spark, folder, f"traffic_{step}", lambda s, f: derive_traffic(s, f, step))
+
+
+def derive_traffic(spark: SparkSession, folder: str, step: int = 3600) -> DataFrame:
     """(series, idx, ts, value): one point per step, empty steps 0, scaled to the series' top.
 
     A series has one row per step of the covered time, so it is bounded by the length
@@ -236,5 +240,5 @@ def traffic(spark: SparkSession, folder: str, step: int = 3600) -> DataFrame:
         "series",
         F.expr(f"(t - t0) div {step}").alias("idx"),
         T.from_seconds(F.col("t")).alias("ts"),
-        F.coalesce(F.col("v") / F.col("top"), F.lit(0.0)).alias("value"),
+        F.coalesce(F.try_divide("v", "top"), F.lit(0.0)).alias("value"),
     )
