@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from routescope.functions.paths import touched_asns
 from routescope.functions.text import parse_as_list
 from routescope.functions.times import extended_window, from_seconds, seconds, text
-from routescope.operators import baselines, features, frequency, hijack, intervals, learned, prefix_join
+from routescope.operators import baselines, features, frequency, hijack, intervals, leak, learned, links, prefix_join
 from routescope.operators import sequences as Q
 from routescope.operators import traffic as TR
 from routescope.session import cut_lineage
@@ -187,3 +187,19 @@ def role_job(points: DataFrame, threshold: float = 2.5) -> DataFrame:
     silent = points.join(mine.select(*TR.KEY).distinct(), TR.KEY, "left_anti")
     rest = TR.combined(silent, None, threshold).select(*TR.KEY, "idx", "severity", F.lit("combined").alias("found_by"))
     return mine.unionByName(rest)
+
+
+def leak_job(announcements: DataFrame, asprob: DataFrame, windows: DataFrame, targets: DataFrame,
+             threshold: float = leak.THRESHOLD) -> DataFrame:
+    """Per (target, event): announcements in the window, those crossing the target, leaks."""
+    cases = windows.select("event_name", "start", "end", "target")
+    total = intervals.in_windows(announcements.select("ts"), windows.select("event_name", "start", "end").distinct())
+    totals = total.groupBy("event_name").agg(F.count("*").alias("total"))
+    found = leak.candidates(announcements, cases, targets)
+    scored = found.join(links.leak_scores(found, asprob), "hops", "left")
+    counts = scored.groupBy("target", "event_name").agg(
+        F.count("*").alias("filtered"), F.count_if(F.round("prob", 9) < threshold).alias("leaks")
+    )
+    return cases.select("target", "event_name").distinct().join(totals, "event_name", "left").join(
+        counts, ["target", "event_name"], "left"
+    ).fillna(0, ["total", "filtered", "leaks"])
