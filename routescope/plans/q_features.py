@@ -404,8 +404,8 @@ WHERE round(b.std, 9) > 0 AND abs(round((e.value - b.mean) / b.std, 9)) >= 3.0""
 )
 
 
-@query(
-    "F7_outage_job",
+add_view(
+    "outages",
     """SELECT target, event_name, buckets, anomalies, round(score, 6) AS score, round(slide_max, 6) AS slide_max, buckets >= 6 AND (fin >= 0.25 OR anomalies >= 2 OR odd >= 3) AS suspected,
          round(CASE WHEN buckets < 6 THEN 0.0 WHEN fin >= 0.25 THEN fin WHEN anomalies >= 2 THEN greatest(fin, 0.4) WHEN odd >= 3 THEN greatest(fin, 0.35) ELSE fin END, 6)::DOUBLE AS outage_score
        FROM (SELECT target, event_name, buckets, anomalies, odd, score, slide_max, greatest(score, slide_max) AS fin FROM (
@@ -416,6 +416,9 @@ WHERE round(b.std, 9) > 0 AND abs(round((e.value - b.mean) / b.std, 9)) >= 3.0""
            ON x.target = t.target AND x.event_name = t.event_name
          LEFT JOIN (SELECT target, event_name, max(score) AS m FROM dwinscore GROUP BY 1, 2) w ON w.target = t.target AND w.event_name = t.event_name))""",
 )
+
+
+@query("F7_outage_job", "SELECT * FROM outages")
 def f7(spark, d):
     r = O.detect(series(spark, d), events(spark, d), "daily", WIDE)
     return rounded(r.select(*BY, "buckets", "anomalies", "score", "slide_max", "suspected", "outage_score"), "score", "slide_max", "outage_score")

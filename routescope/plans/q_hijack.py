@@ -11,6 +11,7 @@ from routescope.plans import jobs
 from routescope.plans.registry import query
 from routescope.plans.sqlviews import add_view
 from routescope.sources import adapters as A
+from routescope.sources.landing import landed
 
 c = F.col
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -56,12 +57,17 @@ def origin_alerts(spark, d):
     return hijack.origin_hijacks(announcements(spark, d), A.prefix2as(spark, d), A.targets(spark, d))
 
 
-def all_alerts(spark, d):
+def _alerts(spark, d):
     return jobs.hijack_alerts(
         announcements(spark, d), A.asrel(spark, d), A.prefix2as(spark, d), A.targets(spark, d)
     )
 
 
+def all_alerts(spark, d):
+    """Reports read the stored alerts, as they would those of an earlier detection run."""
+    return landed(spark, d, "alerts", _alerts)
+
+
 @query(
     "F1_origin_hijack",
     f"""SELECT type, seq, strftime(ts, {FMT}) AS ts, prefix, checked_prefix, origin_as, target_as,

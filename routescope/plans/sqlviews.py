@@ -22,7 +22,7 @@ SELECT e.event_id AS seq, date_trunc('second', e.ts) AS ts,
          || CASE WHEN e.value >= 100 THEN '/25' ELSE '/24' END AS prefix,
        CASE WHEN e.event_type <> 'error' THEN array_to_string(p.raw, ' ') ELSE '' END AS as_path,
        CASE WHEN e.event_type <> 'error' THEN p.hops ELSE CAST([] AS VARCHAR[]) END AS hops,
-       e.user_id AS user_id,
+       e.user_id AS user_id, e.value AS volume,
        CASE WHEN e.event_type <> 'error' THEN p.hops[len(p.hops)] END AS origin_as,
        CAST(epoch_us(date_trunc('second', e.ts)) // 1000000 AS BIGINT) AS s
 FROM events e JOIN paths p ON e.event_id = p.l_orderkey""",

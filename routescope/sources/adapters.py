@@ -72,6 +72,7 @@ def derive_updates(spark: SparkSession, folder: str) -> DataFrame:
             F.when(announced, F.array_join("raw", " ")).otherwise("").alias("as_path"),
             F.when(announced, F.col("hops")).otherwise(empty).alias("hops"),
             user.alias("user_id"),
+            F.col("value").alias("volume"),
         )
         .withColumn("origin_as", P.origin(F.col("hops")))
         .withColumn("date", F.col("ts").cast("date"))
