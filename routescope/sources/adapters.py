@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
 from routescope.functions import times as T
-from routescope.sources.landing import landed
+from routescope.sources.landing import landed, landed_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +93,10 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
     return landed(spark, folder, "updates", _time_ordered_updates, ("date",))
 
 
+def updates_path(spark: SparkSession, folder: str) -> str:
+    return landed_path(spark, folder, "updates", _time_ordered_updates, ("date",))
+
+
 def prefix2as(spark: SparkSession, folder: str) -> DataFrame:
     return landed(spark, folder, "prefix2as", derive_prefix2as)
 

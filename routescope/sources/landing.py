@@ -10,6 +10,7 @@ loss of an executor costs nothing but a re-read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,12 @@ from routescope.session import shared_folder
 _landed: dict[tuple[str, str, str], str] = {}
 
 
-def landed(
+def landed_path(
     spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame],
     partition_by: tuple[str, ...] = (),
-) -> DataFrame:
-    """The table ``name`` derived from ``folder``, built at its first use in this application."""
+) -> str:
+    """Where the table ``name`` derived from ``folder`` lies; built at its first use in this
+    application."""
     app = spark.sparkContext.applicationId
     key = (app, folder, name)
     if key not in _landed:
@@ -31,4 +33,17 @@ def landed(
         path = f"{shared_folder(spark).rstrip('/')}/routescope/{app}/{tag}/{name}"
         build(spark, folder).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _landed[key] = path
-    return spark.read.parquet(_landed[key])
+    return _landed[key]
+
+
+def landed(
+    spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame],
+    partition_by: tuple[str, ...] = (),
+) -> DataFrame:
+    return spark.read.parquet(landed_path(spark, folder, name, build, partition_by))
+
+
+def fresh_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder of its own in the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/routescope/{app}/{purpose}-{uuid.uuid4().hex[:12]}"
