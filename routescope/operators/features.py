@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from routescope.functions import paths as P
 from routescope.functions import times as T
 from routescope.operators.reports import first_rows
+from routescope.session import cut_lineage
 
 FEATURE_INPUT = ["seq", "ts", "aw", "peer_as", "prefix", "as_path", "hops"]
 
@@ -52,20 +53,38 @@ def _before(rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFra
     return rows.withColumns({new: F.last(old, ignorenulls=True).over(w) for new, old in values.items()})
 
 
+def busy_keys(rows: DataFrame, keys: list[str], more_than: int = 1_000_000) -> DataFrame:
+    """Keys of more than ``more_than`` rows; counts combine before the shuffle. The few
+    found are saved, so that asking whether there are any costs nothing twice."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than)
+    return cut_lineage(counts.select(*keys))
+
+
 def before_across(
-    rows: DataFrame, keys: list[str], values: dict[str, str], piece: int = 3600
+    rows: DataFrame, keys: list[str], values: dict[str, str], piece: int = 3600, busy: DataFrame | None = None
 ) -> DataFrame:
-    """As ``_before`` over a whole history, without giving one task a whole key.
+    """As ``_before`` over a whole history, without giving one task a busy key.
+
+    Busy keys have their history cut into pieces of ``piece`` seconds. Inside a piece the
+    window does the work; the last value of each piece, one row per busy key and piece, is
+    carried to the later ones. A prefix with a third of all messages is so worked on by
+    as many tasks as it has pieces, and quiet keys cost nothing extra.
 
-    The history is cut into pieces of ``piece`` seconds. Inside a piece the window does the
-    work; the last value of each piece (one row per key and piece, combined before the
-    shuffle) is carried to the later ones. Rows stay spread by (key, piece), so a prefix
-    with a third of all messages is worked on by as many tasks as it has pieces.
+    ``busy`` lists busy values of some of the key columns; without it they are counted.
+    Counting on the source of ``rows`` is cheaper than on ``rows``.
     """
-    cut = rows.withColumn("_piece", F.floor(T.seconds(_c("ts")) / piece))
+    busy = busy_keys(rows, keys) if busy is None else busy
+    if busy.isEmpty():
+        return _before(rows, keys, values)
+    some = busy.columns
+    same = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in some]
+    named = busy.select(*[_c(k).alias(f"_{k}") for k in some], F.lit(True).alias("_busy"))
+    cut = rows.join(named, same, "left").withColumn(
+        "_piece", F.when(_c("_busy"), F.floor(T.seconds(_c("ts")) / piece)).otherwise(F.lit(-1).cast("bigint"))
+    ).drop("_busy", *[f"_{k}" for k in some])
     inside = _before(cut, [*keys, "_piece"], values)
     order = F.struct("ts", "seq")
-    tails = cut.groupBy(*keys, "_piece").agg(
+    tails = cut.where("_piece >= 0").groupBy(*keys, "_piece").agg(
         *[F.max_by(old, F.when(_c(old).isNotNull(), order)).alias(f"_{new}") for new, old in values.items()]
     )
     w = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,18 +96,23 @@ def before_across(
     return filled.drop("_piece", *[f"_{new}" for new in values])
 
 
-def route_changes(rows: DataFrame, scope: str = "file", bucket: int = 300, piece: int = 3600) -> DataFrame:
+def route_changes(
+    rows: DataFrame, scope: str = "file", bucket: int = 300, piece: int = 3600, busy: DataFrame | None = None
+) -> DataFrame:
     """Per message, how it changes the route of its (target, prefix).
 
-    ``scope='file'`` forgets the state at each bucket, ``'global'`` keeps it. A withdrawal
-    clears the path but not the origin.
+    ``scope='file'`` forgets the state at each bucket, ``'global'`` keeps it; ``busy`` and
+    ``piece`` say how the global history of busy prefixes is cut. A withdrawal clears the
+    path but not the origin.
     """
-    s = _state(rows).withColumn("bucket", T.bucket_seconds(_c("ts"), bucket))
+    s = _state(rows)
+    if "bucket" not in rows.columns:
+        s = s.withColumn("bucket", T.bucket_seconds(_c("ts"), bucket))
     values = {"prev": "left_state", "prev_origin": "origin"}
     if scope == "file":
         s = _before(s, ["target", "prefix", "bucket"], values)
     elif scope == "global":
-        s = before_across(s, ["target", "prefix"], values, piece)
+        s = before_across(s, ["target", "prefix"], values, piece, busy)
     else:
         raise ValueError(f"scope is 'file' or 'global', not {scope!r}")
     live = _c("has_path") & (_c("prev.aw") == "A")
@@ -117,14 +141,16 @@ def _rate(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
 
-def feature_series(rows: DataFrame, bucket: int = 300, scope: str = "file") -> DataFrame:
+def feature_series(
+    rows: DataFrame, bucket: int = 300, scope: str = "file", busy: DataFrame | None = None
+) -> DataFrame:
     """One row per (target, bucket) with all features; ``bucket`` is in epoch seconds.
 
     Each message is listed under its prefix and under every value counted distinct (hops,
     peer, edit distance). Grouping that list by value and then by bucket yields counts,
     distinct counts and entropy together; both groupings combine before their shuffle.
     """
-    s = route_changes(rows, scope, bucket)
+    s = route_changes(rows, scope, bucket, busy=busy)
 
     def entry(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))

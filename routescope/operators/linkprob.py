@@ -51,20 +51,22 @@ def core_links(counted: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
     Only still-possible meetings are carried on, so the rounds get smaller.
     """
-    alive_meetings = cut_lineage(meetings(counted))
-    before, rounds = -1, 0
-    while True:
-        both = alive_meetings.select("as1", "as2", "meet").distinct().groupBy("as1", "as2").agg(F.count("*").alias("ends"))
-        alive = cut_lineage(both.where("ends = 2").select("as1", "as2"))
-        n = alive.count()
-        rounds += 1
-        if n == before or rounds == max_rounds:
-            return alive
-        before = n
-        other = alive.toDF("n1", "n2")
-        alive_meetings = cut_lineage(
-            alive_meetings.join(alive, ["as1", "as2"], "left_semi").join(other, ["n1", "n2"], "left_semi")
+    left = cut_lineage(meetings(counted))
+    rounds = 0
+    while rounds != max_rounds:
+        dead = cut_lineage(_ends(left).where("first_end = last_end").select("as1", "as2"))
+        if dead.isEmpty():
+            break
+        left = cut_lineage(
+            left.join(dead, ["as1", "as2"], "left_anti").join(dead.toDF("n1", "n2"), ["n1", "n2"], "left_anti")
         )
+        rounds += 1
+    return _ends(left).where("first_end <> last_end").select("as1", "as2")
+
+
+def _ends(meets: DataFrame) -> DataFrame:
+    """Per link the ends it meets others at; the two differ when it does at both."""
+    return meets.groupBy("as1", "as2").agg(F.min("meet").alias("first_end"), F.max("meet").alias("last_end"))
 
 
 def _flagged(counted: DataFrame, core: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -149,6 +151,7 @@ def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000,
     All links are redrawn at once from their neighbours' last states, by a draw fixed by
     link and sweep, so a lost task redraws the same. Tallies travel with the states.
     """
+    contexts = cut_lineage(contexts)  # read in every sweep
     state = start.withColumns({k: F.lit(0).cast("bigint") for k in ("down", "flat", "up")})
     ctx = contexts.withColumns(
         {
@@ -178,7 +181,7 @@ def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000,
             (F.col("flat") + F.when(F.col("rel") == 0, 1).otherwise(0)).alias("flat"),
             (F.col("up") + F.when(F.col("rel") == 1, 1).otherwise(0)).alias("up"),
         )
-        if sweep % save_every == 0:
+        if sweep % save_every == 0 or sweep == sweeps:
             state = cut_lineage(state)
     total = F.col("down") + F.col("flat") + F.col("up")
     return state.select(

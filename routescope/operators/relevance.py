@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
+from routescope.functions import times as T
 
 
 def relevant_updates(
-    updates: DataFrame, targets: DataFrame, columns: list[str], one_as_per_target: bool = False
+    updates: DataFrame, targets: DataFrame, columns: list[str], bucket: int | None = None
 ) -> DataFrame:
     """``columns`` of every update with each target it concerns, once.
 
-    An update concerns a target when its peer or a hop is one of the target's ASes.
-    Only AS numbers and the wanted columns travel; a target of a single AS can match an
-    update once, so no duplicates need removing there.
+    An update concerns a target when its peer or a hop is one of the target's ASes. Only
+    AS numbers and the wanted columns travel.
+
+    With ``bucket`` (seconds) the rows come spread by target, prefix and bucket, with the
+    bucket as a column: removing repeats and the per-bucket route state then need no
+    further shuffle.
     """
     touched = updates.select(
         *columns, F.explode(P.touched_asns(F.col("peer_as"), F.col("hops"))).alias("asn")
     )
     matched = touched.join(targets.select("target", "asn").distinct(), "asn").select("target", *columns)
-    if one_as_per_target:
-        return matched
-    return matched.dropDuplicates(["target", "seq"])
+    if bucket is None:
+        return matched.dropDuplicates(["target", "seq"])
+    place = ["target", "prefix", "bucket"]
+    spread = matched.withColumn("bucket", T.bucket_seconds(F.col("ts"), bucket)).repartition(*place)
+    return spread.dropDuplicates([*place, "seq"])

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from routescope.functions import times as T
 
 
-def gaps(rows: DataFrame, keys: list[str], piece: int = 3600) -> DataFrame:
+def gaps(rows: DataFrame, keys: list[str], piece: int = 3600, busy: DataFrame | None = None) -> DataFrame:
     """Adds ``gap``, the seconds since the previous row of the group.
 
-    Groups are cut into pieces of time; the last second of each piece is carried on.
+    Busy groups are cut into pieces of time; the last second of each piece is carried on.
     """
     from routescope.operators.features import before_across
 
     timed = rows.withColumn("_t", T.seconds(F.col("ts")))
-    return before_across(timed, keys, {"_before": "_t"}, piece).withColumn(
+    return before_across(timed, keys, {"_before": "_t"}, piece, busy).withColumn(
         "gap", F.col("_t") - F.col("_before")
     ).drop("_t", "_before")
 

@@ -15,6 +15,7 @@ from routescope.plans import jobs
 from routescope.plans.registry import query
 from routescope.plans.sqlviews import add_view
 from routescope.sources import adapters as A
+from routescope.sources.landing import landed
 
 c = F.col
 WIDE = 21600  # buckets of six hours suit the density of the supplied events
@@ -103,18 +104,28 @@ def relevant(spark, d):
     return relevant_updates(A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT)
 
 
+def busy_prefixes(spark, d):
+    return FE.busy_keys(A.updates(spark, d), ["prefix"])
+
+
+def _series(spark, d):
+    rows = relevant_updates(A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT, bucket=WIDE)
+    return FE.feature_series(rows, WIDE)
+
+
 def series(spark, d):
-    return FE.feature_series(relevant(spark, d), WIDE)
+    """The feature table, stored once; baselines, anomalies and outages read it."""
+    return landed(spark, d, "feature_series", _series)
 
 
 @query("D2_feature_series", shown("fser"))
 def d2(spark, d):
-    return show(series(spark, d))
+    return show(_series(spark, d))
 
 
 @query("D2_feature_series_global_state", shown("gser"))
 def d2g(spark, d):
-    return show(FE.feature_series(relevant(spark, d), WIDE, scope="global"))
+    return show(FE.feature_series(relevant(spark, d), WIDE, scope="global", busy=busy_prefixes(spark, d)))
 
 
 @query(
@@ -278,7 +289,7 @@ def d10(spark, d):
 
 # ------------------------------------------------ route state, message by message
 def changes(spark, d):
-    return FE.route_changes(relevant(spark, d), "global", WIDE)
+    return FE.route_changes(relevant(spark, d), "global", WIDE, busy=busy_prefixes(spark, d))
 
 
 @query(
