@@ -105,10 +105,10 @@ def delete(spark, path: str, condition: Column, scratch: str) -> int:
     touched = docs.join(dates, "date", "left_semi")
     without(touched, condition).write.mode("overwrite").partitionBy("date").parquet(scratch)
     kept = spark.read.schema(docs.schema).parquet(scratch)
+    # at most one entry per calendar day; asked before the files behind it are replaced
+    emptied = [r["date"] for r in dates.join(kept.select("date").distinct(), "date", "left_anti").collect()]
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    empty = [r["date"] for r in dates.join(kept.select("date").distinct(), "date", "left_anti").collect()]
-    for day in empty:  # at most one entry per calendar day
-        docs.limit(0).drop("date").write.mode("overwrite").parquet(f"{path}/date={day}")
+    nothing = spark.createDataFrame([], docs.drop("date").schema)
+    for day in emptied:
+        nothing.write.mode("overwrite").parquet(f"{path}/date={day}")
     return n
-
-

@@ -126,9 +126,16 @@ def undecoded(raw: DataFrame, decoded: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content, length) of the files of a folder."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "content", "length"
+    """(name, content, length) of the files of a folder.
+
+    A scan leaves empty files out, so the folder's listing, one name per file, goes beside it.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    names = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in files.inputFiles()], "name string")
+    read = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", "length")
+    nothing = F.to_binary(F.lit(""), F.lit("utf-8"))
+    return names.join(read, "name", "left").select(
+        "name", F.coalesce("content", nothing).alias("content"), F.coalesce("length", F.lit(0).cast("bigint")).alias("length")
     )
 
 
