@@ -31,13 +31,13 @@ def feed(spark, tmp_path, parts=PARTS):
 
 
 def test_counts_drop_late_rows(spark, tmp_path):
-    folder = feed(spark, tmp_path, [*PARTS, [(10, 6, "A", "q", "1 4")]])
+    folder = feed(spark, tmp_path, [*PARTS, [(10, 5100, "A", "q", "1 4")], [(11, 6, "A", "q", "1 4")]])
     s = J.update_stream(spark, folder, batch(spark, PARTS[0]).schema, max_files=1)
     q = J.run_to_table(J.bucket_counts(s, []), str(tmp_path / "out"))
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/table"))
     counts = {r["bucket"].minute: (r["announcement_count"], r["withdrawal_count"]) for r in got.collect()}
-    # row 8 comes in the batch that moves the watermark past it and still counts; row 10 is late
+    # row 8 comes in the batch that moves the watermark past it and still counts; row 11 is late
     assert counts[0] == (3, 1) and J.late_rows(q) == 1
 
 
