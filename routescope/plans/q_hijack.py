@@ -152,27 +152,14 @@ def f3b(spark, d):
     )
 
 
-add_view(
-    "pathn",
-    "SELECT prefix, array_to_string(hops, ' ') AS path, hops, count(*) AS n FROM updates WHERE aw = 'A' GROUP BY 1, 2, 3",
-)
-add_view(
-    "dominant",
-    """SELECT x.prefix, b.expected, b.expected_n, x.hops AS path, x.n FROM pathn x JOIN (
-  SELECT prefix, (list(hops ORDER BY n DESC, hops))[1] AS expected, max(n) AS expected_n FROM pathn GROUP BY prefix) b
-ON b.prefix = x.prefix WHERE x.n >= 2 AND x.hops <> b.expected""",
-)
-
-
 # Paths of a block of networks repeat far more than those of one network do.
 def _by_block(spark, d):
-    u = announcements(spark, d)
-    return u.withColumns({"prefix": F.regexp_extract("prefix", r"^(\d+\.\d+)", 1), "hops": F.slice("hops", 1, 2)})
+    return announcements(spark, d).withColumn("prefix", F.regexp_extract("prefix", r"^(\d+\.\d+)", 1))
 
 
 add_view(
     "bupd",
-    """SELECT regexp_extract(prefix, '^(\\d+\\.\\d+)', 1) AS prefix, hops[1:2] AS hops FROM updates WHERE aw = 'A'""",
+    """SELECT regexp_extract(prefix, '^(\\d+\\.\\d+)', 1) AS prefix, hops FROM updates WHERE aw = 'A'""",
 )
 add_view("bpathn", "SELECT prefix, hops, count(*) AS n FROM bupd GROUP BY 1, 2")
 add_view(

@@ -76,6 +76,17 @@ def read_updates(spark: SparkSession, path: str, announcements_only: bool = Fals
     return typed(split_fields(read_lines(spark, path), announcements_only))
 
 
+def ingest(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Dumps to a table by date, ranged by time so that a busy date is spread over files.
+
+    Run it before operators that read the updates more than once: a line's ``seq`` depends
+    on how a scan packed the files, and is fixed once written.
+    """
+    rows = read_updates(spark, path)
+    rows.repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq").write.mode("append").partitionBy("date").parquet(out)
+    return spark.read.parquet(out)
+
+
 def scan(updates: DataFrame, start: str, end: str) -> DataFrame:
     """Updates from the five-minute mark before ``start`` to ``end`` (ISO texts).
 

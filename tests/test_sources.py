@@ -22,6 +22,8 @@ def test_gzipped_dump_keeps_its_order(spark, tmp_path):
     u = U.read_updates(spark, str(tmp_path))
     assert [r["prefix"] for r in u.orderBy("seq").collect()] == [f"10.0.{i}.0/24" for i in range(40)]
     assert u.select("seq").distinct().count() == 40
+    kept = U.ingest(spark, str(tmp_path), str(tmp_path / "table"))
+    assert U.scan(kept, "2024-01-01 00:00:30", "2024-01-01 00:00:35").count() == 36
 
 
 def test_audit(spark, tmp_path):
