@@ -60,6 +60,16 @@ def busy_keys(rows: DataFrame, keys: list[str], more_than: int = 1_000_000) -> D
     return cut_lineage(counts.select(*keys))
 
 
+def cut_busy(rows: DataFrame, busy: DataFrame, piece: int) -> DataFrame:
+    """Adds ``_piece``: the piece of time a row of a busy key lies in, -1 for quiet keys."""
+    some = busy.columns
+    same = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in some]
+    named = busy.select(*[_c(k).alias(f"_{k}") for k in some], F.lit(True).alias("_busy"))
+    return rows.join(named, same, "left").withColumn(
+        "_piece", F.when(_c("_busy"), F.floor(T.seconds(_c("ts")) / piece)).otherwise(F.lit(-1).cast("bigint"))
+    ).drop("_busy", *[f"_{k}" for k in some])
+
+
 def before_across(
     rows: DataFrame, keys: list[str], values: dict[str, str], piece: int = 3600, busy: DataFrame | None = None
 ) -> DataFrame:
@@ -71,17 +81,15 @@ def before_across(
     as many tasks as it has pieces, and quiet keys cost nothing extra.
 
     ``busy`` lists busy values of some of the key columns; without it they are counted.
-    Counting on the source of ``rows`` is cheaper than on ``rows``.
+    Counting on the source of ``rows`` is cheaper than on ``rows``. Rows may come cut
+    already (``_piece``).
     """
-    busy = busy_keys(rows, keys) if busy is None else busy
-    if busy.isEmpty():
-        return _before(rows, keys, values)
-    some = busy.columns
-    same = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in some]
-    named = busy.select(*[_c(k).alias(f"_{k}") for k in some], F.lit(True).alias("_busy"))
-    cut = rows.join(named, same, "left").withColumn(
-        "_piece", F.when(_c("_busy"), F.floor(T.seconds(_c("ts")) / piece)).otherwise(F.lit(-1).cast("bigint"))
-    ).drop("_busy", *[f"_{k}" for k in some])
+    cut = rows
+    if "_piece" not in rows.columns:
+        busy = busy_keys(rows, keys) if busy is None else busy
+        if busy.isEmpty():
+            return _before(rows, keys, values)
+        cut = cut_busy(rows, busy, piece)
     inside = _before(cut, [*keys, "_piece"], values)
     order = F.struct("ts", "seq")
     tails = cut.where("_piece >= 0").groupBy(*keys, "_piece").agg(
@@ -110,7 +118,8 @@ def route_changes(
         s = s.withColumn("bucket", T.bucket_seconds(_c("ts"), bucket))
     values = {"prev": "left_state", "prev_origin": "origin"}
     if scope == "file":
-        s = _before(s, ["target", "prefix", "bucket"], values)
+        known = before_across if "_piece" in s.columns else _before
+        s = known(s, ["target", "prefix", "bucket"], values)
     elif scope == "global":
         s = before_across(s, ["target", "prefix"], values, piece, busy)
     else:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
 from routescope.functions import times as T
+from routescope.operators.features import cut_busy
 
 
 def relevant_updates(
-    updates: DataFrame, targets: DataFrame, columns: list[str], bucket: int | None = None
+    updates: DataFrame, targets: DataFrame, columns: list[str], bucket: int | None = None,
+    busy: DataFrame | None = None, piece: int = 300,
 ) -> DataFrame:
     """``columns`` of every update with each target it concerns, once.
 
@@ -19,7 +21,8 @@ def relevant_updates(
 
     With ``bucket`` (seconds) the rows come spread by target, prefix and bucket, with the
     bucket as a column: removing repeats and the per-bucket route state then need no
-    further shuffle.
+    further shuffle. Prefixes listed in ``busy`` are spread by pieces of time as well, so
+    that a prefix with a third of all rows fills no task however wide the bucket.
     """
     touched = updates.select(
         *columns, F.explode(P.touched_asns(F.col("peer_as"), F.col("hops"))).alias("asn")
@@ -28,5 +31,8 @@ def relevant_updates(
     if bucket is None:
         return matched.dropDuplicates(["target", "seq"])
     place = ["target", "prefix", "bucket"]
-    spread = matched.withColumn("bucket", T.bucket_seconds(F.col("ts"), bucket)).repartition(*place)
-    return spread.dropDuplicates([*place, "seq"])
+    rows = matched.withColumn("bucket", T.bucket_seconds(F.col("ts"), bucket))
+    if busy is not None and not busy.isEmpty():
+        rows = cut_busy(rows, busy, piece)
+        place = [*place, "_piece"]
+    return rows.repartition(*place).dropDuplicates([*place, "seq"])

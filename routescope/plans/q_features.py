@@ -109,7 +109,9 @@ def busy_prefixes(spark, d):
 
 
 def _series(spark, d):
-    rows = relevant_updates(A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT, bucket=WIDE)
+    rows = relevant_updates(
+        A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT, bucket=WIDE, busy=busy_prefixes(spark, d)
+    )
     return FE.feature_series(rows, WIDE)
 
 

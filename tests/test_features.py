@@ -64,6 +64,26 @@ def test_busy_histories_are_cut_without_a_trace(spark):
     assert {r["seq"]: r["p"] for r in one.collect()} == want
 
 
+def test_busy_prefixes_leave_the_series_alone(spark):
+    rng = random.Random(8)
+    paths = ["1 2 3", "1 3", "1 4 3", "2 5", "1 2 5 3"]
+    data = [(i, rng.randrange(0, 20_000), rng.choice("AAW"), rng.choice("pq"), rng.choice(paths)) for i in range(300)]
+    df = spark.createDataFrame(data, "seq int, s bigint, aw string, prefix string, path string")
+    path = F.when(F.col("aw") == "A", F.col("path")).otherwise("")
+    u = df.select("seq", T.from_seconds(F.col("s")).alias("ts"), "aw", F.lit(1).cast("bigint").alias("peer_as"), "prefix",
+                  path.alias("as_path"), F.filter(F.split(path, " "), lambda h: h != "").alias("hops"))
+    targets = spark.createDataFrame([("t", "1"), ("t", "3"), ("v", "5")], "target string, asn string")
+    plain = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 5000), 5000)
+    busy = FE.busy_keys(u, ["prefix"], 10)
+    assert busy.count() == 2
+    cut = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 5000, busy, piece=100), 5000)
+
+    def table(series):
+        return {(r["target"], r["bucket"]): {k: round(float(v), 9) for k, v in r.asDict().items() if k not in ("target", "bucket")} for r in series.collect()}
+
+    assert table(cut) == table(plain)
+
+
 def test_outage_score(spark):
     cols = ", ".join(f"{n} double" for n in O.SUMMED)
     values = {n: 0.0 for n in O.SUMMED} | {"announcement_count": 10.0, "withdrawal_count": 50.0}
