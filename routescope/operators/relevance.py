@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
@@ -12,27 +12,31 @@ from routescope.operators.features import cut_busy
 
 def relevant_updates(
     updates: DataFrame, targets: DataFrame, columns: list[str], bucket: int | None = None,
-    busy: DataFrame | None = None, piece: int = 300,
+    in_order: bool = False, busy: DataFrame | None = None, piece: int = 300,
 ) -> DataFrame:
     """``columns`` of every update with each target it concerns, once.
 
     An update concerns a target when its peer or a hop is one of the target's ASes. Only
     AS numbers and the wanted columns travel.
 
-    With ``bucket`` (seconds) the rows come spread by target, prefix and bucket, with the
-    bucket as a column: removing repeats and the per-bucket route state then need no
-    further shuffle. Prefixes listed in ``busy`` are spread by pieces of time as well, so
-    that a prefix with a third of all rows fills no task however wide the bucket.
+    With ``bucket`` (seconds, added as a column) or ``in_order`` the rows come spread and
+    sorted the way route state needs them, by target and prefix (and bucket); repeats are
+    neighbours there, so removing them takes no shuffle and no sort of its own. Prefixes
+    listed in ``busy`` are spread by pieces of time as well, so that a prefix with a third
+    of all rows fills no task however long its history.
     """
     touched = updates.select(
         *columns, F.explode(P.touched_asns(F.col("peer_as"), F.col("hops"))).alias("asn")
     )
-    matched = touched.join(targets.select("target", "asn").distinct(), "asn").select("target", *columns)
-    if bucket is None:
-        return matched.dropDuplicates(["target", "seq"])
-    place = ["target", "prefix", "bucket"]
-    rows = matched.withColumn("bucket", T.bucket_seconds(F.col("ts"), bucket))
+    rows = touched.join(targets.select("target", "asn").distinct(), "asn").select("target", *columns)
+    if bucket is None and not in_order:
+        return rows.dropDuplicates(["target", "seq"])
+    place = ["target", "prefix"]
+    if bucket is not None:
+        rows = rows.withColumn("bucket", T.bucket_seconds(F.col("ts"), bucket))
+        place = [*place, "bucket"]
     if busy is not None and not busy.isEmpty():
         rows = cut_busy(rows, busy, piece)
         place = [*place, "_piece"]
-    return rows.repartition(*place).dropDuplicates([*place, "seq"])
+    before = F.lag("seq").over(Window.partitionBy(*place).orderBy("ts", "seq"))
+    return rows.withColumn("_same", before.eqNullSafe(F.col("seq"))).where(~F.col("_same")).drop("_same")

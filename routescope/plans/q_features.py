@@ -104,6 +104,10 @@ def relevant(spark, d):
     return relevant_updates(A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT)
 
 
+def in_order(spark, d, busy):
+    return relevant_updates(A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT, in_order=True, busy=busy)
+
+
 def busy_prefixes(spark, d):
     return FE.busy_keys(A.updates(spark, d), ["prefix"])
 
@@ -127,7 +131,8 @@ def d2(spark, d):
 
 @query("D2_feature_series_global_state", shown("gser"))
 def d2g(spark, d):
-    return show(FE.feature_series(relevant(spark, d), WIDE, scope="global", busy=busy_prefixes(spark, d)))
+    busy = busy_prefixes(spark, d)
+    return show(FE.feature_series(in_order(spark, d, busy), WIDE, scope="global", busy=busy))
 
 
 @query(
@@ -291,7 +296,8 @@ def d10(spark, d):
 
 # ------------------------------------------------ route state, message by message
 def changes(spark, d):
-    return FE.route_changes(relevant(spark, d), "global", WIDE, busy=busy_prefixes(spark, d))
+    busy = busy_prefixes(spark, d)
+    return FE.route_changes(in_order(spark, d, busy), "global", WIDE, busy=busy)
 
 
 @query(

@@ -76,12 +76,15 @@ def test_busy_prefixes_leave_the_series_alone(spark):
     plain = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 5000), 5000)
     busy = FE.busy_keys(u, ["prefix"], 10)
     assert busy.count() == 2
-    cut = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 5000, busy, piece=100), 5000)
+    cut = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 5000, busy=busy, piece=100), 5000)
+    whole = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT), 5000, "global", u.limit(0).select("prefix"))
+    cut_whole = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, in_order=True, busy=busy, piece=100), 5000, "global", busy)
 
     def table(series):
         return {(r["target"], r["bucket"]): {k: round(float(v), 9) for k, v in r.asDict().items() if k not in ("target", "bucket")} for r in series.collect()}
 
     assert table(cut) == table(plain)
+    assert table(cut_whole) == table(whole)
 
 
 def test_outage_score(spark):
