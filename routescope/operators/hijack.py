@@ -134,14 +134,16 @@ def interception_patterns(
 def aggregate_alerts(alerts: DataFrame, width: int = 300) -> DataFrame:
     """Alerts of one type on one prefix within ``width`` seconds as one group.
 
-    Members stay rows of the input, found again by (type, prefix, window_start).
+    Largest groups first. Members stay rows of the input, found again by (type, prefix,
+    window_start).
     """
     window = T.bucket_seconds(F.col("ts"), width).alias("window_start")
     g = alerts.groupBy("type", "prefix", window).agg(
         F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.min_by("confidence", F.struct("ts", "seq")).alias("lone"),
     )
-    return g.withColumn("confidence", S.count_confidence(F.col("n"), F.col("lone"))).drop("lone")
+    rated = g.withColumn("confidence", S.count_confidence(F.col("n"), F.col("lone"))).drop("lone")
+    return rated.orderBy(F.desc("n"), "window_start", "type", "prefix")
 
 
 def severity_of_alerts(alerts: DataFrame, by: list[str]) -> DataFrame:

@@ -410,6 +410,16 @@ def e13(spark, d):
     return big(reports.first_rows(w, ["series"], ["neg", "event_name", "first"], 1).select(*KEY, "first", "points"), "first")
 
 
+@query(
+    "E13_first_window",
+    """SELECT series, min(("event_name", "first"))[1] AS event_name FROM (SELECT series, event_name, min(idx) AS "first" FROM (
+         SELECT *, idx - row_number() OVER (PARTITION BY series, event_name ORDER BY idx) AS run FROM eseven) GROUP BY series, event_name, run HAVING count(*) >= 4) GROUP BY series""",
+)
+def e13b(spark, d):
+    w = Q.run_windows(points(spark, d).where(c("value") < c("mean")), KEY)
+    return Q.first_window(w, KEY).groupBy("series").agg(F.min("event_name").alias("event_name"))
+
+
 @query("F18_period_detection")
 def f18(spark, d):
     # 24 points a day: the supplied events are too few for 15-minute points

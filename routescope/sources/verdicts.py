@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keys of the two verdict tables.
@@ -21,6 +21,25 @@ def upsert(existing: DataFrame, new: DataFrame, key: tuple[str, ...], updated: s
     return rows.groupBy(*key).agg(latest.alias("v")).select(*key, "v.*")
 
 
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...], scratch: str, updated: str = "updated_at") -> None:
+    """Upsert into a table written by ``date_str``; only the dates of ``new`` are rewritten.
+
+    The merged dates are written to ``scratch`` first, because they are read from the files
+    they replace.
+    """
+    touched = spark.read.parquet(path).withColumn("date_str", F.col("date_str").cast("string")).join(
+        new.select("date_str").distinct(), "date_str", "left_semi"
+    )
+    merged = upsert(touched.select(*new.columns), new, key, updated)
+    merged.write.mode("overwrite").parquet(scratch)
+    store(spark.read.parquet(scratch), path, "overwrite")
+
+
+def store(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write verdicts by date; overwriting replaces only the dates present."""
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("date_str").parquet(path)
+
+
 def expire(rows: DataFrame, now: Column, days: int = 30, updated: str = "updated_at") -> DataFrame:
     """Rows updated within the last ``days`` days."""
     return rows.where(F.col(updated) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))

@@ -108,6 +108,7 @@ def test_upsert_and_expiry(spark, rows):
 
     both = V.upsert(t([("a", 1, 10), ("b", 2, 10)]), t([("a", 3, 10), ("c", 4, 5), ("b", 9, 1)]), ("k",))
     assert rows(both, "k", "v") == [("a", 3), ("b", 2), ("c", 4)]
+    assert [r["v"] for r in V.newest(both, 2, tie=("k",)).collect()] == [3, 2]
     now = T.from_seconds(F.lit(86400 * 30 + 7))
     assert rows(V.expire(both, now, 30), "k") == [("a",), ("b",)]
 
@@ -119,3 +120,25 @@ def test_set_metrics(spark, rows):
     cases = spark.createDataFrame([("e",), ("none",), ("missed",)], "event_id string")
     got = C.set_metrics(m(("e", "a"), ("e", "b")), m(("e", "b"), ("e", "c"), ("missed", "x")), cases)
     assert rows(got, "event_id", "precision", "recall", "f1") == [("e", 0.5, 0.5, 0.5), ("missed", 0.0, 0.0, 0.0), ("none", 1.0, 1.0, 1.0)]
+
+
+def test_upsert_into_a_written_table(spark, tmp_path, rows):
+    def t(values):
+        return spark.createDataFrame(values, "k string, date_str string, v int, s bigint").select(
+            "k", "date_str", "v", T.from_seconds(F.col("s")).alias("updated_at"))
+
+    path = str(tmp_path / "verdicts")
+    V.store(t([("a", "2024-01-01", 1, 10), ("b", "2024-01-02", 2, 10)]), path)
+    V.upsert_table(spark, path, t([("a", "2024-01-01", 7, 20), ("c", "2024-01-01", 3, 5)]), ("k", "date_str"), str(tmp_path / "scratch"))
+    back = spark.read.parquet(path)
+    assert rows(back, "k", "v") == [("a", 7), ("b", 2), ("c", 3)]
+
+
+def test_sql_surface(spark):
+    from routescope.plans import catalog, views  # noqa: F401
+
+    folder = "/root/testdata/sf0.001"
+    views.register_tables(spark, folder)
+    views.register_query(spark, folder, "B5_origin_as")
+    n = spark.sql("SELECT count(*) AS n FROM updates u JOIN B5_origin_as o ON o.seq = u.seq AND o.origin = u.origin_as").first()["n"]
+    assert n == spark.sql("SELECT count(*) AS n FROM updates WHERE aw = 'A'").first()["n"] > 0
