@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import factors, toxicity
+from routescope.llm import factors, languages, toxicity
 from routescope.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, factors, 0.3)
+
+
+@query("op7_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = fold("doc_id", 4, 2)
+    rows = languages.predict(docs, languages.fit(docs, ~held), ["doc_id"])
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
