@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import factors, languages, toxicity
+from routescope.llm import dartminhash, factors, languages, toxicity
 from routescope.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _classified(spark: SparkSession, folder: str, operator, cut: float) -> DataF
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+@query("op3_dartminhash")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, toxicity, 0.5)
