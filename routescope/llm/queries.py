@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import dartminhash, factors, languages, toxicity
+from routescope.llm import dartminhash, decontaminate, factors, languages, toxicity
 from routescope.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op8_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, toxicity, 0.5)
