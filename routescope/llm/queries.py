@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import dartminhash, decontaminate, factors, languages, toxicity
+from routescope.llm import dartminhash, decontaminate, factors, languages, secretscan, toxicity, wfst
 from routescope.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; every machine has the package that holds them."""
+    return public_tokenizers.path(name)
+
+
 def _classified(spark: SparkSession, folder: str, operator, cut: float) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = fold("doc_id", 5, 0)
@@ -36,6 +42,22 @@ def _classified(spark: SparkSession, folder: str, operator, cut: float) -> DataF
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    coded = wfst.encode(table(spark, folder, "documents"), wfst.compiled(vocabulary("piece_bpe_32k.model")), ["doc_id"])
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), "n_bytes", "exact")
+
+
+@query("op2_secrets", secretscan.twin())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = secretscan.find(table(spark, folder, "documents"), ["doc_id"])
+    count = lambda low, high: F.size(F.filter("spans", lambda s: s["rank"].between(low, high))).cast("bigint")
+    return found.select(
+        "doc_id", *[count(k, k).alias(f"n_{secretscan.KINDS[k]}") for k in range(3)],
+        F.sha2(secretscan.written(F.col("base")), 256).alias("base_sha256"), secretscan.written(F.col("spans")).alias("spans"),
+        count(3, len(secretscan.KINDS)).alias("n_linked"))
+
+
 @query("op3_dartminhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, folder, "documents"))
