@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import dartminhash, decontaminate, factors, languages, secretscan, toxicity, wfst
+from routescope.llm import chat, dartminhash, decontaminate, factors, idfiles, languages, secretscan, toxicity, wfst
 from routescope.llm.labelled import fold
+from routescope.sources.landing import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +79,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, factors, 0.3)
 
 
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op4_chat")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], given.schema)
+    vocabulary_file = vocabulary("byte_bpe_50k.json")
+    return chat.digests(chat.formatted(given.unionAll(added), vocabulary_file), vocabulary_file)
+
+
+@query("op6_idfiles")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    place = fresh_folder(spark, "ids")
+    shards = idfiles.write(table(spark, folder, "documents"), place, vocabulary("word_bpe_49k.json"))
+    return idfiles.read(spark, place, shards)
+
+
 @query("op7_language")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
