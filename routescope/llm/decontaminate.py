@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routescope.llm.tables import saved
 from routescope.llm.words import SHINGLE, SPACED, Words, arrow_rows, bytes_of, normal_words, shingles
 from routescope.session import ship_package
 
@@ -204,4 +205,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` in which no item is found; those without an id are kept."""
-    return docs.join(leaks(docs.where("doc_id IS NOT NULL"), benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = saved(leaks(docs.where("doc_id IS NOT NULL"), benchmark, least).select("doc_id").distinct(), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import chat, dartminhash, decontaminate, factors, idfiles, languages, secretscan, toxicity, wfst
+from routescope.llm import chat, dartminhash, decontaminate, factors, forest, idfiles, languages, secretscan, toxicity, wfst
 from routescope.llm.labelled import fold
 from routescope.sources.landing import fresh_folder
 
@@ -90,6 +90,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(given.unionAll(added), vocabulary_file), vocabulary_file)
 
 
+@query("op5_forest")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 @query("op6_idfiles")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     place = fresh_folder(spark, "ids")

@@ -122,7 +122,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Only the distinct texts with findings travel, under their digest; other rows stay as they are."""
     found = find(docs.where("text IS NOT NULL").select("text").withColumn("__digest", F.unhex(F.md5("text"))), ["__digest"])
-    found = found.where(F.size("spans") > 0).groupBy("__digest").agg(F.first("spans").alias("__spans"))
+    found = saved(found.where(F.size("spans") > 0).groupBy("__digest").agg(F.first("spans").alias("__spans")), "found")
     text = F.col("text")
 
     def step(acc, s):

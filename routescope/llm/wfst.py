@@ -273,9 +273,8 @@ def compiled(model_file: str) -> Transducer:
 def encode(docs: DataFrame, transducer: Transducer, keep: list[str]) -> DataFrame:
     """``keep`` of every row, with the ``ids`` of its whole text, how many are bytes, and
     whether decoding the ids gives the text back."""
-    schema = docs.select(*keep).schema
-    for name, kind in (("ids", "array<int>"), ("n_bytes", "bigint"), ("exact", "boolean")):
-        schema = schema.add(name, kind)
+    added = {"ids": "array<int>", "n_bytes": "bigint", "exact": "boolean"}
+    schema = docs.select(*keep, *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()]).schema
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(transducer)  # as large as the model file
 
