@@ -10,11 +10,11 @@ empty, and more, at twice the rank, while some are.
 
 Bands of coordinates are joined on their hash. Texts that differ are represented by a
 digest of their words from the start, so copies meet in an aggregation and never as pairs.
-Within a bucket all are compared exactly with a few pivots. By the triangle inequality
-of the Jaccard distance, a link not yet seen can only join texts that are at least
-(nearest non-link - allowed distance) away from every pivot; those go to the next round, with
-new pivots, until no bucket holds two. So no link between texts that share a bucket is
-lost, and no bucket is expanded into all pairs.
+Within a bucket all are compared exactly with a few pivots, except those that links found so
+far already connect. Pivots then leave the bucket, others take their place, members of the
+smallest connected parts first, until what is left of every bucket is connected. So
+every two texts that share a bucket are compared or connected, and a large group of
+near copies costs as many comparisons as it has members, not pairs.
 
 Links are pairs of similarity >= ``least``; a class is a connected part, named after its
 smallest doc_id. Words are runs of letters, marks and digits in lower case. Texts of one
@@ -26,7 +26,10 @@ document in each of their classes, with a row for each class.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,8 @@ from routescope.session import ship_package
 BANDS, ROWS = 28, 5
 COORDS = BANDS * ROWS
 LEAST = 0.8
-PIVOTS = (1, 4, 16)  # of each bucket, by round; the last holds for all later ones
+PIVOTS = (1, 64, 256)  # of each bucket, by round; the last holds for all later ones
+PART = 2048  # members of a bucket, and of a task's group, compared at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,8 +177,8 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, d double")
 
 
-def links(docs: DataFrame, signed: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, d): digests of different texts at most 1 - ``least`` apart, enough to connect all that are."""
+def parts(docs: DataFrame, signed: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, root): the connected parts of different texts, as digests, under links of at least ``least``."""
     apart = 1.0 - least + 1e-9
     spread = signed.where("bands IS NOT NULL").select("key", F.posexplode("bands").alias("band", "h"))
     members = spread.groupBy("band", "h", "key").agg(F.lit(1).alias("one")).drop("one")
@@ -184,33 +188,84 @@ def links(docs: DataFrame, signed: DataFrame, least: float = LEAST) -> DataFrame
     words = normal_words(F.col("text"))
     one_each = docs.where("doc_id IS NOT NULL").select(words.alias("text")).select(F.unhex(F.md5("text")).alias("key"), "text").groupBy("key").agg(F.any_value("text").alias("text"))
     texts = saved(one_each.join(wanted, "key", "left_semi"), "texts")
-    seen = None
-    turn = 0
-    while not open_buckets.isEmpty():
-        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        if most == 1:
-            pivots = open_buckets.groupBy("band", "h").agg(F.min("key").alias("a"))
-        else:
-            order = W.partitionBy("band", "h").orderBy("key")
-            pivots = open_buckets.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("band", "h", F.col("key").alias("a"))
-        pairs = open_buckets.withColumnRenamed("key", "b").join(pivots, ["band", "h"]).where("a < b")
-        fresh = pairs.select("a", "b").distinct()
-        if seen is not None:
-            fresh = fresh.join(seen, ["a", "b"], "left_anti")
-        measured = saved(_compared(fresh, texts), "distances")
-        seen = measured if seen is None else seen.unionAll(measured)
-        known = pairs.join(seen, ["a", "b"])
-        # by pivot: how far its nearest non-link is, and who lies far enough to link to that one
-        bound = known.where(F.col("d") > apart).groupBy("band", "h", "a").agg(F.min("d").alias("near"))
-        far = known.join(bound, ["band", "h", "a"], "left").groupBy("band", "h", F.col("b").alias("key")).agg(
-            F.min(F.coalesce(F.col("d") >= F.col("near") - apart, F.lit(False)).cast("int")).alias("far"))
-        rest = far.where("far = 1").drop("far").join(pivots.withColumnRenamed("a", "key"), ["band", "h", "key"], "left_anti")
-        alone = rest.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h")
-        open_buckets = saved(rest.join(alone, ["band", "h"]), "buckets")
+    # first round: one pivot a bucket, and each pair of texts once however many buckets it shares
+    pivots = open_buckets.groupBy("band", "h").agg(F.min("key").alias("a"))
+    pairs = open_buckets.withColumnRenamed("key", "b").join(pivots, ["band", "h"]).where("a <> b")
+    near = saved(_compared(pairs.select("a", "b").distinct(), texts).where(F.col("d") <= apart).select("a", "b"), "links")
+    known, members, turn = None, open_buckets, 0
+    while True:
+        stars = near if known is None else near.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        known = saved(components(stars), "parts")
+        rest = members.join(pivots.select("band", "h", F.col("a").alias("key")), ["band", "h", "key"], "left_anti").select("band", "h", "key")
+        rest = rest.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        several = rest.groupBy("band", "h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "h")
+        members = saved(rest.join(several, ["band", "h"]).select("band", "h", "key", "root"), "buckets")
+        if members.isEmpty():
+            return known
         turn += 1
-    if seen is None:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary, d double")
-    return seen.where(F.col("d") <= apart)
+        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
+        # members of the smallest parts first: what is left in the end is one part
+        sizes = members.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
+        order = W.partitionBy("band", "h").orderBy("n", "key")
+        ranked = members.join(sizes, ["band", "h", "root"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+        pivots = saved(ranked.select("band", "h", F.col("key").alias("a"), F.col("root").alias("own")), "pivots")
+        near = saved(_blocks(members, pivots, texts, apart).distinct(), "links")
+
+
+def _blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, apart: float) -> DataFrame:
+    """(a, b): links between the pivots and the members of each bucket that no link connects yet.
+
+    A bucket's members go in parts of about ``PART``, each with all the pivots."""
+    counts = members.groupBy("band", "h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    cells = max(1, math.ceil(members.count() / PART))
+    meeting = F.xxhash64("band", "h", "part")
+    cell = F.pmod(F.xxhash64(F.lit(1), "meeting"), F.lit(cells)).alias("cell")
+    left = members.join(counts, ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    left = left.withColumn("meeting", meeting).join(texts, "key").select(cell, "meeting", "key", "root", "text")
+    right = pivots.join(counts, ["band", "h"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.withColumn("meeting", meeting).withColumnRenamed("a", "key").join(texts, "key").select(cell, "meeting", "key", F.col("own").alias("root"), "text")
+
+    def meet(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = [near_pairs(x[x["meeting"] == m], q, apart) for m, q in p.groupby("meeting")]
+        return pd.DataFrame([pair for pairs in out for pair in pairs], columns=["a", "b"])
+
+    ship_package(members.sparkSession)
+    names = ["cell", "meeting", "key", "root", "text"]
+    left, right = left.toDF(*names), right.toDF(*names)  # both hold columns of ``texts``
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(meet, "a binary, b binary")
+
+
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of normalised texts, the repeats of one told apart, so that sets stand for multisets."""
+    column = pa.array(texts, pa.large_string())
+    w = Words(*bytes_of(column, 0, len(column)), SPACED)
+    h, first = shingles(w.hashes, w.first)
+    return mix(h + occurrences(h, first).astype(np.uint64) * _STEP), first
+
+
+def near_pairs(x: pd.DataFrame, p: pd.DataFrame, apart: float, most: int = 1 << 22) -> list[tuple[bytes, bytes]]:
+    """Pairs of a member of ``x`` and a pivot of ``p`` (key, root, text), of different roots, at most ``apart``."""
+    own, own_first = elements(p["text"].tolist())
+    owner = np.repeat(np.arange(len(p)), np.diff(own_first))
+    order = np.argsort(own)
+    own, owner = own[order], owner[order]
+    p_key, p_root, x_key, x_root = p["key"].tolist(), p["root"].tolist(), x["key"].tolist(), x["root"].tolist()
+    out = []
+    step = max(1, most // max(1, len(own)))
+    for lo in range(0, len(x), step):
+        h, first = elements(x["text"].iloc[lo : lo + step].tolist())
+        a, b = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
+        times = b - a
+        rows = len(first) - 1
+        who = np.repeat(np.repeat(np.arange(rows), np.diff(first)), times)
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else np.zeros(0, int)
+        both = np.bincount(who * len(p) + owner[at], minlength=rows * len(p)).reshape(rows, len(p))
+        either = np.diff(first)[:, None] + np.diff(own_first)[None, :] - both
+        for i, j in zip(*np.nonzero(1.0 - both / np.maximum(either, 1) <= apart)):
+            if x_root[lo + i] != p_root[j]:
+                pair = sorted((bytes(x_key[lo + i]), bytes(p_key[j])))
+                out.append((pair[0], pair[1]))
+    return out
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -220,8 +275,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     smallest such digest if its id has several texts in the class."""
     signed = saved(banded(docs), "signatures")
     ids = signed.groupBy("key", "doc_id").agg(F.max(F.col("bands").isNull()).alias("blank"))
-    parts = components(links(docs, signed, least).select("a", "b"))
-    linked = ids.where("NOT blank").join(parts.select(F.col("node").alias("key"), "root"), "key", "left")
+    linked = ids.where("NOT blank").join(parts(docs, signed, least).select(F.col("node").alias("key"), "root"), "key", "left")
     linked = linked.select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least"))
     rows = linked.join(named, "root").select("doc_id", "key", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("class_key"))
