@@ -40,7 +40,8 @@ ENTRY = "<?qQQQ"  # has an id, doc_id, place, length, n_tokens
 FOOTER = "<8s32sBQQ"  # magic, dictionary hash, bytes an id, documents, place of the index
 SAMPLE, SAMPLE_IDS, DICTIONARY = 2000, 4096, 112_640
 LEVEL = 3
-KEPT = 300_000  # pieces of text remembered by a task
+KEPT = 1_000_000  # pieces of text remembered by a worker, about 200 bytes each
+CLOSING = ".,;:!?|#$%&*"
 END_ID = 2
 
 
@@ -58,30 +59,51 @@ class Encoder:
     def bytes_of(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return [self._packed(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
+        out, known = [], self.known
         for text in texts:
             words = text.replace("\n", " ").split(" ")
-            known = self.known
-            new = [w for w in set(words) if w not in known] if len(known) else list(set(words))
+            new = {w for w in words if w not in known}
             if new:
-                if len(known) + len(new) > KEPT:
+                if len(known) + 2 * len(new) > KEPT:
                     known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    known[w] = self._packed(e.ids)
+                    new = set(words)
+                self._learn(new)
             out.append(b"".join([known[w] for w in words]) + self.end)
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of ``words``. Marks that close a word are a token of their own, and the
+        vocabulary knows no capitals, so many new words are a known one with another ending or case."""
+        parts = {w: (core.lower() if (core := w.rstrip(CLOSING)).isascii() else core, w[len(core) :]) for w in words}
+        new = list({p for pair in parts.values() for p in pair if p not in self.known})
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[p] = self._packed(e.ids)
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.known[core] + self.known[tail]
+
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
 
+_encoders: dict[tuple[int, int], Encoder] = {}
+
+
+def encoder_of(vocabulary_json: str, end_id: int) -> Encoder:
+    """The worker's own, with its memory, for all tasks that it runs."""
+    key = (zlib.crc32(vocabulary_json.encode()), end_id)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary_json, end_id)
+    return _encoders[key]
+
+
 def drops_spaces(vocabulary_json: str) -> bool:
-    """Whether the vocabulary's splitter leaves white space out, so texts fall apart there."""
+    """Whether the vocabulary's splitter leaves white space out and parts letters from marks, after lower-casing."""
     spec = json.loads(vocabulary_json)
+    lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     first = steps[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in first["pattern"].get("Regex", "") and not spec.get("added_tokens")
+    return lowers and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in first["pattern"].get("Regex", "") and not spec.get("added_tokens")
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -102,7 +124,7 @@ def trained(docs: DataFrame, vocabulary_json: str, end_id: int = END_ID) -> byte
     sample = _ordered(docs).join(ids, "doc_id")
 
     def encode(batches):
-        encoder = Encoder(vocabulary_json, end_id)
+        encoder = encoder_of(vocabulary_json, end_id)
         most = SAMPLE_IDS * encoder.kind.itemsize
         for batch in batches:
             for text in batch.column("text"):
@@ -135,8 +157,10 @@ def write(docs: DataFrame, folder: str, vocabulary_file: str, end_id: int = END_
 
     def run(batches):
         vocabulary, dictionary = shared.value
-        encoder = Encoder(vocabulary, end_id)
+        encoder = encoder_of(vocabulary, end_id)
         own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if own:
+            own.precompute_compress(level=LEVEL)  # else every document would load the dictionary anew
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=own)
         where, path = _place(folder)
         name = uuid.uuid4().hex
