@@ -236,7 +236,6 @@ def b22(spark, d):
     return t.join(stats, "series").groupBy("series", S.z_severity(z).alias("severity")).agg(F.count("*").alias("n"))
 
 
-_DAY = r"(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):(\d{2})"
 
 
 @query(

@@ -437,12 +437,12 @@ ON t.ts BETWEEN k."start" - INTERVAL {7 * p} DAY AND k."end" - INTERVAL {7 * p}
       SELECT series, event_name, least(1.0, CASE WHEN ch > 50 THEN 0.4 WHEN ch > 30 THEN 0.25 WHEN ch > 15 THEN 0.1 ELSE 0 END + CASE WHEN wild THEN 0.2 ELSE 0 END + CASE WHEN sparse THEN 0.15 ELSE 0 END) AS score,
         list_filter([CASE WHEN ch > 50 THEN 'large_change' WHEN ch > 30 THEN 'medium_change' WHEN ch > 15 THEN 'small_change' END, CASE WHEN wild THEN 'volatile' END, CASE WHEN sparse THEN 'sparse' END], lambda x: x IS NOT NULL) AS sig
       FROM (SELECT x.series, x.event_name, CASE WHEN x.m > 0 AND r.m > 0 THEN abs(x.m - r.m) / r.m * 100 END AS ch, coalesce(r.m > 0 AND x.sd / r.m > 2, false) AS wild,
-              x.n < 0.5 * ((epoch_us(k."end") - epoch_us(k."start")) // 900000000 + 1) AS sparse
+              x.n < 0.5 * ((epoch_us(k."end") - epoch_us(k."start")) // (SELECT mode(gap) FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series ORDER BY ts) AS gap FROM traffic)) + 1) AS sparse
             FROM (SELECT series, event_name, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM ncur GROUP BY 1, 2) x JOIN catalogue k ON k.event_name = x.event_name
             LEFT JOIN (SELECT series, event_name, arg_min(m, period) AS m FROM ({weekback(1)} UNION ALL {weekback(2)}) GROUP BY 1, 2) r ON r.series = x.series AND r.event_name = x.event_name))""",
 )
 def f19(spark, d):
-    r = TR.quick_screening(A.traffic(spark, d), windows(spark, d))
+    r = TR.quick_screening(A.traffic(spark, d), windows(spark, d), step=3600)  # the series are hourly
     return rounded(r.select(*KEY, "quick_score", F.array_join("signals", ",").alias("signals"), "need_full_analysis"), "quick_score")
 
 

@@ -148,14 +148,14 @@ CHANGES = ("dup_a", "ori_change", "longer", "shorter", "new_after_w", "dup_w")
 
 
 def route_state(
-    stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame], ttl_days: int = 30, piece: int = 3600
+    stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame], ttl_days: int | None = None, piece: int = 3600
 ) -> StreamingQuery:
     """Route changes of each (target, prefix), message by message, across micro-batches.
 
     Between batches one or two messages per prefix are kept in a table of the shared
     folder, one version per batch; they go before the next batch's rows, and the batch
     operator, which spreads a busy prefix over pieces of time, does the rest. Prefixes
-    silent for ``ttl_days`` are forgotten. ``prepare`` finds the targets of a batch's rows.
+    silent for ``ttl_days`` are forgotten, none by default, as in the batch operator. ``prepare`` finds the targets of a batch's rows.
     """
     spark = stream.sparkSession
 
@@ -169,7 +169,9 @@ def route_state(
             f"{folder}/table/batch={batch}"
         )
         newest = now.agg(F.max("ts")).scalar()
-        fresh = _remember(now).where(F.col("ts") >= newest - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
+        fresh = _remember(now)
+        if ttl_days is not None:
+            fresh = fresh.where(F.col("ts") >= newest - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
         fresh.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(

@@ -5,6 +5,8 @@ from routescope.functions import times as T
 from routescope.operators import learned
 from routescope.operators import traffic as TR
 
+T_START = 1_700_000_000 - 1_700_000_000 % 86400
+
 
 def points(spark, values, means=None, std=0.1):
     means = means or [0.5] * len(values)
@@ -86,3 +88,16 @@ def test_isolation_scores_are_seeded_and_find_the_odd_one():
     assert np.array_equal(a[1], b[1])
     assert a[1][1] > a[1][0]
     assert a[1][1] > np.quantile(a[0], 0.9)
+
+
+def test_screening_counts_points_by_their_step(spark):
+    rows = [(name, T_START + 3600 * i, 10.0) for name, hours in (("dense", range(24)), ("sparse", range(0, 24, 3)), ("short", range(3))) for i in hours]
+    rows += [(name, T_START - 7 * 86400 + 3600 * i, 8.0) for name in ("dense", "sparse", "short") for i in range(24)]
+    traffic = spark.createDataFrame(rows, "series string, t bigint, value double").select("series", T.from_seconds(F.col("t")).alias("ts"), "value")
+    window = spark.createDataFrame([("e", T_START, T_START + 23 * 3600)], "event_name string, a bigint, b bigint")
+    window = window.select("event_name", T.from_seconds(F.col("a")).alias("start"), T.from_seconds(F.col("b")).alias("end"))
+    got = {r["series"]: r for r in TR.quick_screening(traffic, window, step=3600).collect()}
+    assert got["dense"]["signals"] == ["small_change"]  # a quarter more than a week before
+    assert got["dense"]["quick_score"] == 0.1 and not got["dense"]["need_full_analysis"]
+    assert got["sparse"]["signals"] == ["small_change", "sparse"] and round(got["sparse"]["quick_score"], 9) == 0.25
+    assert not got["short"]["data_available"] and got["short"]["quick_score"] == 0.0
