@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from routescope.session import ship_package
 
@@ -40,8 +41,10 @@ ENTRY = "<?qQQQ"  # has an id, doc_id, place, length, n_tokens
 FOOTER = "<8s32sBQQ"  # magic, dictionary hash, bytes an id, documents, place of the index
 SAMPLE, SAMPLE_IDS, DICTIONARY = 2000, 4096, 112_640
 LEVEL = 3
-KEPT = 1_000_000  # pieces of text remembered by a worker, about 200 bytes each
+KEPT, KEPT_CHARS = 1_000_000, 16_000_000  # pieces of text remembered by a worker, and their length in all
 CLOSING = ".,;:!?|#$%&*"
+#: Composed letters with a single small form: neither NFC nor lowering depends on what stands around them.
+LATIN = re.compile("[\x00-\u012f]*")
 END_ID = 2
 
 
@@ -54,7 +57,13 @@ class Encoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.pieces = drops_spaces(vocabulary_json)
+        reserved = [re.escape(t["content"]) for t in json.loads(vocabulary_json).get("added_tokens") or []]
+        self.reserved = re.compile("|".join(reserved) or r"(?!)", re.IGNORECASE)
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {i: alphabet.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x130)}
+        self.one = [np.array([i], self.kind).tobytes() for i in range(size)] if self.pieces else []
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
@@ -64,22 +73,49 @@ class Encoder:
             words = text.replace("\n", " ").split(" ")
             new = {w for w in words if w not in known}
             if new:
-                if len(known) + 2 * len(new) > KEPT:
+                size = sum(map(len, new))
+                if len(known) + 3 * len(new) > KEPT or self.held + 2 * size > KEPT_CHARS:
                     known.clear()
                     new = set(words)
+                    self.held, size = 0, sum(map(len, new))
+                self.held += 2 * size
                 self._learn(new)
             out.append(b"".join([known[w] for w in words]) + self.end)
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the ids of ``words``. Marks that close a word are a token of their own, and the
-        vocabulary knows no capitals, so many new words are a known one with another ending or case."""
-        parts = {w: (core.lower() if (core := w.rstrip(CLOSING)).isascii() else core, w[len(core) :]) for w in words}
-        new = list({p for pair in parts.values() for p in pair if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = self._packed(e.ids)
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + self.known[tail]
+        """Remember the ids of ``words``. The vocabulary knows no capitals, and marks after a letter or digit
+        begin a token of their own, so many new words are a known one with another ending or case. Words that
+        may hold a reserved token are taken as they are, for those are found before any lowering.
+
+        Lower-case Latin words go straight to the merges, spelled in the byte alphabet, as no other step
+        before them would change one."""
+        known, one, merges, spelled = self.known, self.one, self.tokenizer.model.tokenize, self.spelled
+        reserved = self.reserved.search(" ".join(words))
+        for word in words:
+            if not LATIN.fullmatch(word) or (reserved and self.reserved.search(word)):
+                known[word] = self._slowly(word)
+                continue
+            low = word.lower()
+            core = low.rstrip(CLOSING)
+            if not core or not core[-1].isalnum():
+                core = low
+            tail = low[len(core) :]
+            ids = known.get(core)
+            if ids is None:
+                if core.isalpha():
+                    ids = b"".join([one[t.id] for t in merges(core.translate(spelled))])
+                else:
+                    ids = self._slowly(core)
+                known[core] = ids
+            if tail:
+                if tail not in known:
+                    known[tail] = self._slowly(tail)
+                ids += known[tail]
+            known[word] = ids
+
+    def _slowly(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -98,12 +134,18 @@ def encoder_of(vocabulary_json: str, end_id: int) -> Encoder:
 
 
 def drops_spaces(vocabulary_json: str) -> bool:
-    """Whether the vocabulary's splitter leaves white space out and parts letters from marks, after lower-casing."""
+    """Whether the vocabulary's splitter leaves white space out and parts letters from marks, after lower-casing,
+    with nothing but the byte alphabet between it and the merges,
+    and no reserved token holds white space or looks at its surroundings."""
     spec = json.loads(vocabulary_json)
     lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     first = steps[0]
-    return lowers and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in first["pattern"].get("Regex", "") and not spec.get("added_tokens")
+    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    alone = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]))
+                for t in spec.get("added_tokens") or [])
+    mapped = all(s.get("type") == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
+    return lowers and splits and mapped and r"[^\s" in first["pattern"].get("Regex", "") and alone
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:

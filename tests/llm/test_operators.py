@@ -195,6 +195,25 @@ def test_forest_finds_the_nearest(spark):
     assert empty.count() == 0
 
 
+def test_remembered_pieces_give_the_library_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path) as f:
+        encoder, library = idfiles.Encoder(f.read(), 2), Tokenizer.from_file(path)
+    assert encoder.pieces
+    texts = ["<|endoftext|>", "<|ENDOFTEXT|>. a<|startoftext|>b <|endoftext|>.", "abc). (x).. IT'S! 'S", " ", "ß İ ǅ ΑΣ. ;;", ""]
+    texts += [f"{chr(i)}x{chr(i)}. {chr(i)},. {chr(i)}\u0301." for i in range(1, 0x600)]
+    draw = random.Random(5)
+    letters = "aBcÉé \n.,;:!?|#$%&*'\"()<>|19sStTßΣ\u0301 \t日本-_"
+    texts += ["".join(draw.choices(letters, k=draw.randint(1, 60))) for _ in range(2000)]
+    for text in texts:
+        got = np.frombuffer(encoder.bytes_of([text])[0], encoder.kind).tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids + [2], ascii(text)
+
+
 def test_id_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
