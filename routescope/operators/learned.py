@@ -1,7 +1,6 @@
-"""The two traffic detectors that need numpy inside tasks.
+"""The traffic detector that needs numpy inside tasks.
 
-Both see one series at a time: one value per step, so a group is bounded by the time it
-covers. The work is spread over series and windows.
+Isolation trees grow on samples of a fixed size; scoring is spread over cells of every series.
 """
 
 from __future__ import annotations
@@ -12,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routescope.operators.traffic import KEY
+from routescope.session import ship_package
 
 TREES = 100
 SAMPLE = 256
+CELL = 65_536  # points scored in one group
 
 
 def _average_depth(n: int) -> float:
@@ -45,131 +46,70 @@ def _tree(values: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.
     return np.sort(np.array(cuts)), np.array(depths)
 
 
-def isolation_scores(train: np.ndarray, values: np.ndarray, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Isolation scores (higher is odder) of the training values and of ``values``."""
+def grown(train: np.ndarray, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trees of a forest, each of at most ``SAMPLE`` of the training values."""
     rng = np.random.default_rng(seed)
     size = min(SAMPLE, len(train))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    both = np.concatenate([train, values])
-    depth = np.zeros(len(both))
-    for _ in range(TREES):
-        cuts, depths = _tree(rng.choice(train, size, replace=False), rng, limit)
-        depth += depths[np.searchsorted(cuts, both, side="left")]
-    scores = 2.0 ** (-depth / TREES / max(_average_depth(size), 1e-12))
-    return scores[: len(train)], scores[len(train):]
+    return [_tree(rng.choice(train, size, replace=False), rng, limit) for _ in range(TREES)]
 
 
-def isolation_forest(current: DataFrame, past: DataFrame, contamination: float = 0.1, pool: int = TREES * SAMPLE) -> DataFrame:
-    """(series, event_name, idx, ml_score) of current points odder than most of history.
+def isolation_scores(trees: list[tuple[np.ndarray, np.ndarray]], size: int, values: np.ndarray) -> np.ndarray:
+    """Isolation scores (higher is odder) of ``values`` under trees of ``size`` values each."""
+    depth = np.zeros(len(values))
+    for cuts, depths in trees:
+        depth += depths[np.searchsorted(cuts, values, side="left")]
+    return 2.0 ** (-depth / len(trees) / max(_average_depth(size), 1e-12))
+
 
-    Trees draw at most ``pool`` values in all, so the training values sent to a task are
-    that many, chosen by hash; each task drops the rest before the shuffle.
-    """
+def forests(past: DataFrame) -> DataFrame:
+    """(series, event_name, size, cuts, depths) of every tree of every series with at least ten past values; numbers as eight bytes each.
+
+    All trees together look at ``TREES`` x ``SAMPLE`` values, as the method has it, so no more
+    than that, first by a hash, go to the task that grows them."""
     w = Window.partitionBy(*KEY).orderBy("_h", "period", "idx")
     draw = past.select(*KEY, "period", "idx", "value", F.xxhash64("period", "idx").alias("_h"))
-    train = draw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool).select(*KEY, "_r", "value")
-    train = train.toDF(*train.columns)  # columns of its own, though both sides may share a source
-
-    def score(known: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        columns = [*KEY, "idx", "ml_score"]
-        if len(known) < 10 or now.empty:
-            return pd.DataFrame({n: [] for n in columns})
-        known = known.sort_values("_r")
-        inside, outside = isolation_scores(known["value"].to_numpy(float), now["value"].to_numpy(float))
-        limit = np.quantile(inside, 1.0 - contamination)
-        out = now.assign(ml_score=outside - limit)
-        return out.loc[out["ml_score"] > 0, columns]
-
-    return train.groupBy(*KEY).cogroup(current.select(*KEY, "idx", "value").groupBy(*KEY)).applyInPandas(
-        score, "series string, event_name string, idx int, ml_score double"
-    )
+    train = draw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TREES * SAMPLE).select(*KEY, "_r", "value")
+
+    def grow(known: pd.DataFrame) -> pd.DataFrame:
+        trees = grown(known.sort_values("_r")["value"].to_numpy(float)) if len(known) >= 10 else []
+        rows = [(*known[KEY].iloc[0], min(SAMPLE, len(known)), cuts.astype("<f8").tobytes(), depths.astype("<f8").tobytes()) for cuts, depths in trees]
+        return pd.DataFrame(rows, columns=[*KEY, "size", "cuts", "depths"], dtype=object)
+
+    ship_package(past.sparkSession)
+    return train.groupBy(*KEY).applyInPandas(grow, "series string, event_name string, size int, cuts binary, depths binary")
+
 
+def unpacked(cuts, depths) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(c, "<f8"), np.frombuffer(d, "<f8")) for c, d in zip(cuts, depths)]
 
-def autocorrelation(x: np.ndarray, lags: int) -> np.ndarray:
-    """Autocorrelation for lags 0..``lags``."""
-    x = x - x.mean()
-    n = len(x)
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(x, size)
-    cov = np.fft.irfft(f * np.conj(f), size)[: lags + 1]
-    return cov / cov[0] if cov[0] > 0 else np.zeros(lags + 1)
-
-
-def _peaks(acf: np.ndarray, period: int, cycles: range, slack: int, least: float) -> list[float]:
-    found = []
-    for k in cycles:
-        region = acf[max(0, period * k - slack): min(len(acf), period * k + slack)]
-        if len(region) and region.max() > least:
-            found.append(float(region.max()))
-    return found
-
-
-def _detrended(x: np.ndarray) -> np.ndarray:
-    t = np.arange(len(x))
-    return x - np.polyval(np.polyfit(t, x, 1), t)
-
-
-def _seasonal_strength(x: np.ndarray, period: int) -> float:
-    """Share of the detrended variance that repeats with ``period``."""
-    kernel = np.ones(period + 1) / period if period % 2 == 0 else np.ones(period) / period
-    if period % 2 == 0:
-        kernel[[0, -1]] = 0.5 / period
-    trend = np.convolve(x, kernel, "valid")
-    edge = len(kernel) // 2
-    rest = x[edge: edge + len(trend)] - trend
-    phase = (np.arange(len(rest)) + edge) % period
-    means = np.array([rest[phase == p].mean() if (phase == p).any() else 0.0 for p in range(period)])
-    seasonal = (means - means.mean())[phase]
-    total = np.var(rest)
-    return float(np.var(seasonal) / total) if total > 0 else 0.0
-
-
-def find_period(x: np.ndarray, daily: int = 96, weekly: int = 672) -> tuple[str, float, str]:
-    """(period, confidence, method) of a series; period ``none`` when nothing repeats."""
-    x = x[~np.isnan(x)]
-    if len(x) < 24:
-        return "none", 0.0, "insufficient_data"
-    found: list[tuple[str, float, str]] = []
-    # search widths scale with the spacing of the points: 50 and 25 at 96 a day
-    wide, narrow = max(1, weekly * 50 // 672), max(1, daily * 25 // 96)
-    acf = autocorrelation(x, min(len(x) - 1, weekly * 3 + 2 * wide))
-    weeks = _peaks(acf, weekly, range(1, 4), wide, 0.08)
-    if weeks and np.mean(weeks) > 0.10:
-        found.append(("weekly", float(np.mean(weeks)), f"acf_weekly_{len(weeks)}peaks"))
-    days = _peaks(acf, daily, range(1, min(28, len(acf) // daily)), narrow, 0.12)
-    if days and np.mean(days) > 0.15:
-        found.append(("daily", float(np.mean(days)), f"acf_daily_{len(days)}peaks"))
-    power = np.abs(np.fft.fft(_detrended(x)))
-    half = power[1: len(power) // 2]
-    if len(half):
-        k = int(np.argmax(half)) + 1
-        strength = float(power[k] / power.max()) if power.max() > 0 else 0.0
-        points = round(len(x) / k)
-        if strength > 0.03:
-            if abs(points - daily) < daily * 0.4:
-                found.append(("daily", strength, "fft_daily"))
-            elif abs(points - weekly) < weekly * 0.4:
-                found.append(("weekly", strength, "fft_weekly"))
-    if len(x) >= 24 * 7:
-        share = _seasonal_strength(x, max(2, daily // 4))
-        if share > 0.12:
-            found.append(("daily", share, "stl_daily"))
-    if not found:
-        return "none", 0.0, "no_clear_period"
-    best = max(found, key=lambda c: c[1])
-    same = [c[1] for c in found if c[0] == best[0]]
-    return best[0], float(np.mean(same)), best[2]
-
-
-def detect_periods(traffic: DataFrame, keys: list[str], daily: int = 96, weekly: int = 672) -> DataFrame:
-    """(keys…, period_name, confidence, method, best_effort) of every series."""
-
-    def one(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("ts")["value"].to_numpy(float)
-        name, confidence, method = find_period(x, daily, weekly)
-        return pd.DataFrame([[*group, name, confidence, method, name != "none" and confidence < 0.25]])
-
-    schema = ", ".join(f"{k} string" for k in keys)
-    return traffic.groupBy(*keys).applyInPandas(
-        one, f"{schema}, period_name string, confidence double, method string, best_effort boolean"
+
+def scored(points: DataFrame, trees: DataFrame) -> DataFrame:
+    """``points`` (series, event_name, idx, value, now) with ``score``; a series' points go in cells of about ``CELL``."""
+    counts = points.groupBy(*KEY).agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("idx", "value", "now"), F.col("cells")).cast("int").alias("cell")
+    left = points.join(counts, KEY).select(*KEY, cell, "idx", "value", "now")
+    right = trees.join(counts, KEY).select(*KEY, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "size", "cuts", "depths")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both hold columns of the same sources
+
+    def score(key: tuple, x: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        own = unpacked(forest["cuts"], forest["depths"])
+        rows = len(x) if own else 0
+        found = isolation_scores(own, int(forest["size"].iloc[0]), x["value"].to_numpy(float)) if rows else []
+        series, event = (pd.Series([str(k)] * rows, dtype=object) for k in key[:2])
+        return pd.DataFrame({"series": series, "event_name": event, "idx": x["idx"].iloc[:rows].to_numpy(), "now": x["now"].iloc[:rows].to_numpy(bool), "score": found})
+
+    return left.groupBy(*KEY, "cell").cogroup(right.groupBy(*KEY, "cell")).applyInPandas(
+        score, "series string, event_name string, idx int, now boolean, score double"
     )
+
+
+def isolation_forest(current: DataFrame, past: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """(series, event_name, idx, ml_score) of current points odder than most of history.
+
+    The limit is the quantile of the scores of all past values."""
+    values = lambda df, now: df.select(*KEY, "idx", "value", F.lit(now).alias("now"))
+    rows = scored(values(current, True).unionAll(values(past, False)), forests(past))
+    limits = rows.groupBy(*KEY).agg(F.percentile(F.when(~F.col("now"), F.col("score")), F.lit(1.0 - contamination)).alias("limit"))
+    odd = rows.where("now").join(limits, KEY).withColumn("ml_score", F.col("score") - F.col("limit"))
+    return odd.where("ml_score > 0").select(*KEY, "idx", "ml_score")

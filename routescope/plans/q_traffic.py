@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from routescope.functions import times as T
 from routescope.operators import baselines as B
-from routescope.operators import learned, reports
+from routescope.operators import learned, periods, reports
 from routescope.operators import sequences as Q
 from routescope.operators import traffic as TR
 from routescope.plans import jobs
@@ -420,10 +420,35 @@ def e13b(spark, d):
     return Q.first_window(w, KEY).groupBy("series").agg(F.min("event_name").alias("event_name"))
 
 
-@query("F18_period_detection")
+@query(
+    "F18_period_detection",
+    """WITH p0 AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY ts, value) - 1 AS p FROM traffic WHERE value IS NOT NULL AND NOT isnan(value)),
+      sz AS (SELECT series, count(*) AS n, avg(value) AS m, coalesce(regr_slope(value, p), 0) AS slope, avg(p) AS mp FROM p0 GROUP BY 1),
+      pts AS (SELECT series, p, n, value, value - m AS d, value - m - slope * (p - mp) AS r FROM p0 JOIN sz USING (series) WHERE n >= 24),
+      asked AS (SELECT series, 'weekly' AS name, cycle, lag FROM sz, range(1, 4) a(cycle), range(0, 529) b(lag) WHERE n >= 24 AND lag < n AND lag BETWEEN 168 * cycle - 12 AND 168 * cycle + 11
+        UNION ALL SELECT series, 'daily', cycle, lag FROM sz, range(1, 28) a(cycle), range(0, 529) b(lag) WHERE n >= 24 AND lag < n AND lag BETWEEN 24 * cycle - 6 AND 24 * cycle + 5 AND cycle < least(n, 529) // 24),
+      acf AS (SELECT a.series, l.lag, sum(a.d * b.d) / any_value(v.v) AS acf FROM (SELECT DISTINCT series, lag FROM asked) l JOIN pts a ON a.series = l.series JOIN pts b ON b.series = a.series AND b.p = a.p + l.lag
+        JOIN (SELECT series, sum(d * d) AS v FROM pts GROUP BY 1) v ON v.series = a.series AND v.v > 0 GROUP BY 1, 2),
+      tops AS (SELECT series, name, cycle, round(max(acf), 9) AS top FROM asked JOIN acf USING (series, lag) GROUP BY 1, 2, 3),
+      peak AS (SELECT series, name, round(avg(top), 9) AS score, 'acf_' || name || '_' || count(*) || 'peaks' AS method, CASE name WHEN 'weekly' THEN 1 ELSE 2 END AS place FROM tops
+        WHERE top > CASE name WHEN 'weekly' THEN 0.08 ELSE 0.12 END GROUP BY 1, 2 HAVING round(avg(top), 9) > CASE name WHEN 'weekly' THEN 0.10 ELSE 0.15 END),
+      spec AS (SELECT series, n, k, round(sqrt(pow(sum(r * cos(2 * pi() * ((k * p) % n) / n)), 2) + pow(sum(r * sin(2 * pi() * ((k * p) % n) / n)), 2)), 9) AS power
+        FROM pts JOIN range(1, (SELECT max(n) // 2 + 1 FROM pts)) f(k) ON k <= n // 2 GROUP BY 1, 2, 3),
+      freq AS (SELECT s.series, round_even(s.n / s.k, 0) AS size, round(s.power / m.most, 9) AS score FROM spec s JOIN (SELECT series, max(power) AS most FROM spec GROUP BY 1) m ON m.series = s.series AND most > 0
+        WHERE s.k < s.n // 2 QUALIFY row_number() OVER (PARTITION BY s.series ORDER BY s.power DESC, s.k) = 1),
+      freq2 AS (SELECT series, CASE WHEN abs(size - 24) < 24 * 0.4 THEN 'daily' WHEN abs(size - 168) < 168 * 0.4 THEN 'weekly' END AS name, score FROM freq WHERE score > 0.03),
+      rest AS (SELECT series, p % 6 AS phase, value - ma AS x FROM (SELECT *, (sum(value) OVER w5 + (lag(value, 3) OVER o + lead(value, 3) OVER o) / 2) / 6 AS ma FROM pts WHERE n >= 168
+        WINDOW o AS (PARTITION BY series ORDER BY p), w5 AS (PARTITION BY series ORDER BY p ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) WHERE ma IS NOT NULL),
+      stl AS (SELECT series, round(var_pop(m) / var_pop(x), 9) AS score FROM (SELECT *, avg(x) OVER (PARTITION BY series, phase) AS m FROM rest) GROUP BY 1 HAVING var_pop(x) > 0),
+      ev AS (SELECT series, name, score, method, place FROM peak UNION ALL SELECT series, name, score, 'fft_' || name, 3 FROM freq2 WHERE name IS NOT NULL
+        UNION ALL SELECT series, 'daily', score, 'stl_daily', 4 FROM stl WHERE score > 0.12),
+      best AS (SELECT *, avg(score) OVER (PARTITION BY series, name) AS c FROM ev QUALIFY row_number() OVER (PARTITION BY series ORDER BY score DESC, place) = 1)
+    SELECT sz.series, coalesce(name, 'none') AS period_name, round(coalesce(c, 0), 6) AS confidence, coalesce(method, CASE WHEN n >= 24 THEN 'no_clear_period' ELSE 'insufficient_data' END) AS method,
+      name IS NOT NULL AND c < 0.25 AS best_effort FROM sz LEFT JOIN best ON best.series = sz.series""",
+)
 def f18(spark, d):
     # 24 points a day: the supplied events are too few for 15-minute points
-    return rounded(learned.detect_periods(A.traffic(spark, d), ["series"], 24, 168), "confidence")
+    return rounded(periods.detect_periods(A.traffic(spark, d), ["series"], 24, 168), "confidence")
 
 
 def weekback(p: int) -> str:
@@ -466,6 +491,6 @@ def f20(spark, d):
 @query("F20_traffic_job")
 def f20b(spark, d):
     t = A.traffic(spark, d)
-    periods = learned.detect_periods(t, ["series"], 24, 168).select("series", "period_name")
-    r = jobs.traffic_job(t, windows(spark, d), periods)
+    named = periods.detect_periods(t, ["series"], 24, 168).select("series", "period_name")
+    r = jobs.traffic_job(t, windows(spark, d), named)
     return rounded(r.drop("anomaly_start", "anomaly_end"), "current_avg", "historical_avg", "percent_change")

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from routescope.functions import times as T
-from routescope.operators import learned
+from routescope.operators import learned, periods
 from routescope.operators import traffic as TR
 
 T_START = 1_700_000_000 - 1_700_000_000 % 86400
@@ -64,30 +64,64 @@ def test_boundaries_grow_while_off(spark):
     assert (r["first_idx"], r["last_idx"]) == (18, 25)
 
 
-def test_periods():
-    t = np.arange(96 * 21)
-    rng = np.random.default_rng(0)
-    name, confidence, _ = learned.find_period(np.sin(2 * np.pi * t / 96) + 0.1 * rng.random(len(t)))
-    assert name in ("daily", "weekly") and confidence > 0.5
-    assert learned.find_period(np.ones(10))[0] == "none"
-    assert learned.find_period(rng.random(60))[0] in ("none", "daily", "weekly")
-
-
-def test_autocorrelation_by_hand():
-    x = np.array([1.0, 2.0, 4.0, 3.0, 5.0])
-    y = x - x.mean()
-    want = [1.0] + [float((y[k:] * y[:-k]).sum() / (y * y).sum()) for k in (1, 2)]
-    assert np.allclose(learned.autocorrelation(x, 2), want)
+def hourly(spark, **series):
+    rows = [(name, T_START + 3600 * i, float(v)) for name, values in series.items() for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "series string, t bigint, value double")
+    return frame.select("series", T.from_seconds(F.col("t")).alias("ts"), "value")
+
+
+def test_periods(spark):
+    t = np.arange(1500)
+    noise = np.random.default_rng(1).random(1500)
+    traffic = hourly(spark, day=np.sin(2 * np.pi * t / 24) + noise, week=np.sin(2 * np.pi * t / 168) + noise,
+                     noise=noise, flat=np.ones(300), short=noise[:10], quarter=np.tile(np.arange(6), 60), holes=[np.nan] * 30)
+    got = {r["series"]: r for r in periods.detect_periods(traffic, ["series"], 24, 168).collect()}
+    assert set(got) == {"day", "week", "noise", "flat", "short", "quarter"}
+    assert (got["day"]["period_name"], got["day"]["method"]) == ("daily", "fft_daily") and got["day"]["confidence"] > 0.5
+    assert (got["week"]["period_name"], got["week"]["method"]) == ("weekly", "fft_weekly")
+    assert got["quarter"]["method"] == "stl_daily"
+    assert [got[s]["method"] for s in ("noise", "flat", "short")] == ["no_clear_period", "no_clear_period", "insufficient_data"]
+    assert [got[s]["confidence"] for s in ("noise", "flat", "short")] == [0.0] * 3
+    assert periods.detect_periods(traffic.where("false"), ["series"], 24, 168).count() == 0
+
+
+def test_autocorrelation_and_spectrum_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(periods, "SIZE", 7)
+    x = np.random.default_rng(2).random(60)
+    d = x - x.mean()
+    points = periods.numbered(hourly(spark, s=x), ["series"])
+    lags = spark.range(70).select(F.lit("s").alias("series"), F.col("id").alias("lag"))
+    got = {r["lag"]: r["acf"] for r in periods.autocorrelation(points, ["series"], lags).collect()}
+    assert sorted(got) == list(range(60))
+    assert np.allclose([got[k] for k in range(60)], [(d[k:] * d[: len(d) - k]).sum() / (d * d).sum() for k in range(60)])
+    t = np.arange(60)
+    want = np.abs(np.fft.fft(x - np.polyval(np.polyfit(t, x, 1), t)))
+    power = {r["k"]: r["power"] for r in periods.spectrum(points, ["series"]).collect()}
+    assert np.allclose([power[k] for k in range(1, 31)], want[1:31])
 
 
 def test_isolation_scores_are_seeded_and_find_the_odd_one():
-    rng = np.random.default_rng(4)
-    train = rng.normal(0.5, 0.05, 400)
-    a = learned.isolation_scores(train, np.array([0.5, 3.0]))
-    b = learned.isolation_scores(train, np.array([0.5, 3.0]))
-    assert np.array_equal(a[1], b[1])
-    assert a[1][1] > a[1][0]
-    assert a[1][1] > np.quantile(a[0], 0.9)
+    train = np.random.default_rng(4).normal(0.5, 0.05, 400)
+    a, b = (learned.isolation_scores(learned.grown(train), 256, np.array([0.5, 3.0])) for _ in range(2))
+    assert np.array_equal(a, b)
+    assert a[1] > a[0]
+    assert a[1] > np.quantile(learned.isolation_scores(learned.grown(train), 256, train), 0.9)
+
+
+def test_forest_takes_its_limit_from_all_history(spark, monkeypatch):
+    monkeypatch.setattr(learned, "CELL", 50)
+    monkeypatch.setattr(learned, "SAMPLE", 4)  # trees see 400 of the 600 past values
+    values = np.random.default_rng(4).normal(0.5, 0.05, 600)
+    past = spark.createDataFrame([("s", "e", 1, i, float(v)) for i, v in enumerate(values)], "series string, event_name string, period int, idx int, value double")
+    few = past.where("idx < 9").withColumn("series", F.lit("few"))
+    now = spark.createDataFrame([(s, "e", i, v) for s in ("s", "few") for i, v in enumerate([0.5, 3.0, -2.0])], "series string, event_name string, idx int, value double")
+    got = learned.isolation_forest(now, past.unionAll(few)).collect()
+    assert sorted((r["series"], r["idx"]) for r in got) == [("s", 1), ("s", 2)]
+    trees = learned.forests(past).collect()
+    own = learned.unpacked([t["cuts"] for t in trees], [t["depths"] for t in trees])
+    limit = np.quantile(learned.isolation_scores(own, trees[0]["size"], values), 0.9)
+    want = learned.isolation_scores(own, trees[0]["size"], np.array([3.0, -2.0])) - limit
+    assert np.allclose([r["ml_score"] for r in sorted(got)], want)
 
 
 def test_screening_counts_points_by_their_step(spark):
