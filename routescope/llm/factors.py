@@ -7,6 +7,8 @@ low rank; the sum over pairs is half the square of the sum less the sum of squar
 a text costs time linear in its features.
 
 The sample is bounded: ``per_class`` labelled ids a class and ``max_words`` words in all.
+A sampled row weighs its class's share of all labelled rows over that of the sample, so the
+bound does not move scores.
 Null text counts as empty: its word features are zero. Repeated rows get equal scores.
 Without labelled rows of both classes every score is the share of label 1, else 0.
 """
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from routescope.llm.labelled import BUCKETS, buckets, gathered, hashed_rows, labelled, scored, sigmoid
+from routescope.llm.labelled import BUCKETS, buckets, class_rows, class_weights, gathered, hashed_rows, labelled, scored, sigmoid
 from routescope.llm.words import ALNUM, arrow_rows, bytes_of, slices
 
 RANK = 8
@@ -131,11 +133,14 @@ class Model:
 SCALE = 4.0  # of word shares, against dense features of unit spread
 
 
-def train(rows: list[tuple[int, str | None, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.05) -> Model:
-    """Stochastic gradients with per-weight rates, one row at a time; seeded. Classes weigh as they occur."""
-    labels = np.array([r[0] for r in rows])
-    base = float(labels.mean()) if len(rows) else 0.0
-    if not 0 < base < 1:
+def train(
+    rows: list[tuple[int, str | None, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.05, whole: tuple[int, int] | None = None
+) -> Model:
+    """Stochastic gradients with per-weight rates, one row at a time; seeded. Classes weigh as they occur
+    among the rows counted in ``whole``, by default those given."""
+    labels = np.array([r[0] for r in rows], int)
+    base, weight = class_weights(labels, whole)
+    if len(np.unique(labels)) < 2:
         return Model(base)
     rng = np.random.default_rng(11)
     features = []
@@ -162,7 +167,7 @@ def train(rows: list[tuple[int, str | None, np.ndarray, np.ndarray]], epochs: in
             v = factors[at]
             total = x @ v
             z = offset + linear[at] @ x + 0.5 * float((total**2 - (x * x) @ (v * v)).sum())
-            slope = float(sigmoid(np.float64(z))) - labels[i]
+            slope = weight[labels[i]] * (float(sigmoid(np.float64(z))) - labels[i])
             to_l = slope * x + 1e-5 * linear[at]
             to_f = slope * (x[:, None] * total - v * (x * x)[:, None]) + 1e-4 * v
             g_l[at] += to_l**2
@@ -177,7 +182,7 @@ def train(rows: list[tuple[int, str | None, np.ndarray, np.ndarray]], epochs: in
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model:
     """A model from the rows of ``labels`` (doc_id, quality) for which ``usable`` holds."""
     rows = hashed_rows(labelled(docs, labels, "quality", per_class, usable), buckets, structure)
-    return train(gathered(rows, max_words))
+    return train(gathered(rows, max_words), whole=class_rows(docs, labels, "quality", usable))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

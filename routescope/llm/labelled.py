@@ -20,13 +20,35 @@ def fold(doc_id: str, parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == held, F.lit(False))
 
 
+def _known(labels: DataFrame, target: str, usable: Column | None) -> DataFrame:
+    usable = F.lit(True) if usable is None else usable
+    return labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+
+
+def class_rows(docs: DataFrame, labels: DataFrame, target: str, usable: Column | None = None) -> tuple[int, int]:
+    """Rows of ``docs`` labelled 0 and 1 that ``labelled`` draws from, all of them counted; ids only are read."""
+    rows = docs.select("doc_id").join(_known(labels, target, usable), "doc_id").groupBy("y").count().collect()
+    found = {r["y"]: r["count"] for r in rows}
+    return found.get(0, 0), found.get(1, 0)
+
+
+def class_weights(sampled: np.ndarray, whole: tuple[int, int] | None) -> tuple[float, np.ndarray]:
+    """Share of label 1 in the ``whole`` table, and what a sampled row of each class weighs: its
+    class's share there over that in the sample. Without ``whole`` the sample is the table."""
+    own = np.bincount(sampled, minlength=2)[:2]
+    if whole is None or not sum(whole):
+        whole = tuple(own)
+    there = np.array(whole, np.float64) / max(1, sum(whole))
+    here = own / max(1, own.sum())
+    return float(there[1]), np.where(own > 0, there / np.where(own > 0, here, 1.0), 0.0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, per_class: int, usable: Column | None = None) -> DataFrame:
     """Whole texts of at most ``per_class`` labelled ids a class, those first by a hash of the id.
 
     A null label or id is left out; an id labelled both ways counts as 1. The ids picked
     are few by their bound, so the planner sends them to the texts, not the reverse."""
-    usable = F.lit(True) if usable is None else usable
-    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    known = _known(labels, target, usable)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -60,15 +82,16 @@ def buckets(words: Words) -> np.ndarray:
     return (words.hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def gathered(rows: DataFrame, max_words: int) -> list[tuple[int, str | None, np.ndarray, np.ndarray]]:
+def gathered(rows: DataFrame, max_words: int, width: int = 1) -> list[tuple[int, str | None, np.ndarray, np.ndarray]]:
     """(label, language, buckets, extra) of the sample in hash order, to the driver one
-    partition at a time, until it holds ``max_words`` words."""
+    partition at a time, until it holds ``max_words`` words of ``width`` buckets each."""
     out, total = [], 0
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").toLocalIterator():
         ids = np.frombuffer(bytes(r["ids"]), np.int32)
-        if total + len(ids) > max_words:
+        words = len(ids) // width
+        if total + words > max_words:
             continue
-        total += len(ids)
+        total += words
         out.append((r["y"], r["lang"], ids, np.frombuffer(bytes(r["extra"]), np.float64)))
     return out
 

@@ -17,6 +17,7 @@ import corpus_pipeline
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from routescope.llm import chat, dartminhash, decontaminate, factors, forest, idfiles, languages, secretscan, toxicity, wfst  # noqa: E402
+from routescope.llm.labelled import gathered, hashed_rows  # noqa: E402
 from routescope.llm.words import SPACED, Words, bytes_of, shingles  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string"
@@ -261,6 +262,25 @@ def test_classifiers_on_held_out_rows(spark, labelled, operator, target):
     assert (none.score == 0).all()
 
 
+def test_bounded_samples_keep_the_class_shares(spark):
+    rows = docs(spark, [(i, prose(i, 30), "en") for i in range(600)])  # texts that say nothing of their label
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), int(i % 10 == 0)) for i in range(600)], "doc_id bigint, quality int, toxic int")
+    model = factors.fit(rows, labels, per_class=40)
+    got = factors.score(rows, model, ["doc_id"]).toPandas()
+    assert model.base == 0.9 and got.score.mean() > 0.75
+    assert toxicity.fit(rows, labels, per_class=20).base == 0.1
+    # as sampled, three clean rows are given up for seven toxic ones; where nine tenths are clean they are not
+    values = np.array([0.0] * 20 + [2.0] * 3 + [1.0] * 7 + [3.0] * 16)
+    y = np.array([0] * 23 + [1] * 23)
+    assert toxicity._threshold(values, y) == 0.5 and toxicity._threshold(values, y, weigh=(1.8, 0.2)) == 2.5
+
+
+def test_samples_are_bounded_in_words(spark):
+    texts = spark.createDataFrame([(i, 0, "en", prose(i, 10)) for i in range(4)], "doc_id bigint, y int, lang string, text string")
+    kept = gathered(hashed_rows(texts, toxicity.word_and_stems), 20, 1 + len(toxicity.STEMS))
+    assert [len(r[2]) for r in kept] == [30, 30]
+
+
 def test_factorised_pairs_equal_their_sum():
     rng = np.random.default_rng(0)
     m = factors.Model(0.5, np.zeros(3), np.ones(3), rng.normal(size=factors.BUCKETS + 3), rng.normal(size=(factors.BUCKETS + 3, factors.RANK)), 0.1)
