@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
 from routescope.session import cut_lineage
+from routescope.sources.landing import fresh_folder
 
 THIRD = 1.0 / 3.0
 
@@ -145,28 +146,41 @@ def initial_relations(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000, seed: int = 42, save_every: int = 5) -> DataFrame:
+def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000, seed: int = 42) -> DataFrame:
     """(as1, as2, p2c, p2p, c2p): shares of the states drawn over ``sweeps``.
 
     All links are redrawn at once from their neighbours' last states, by a draw fixed by
     link and sweep, so a lost task redraws the same. Tallies travel with the states.
+    Contexts are laid out by link once; states are small files, one table a sweep, so the
+    planner knows their size and a sweep moves contexts only when states are too large to send.
     """
-    contexts = cut_lineage(contexts)  # read in every sweep
-    state = start.withColumns({k: F.lit(0).cast("bigint") for k in ("down", "flat", "up")})
-    ctx = contexts.withColumns(
-        {
-            "b1": _lo(F.col("before"), F.col("as1")), "b2": _hi(F.col("before"), F.col("as1")),
-            "a1": _lo(F.col("as2"), F.col("after")), "a2": _hi(F.col("as2"), F.col("after")),
-        }
+    spark = contexts.sparkSession
+    folder = fresh_folder(spark, "sweeps")
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    state = start.select("as1", "as2", "rel", *[F.lit(0).cast("bigint").alias(k) for k in ("down", "flat", "up")])
+    state = saved(state, "0")
+    back, fore = F.col("before") < F.col("as1"), F.col("as2") < F.col("after")
+    ctx = contexts.join(state.select("as1", "as2"), ["as1", "as2"], "left_semi").select(
+        "as1", "as2", "n",
+        # a missing end has null as key and sign; nothing meets on a null
+        F.when(F.col("before").isNotNull(), _lo(F.col("before"), F.col("as1"))).alias("b1"),
+        F.when(F.col("before").isNotNull(), _hi(F.col("before"), F.col("as1"))).alias("b2"),
+        F.when(F.col("after").isNotNull(), _lo(F.col("as2"), F.col("after"))).alias("a1"),
+        F.when(F.col("after").isNotNull(), _hi(F.col("as2"), F.col("after"))).alias("a2"),
+        F.when(back, 1).when(~back, -1).alias("b_sign"), F.when(fore, 1).when(~fore, -1).alias("a_sign"),
     )
-    # a missing end has no key; give it its own so that no rows meet on it
+    ctx = saved(ctx.repartition("as1", "as2"), "contexts")  # read in every sweep
     for sweep in range(1, sweeps + 1):
         rel = state.select("as1", "as2", "rel")
         left = rel.toDF("b1", "b2", "b_rel")
         right = rel.toDF("a1", "a2", "a_rel")
         seen = ctx.join(left, ["b1", "b2"], "left").join(right, ["a1", "a2"], "left")
-        last = F.when(F.col("before").isNull(), 1).when(F.col("before") < F.col("as1"), F.col("b_rel")).otherwise(-F.col("b_rel"))
-        nxt = F.when(F.col("after").isNull(), -1).when(F.col("as2") < F.col("after"), F.col("a_rel")).otherwise(-F.col("a_rel"))
+        last = F.when(F.col("b_sign").isNull(), 1).otherwise(F.col("b_sign") * F.col("b_rel"))
+        nxt = F.when(F.col("a_sign").isNull(), -1).otherwise(F.col("a_sign") * F.col("a_rel"))
         votes = seen.select("as1", "as2", "n", last.alias("last"), nxt.alias("next")).groupBy("as1", "as2").agg(
             F.coalesce(F.sum(F.when((F.col("last") != 1) & (F.col("next") == -1), F.col("n"))), F.lit(0)).alias("v_down"),
             F.coalesce(F.sum(F.when((F.col("last") == 1) & (F.col("next") != -1), F.col("n"))), F.lit(0)).alias("v_up"),
@@ -175,14 +189,15 @@ def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000,
         u = _draw(sweep, seed)
         p_down, p_up = F.col("v_down") / F.col("v"), F.col("v_up") / F.col("v")
         drawn = F.when(u < p_down, -1).when(u < 1.0 - p_up, 0).otherwise(1)
-        state = state.join(votes, ["as1", "as2"]).withColumn("rel", drawn).select(
-            "as1", "as2", "rel",
-            (F.col("down") + F.when(F.col("rel") == -1, 1).otherwise(0)).alias("down"),
-            (F.col("flat") + F.when(F.col("rel") == 0, 1).otherwise(0)).alias("flat"),
-            (F.col("up") + F.when(F.col("rel") == 1, 1).otherwise(0)).alias("up"),
+        state = saved(
+            state.join(votes, ["as1", "as2"]).withColumn("rel", drawn).select(
+                "as1", "as2", "rel",
+                (F.col("down") + F.when(F.col("rel") == -1, 1).otherwise(0)).alias("down"),
+                (F.col("flat") + F.when(F.col("rel") == 0, 1).otherwise(0)).alias("flat"),
+                (F.col("up") + F.when(F.col("rel") == 1, 1).otherwise(0)).alias("up"),
+            ),
+            str(sweep),
         )
-        if sweep % save_every == 0 or sweep == sweeps:
-            state = cut_lineage(state)
     total = F.col("down") + F.col("flat") + F.col("up")
     return state.select(
         "as1", "as2", (F.col("down") / total).alias("p2c"), (F.col("flat") / total).alias("p2p"), (F.col("up") / total).alias("c2p")

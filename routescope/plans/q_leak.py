@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from routescope.functions import times as T
 from routescope.operators import leak, linkprob, pathsets
 from routescope.plans import jobs
 from routescope.plans.registry import query
-from routescope.plans.sqlviews import add_view
+from routescope.plans.sqlviews import VIEWS, add_view
 from routescope.sources import adapters as A
+from routescope.sources.landing import landed
 
 c = F.col
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -261,3 +264,78 @@ def f33(spark, d):
     probs = sampled(spark, d)
     p2c, reserved = linkprob.provider_links(counted_paths(spark, d), probs, 0.8)
     return rounded(linkprob.assemble(probs, linkprob.edge_probabilities(p2c, reserved)), "p2c", "p2p", "c2p")
+
+
+# The same at the reference's 1000 sweeps. The unrolled views above cannot say that many, so
+# this twin counts sweeps in a recursion, and the views built on its shares are named anew.
+ALL_SWEEPS = 1000
+
+
+def gibbs_twin(sweeps):
+    """The SQL of sampling with any number of sweeps, over ctx and rel0."""
+    return f"""WITH RECURSIVE cx AS MATERIALIZED (SELECT * FROM ctx), g AS (
+  SELECT 0 AS k, as1, as2, CAST(rel AS INTEGER) AS rel FROM rel0
+  UNION ALL
+  SELECT k, as1, as2, CAST(CASE WHEN u < dn / v THEN -1 WHEN u < 1.0 - up / v THEN 0 ELSE 1 END AS INTEGER) AS rel FROM (
+    SELECT k, as1, as2, ('0x' || substr(md5(as1 || '|' || as2 || '|' || k || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
+      coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v
+    FROM (SELECT m.k + 1 AS k, x.as1, x.as2, x.n, CASE WHEN x.bef IS NULL THEN 1 WHEN x.bef < x.as1 THEN b.rel ELSE -b.rel END AS lst,
+            CASE WHEN x.aft IS NULL THEN -1 WHEN x.as2 < x.aft THEN a.rel ELSE -a.rel END AS nxt
+          FROM cx x CROSS JOIN (SELECT DISTINCT k FROM g WHERE k < {sweeps}) m
+          LEFT JOIN g b ON b.as1 = least(x.bef, x.as1) AND b.as2 = greatest(x.bef, x.as1) AND x.bef IS NOT NULL
+          LEFT JOIN g a ON a.as1 = least(x.aft, x.as2) AND a.as2 = greatest(x.aft, x.as2) AND x.aft IS NOT NULL) GROUP BY k, as1, as2))
+SELECT as1, as2, count(*) FILTER (rel = -1) / {sweeps}.0::DOUBLE AS p2c, count(*) FILTER (rel = 0) / {sweeps}.0::DOUBLE AS p2p, count(*) FILTER (rel = 1) / {sweeps}.0::DOUBLE AS c2p
+FROM g WHERE k > 0 GROUP BY 1, 2"""
+
+
+_OF_SHARES = ("gibbs", "folded", "seeds", "chains", "follow", "pc1", "pc2", "pc3", "pieces", "reserved", "edgep")
+
+
+def _at_all_sweeps(sql):
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(_OF_SHARES)})\b", r"\1 \2_all", sql)
+
+
+add_view("gibbs_all", f"SELECT * FROM ({gibbs_twin(ALL_SWEEPS)})")
+for _name in _OF_SHARES[1:]:
+    add_view(f"{_name}_all", _at_all_sweeps(VIEWS[_name]))
+
+
+def sampled_all(spark, d):
+    """Stored at first use: the queries below read the same shares."""
+    return landed(spark, d, "relation_shares", lambda spark, d: sampled(spark, d, ALL_SWEEPS))
+
+
+def provider_edges_all(spark, d):
+    return linkprob.provider_links(counted_paths(spark, d), sampled_all(spark, d), 0.8)
+
+
+@query("F30_relationship_sampling_all", "SELECT * FROM gibbs_all")
+def f30_all(spark, d):
+    return sampled(spark, d, ALL_SWEEPS)
+
+
+@query("F31_provider_links_all", "SELECT as1, as2 FROM pc3_all")
+def f31_all(spark, d):
+    return provider_edges_all(spark, d)[0]
+
+
+@query("F31_unexplained_paths_all", "SELECT array_to_string(path, '|') AS path, n FROM reserved_all")
+def f31b_all(spark, d):
+    return provider_edges_all(spark, d)[1].withColumn("path", F.array_join("path", "|"))
+
+
+@query("F32_edge_probabilities_all", "SELECT as1, as2, round(p2c, 6) AS p2c, round(p2p, 6) AS p2p, round(c2p, 6) AS c2p, CAST(paths AS BIGINT) AS paths FROM edgep_all")
+def f32_all(spark, d):
+    return rounded(linkprob.edge_probabilities(*provider_edges_all(spark, d)), "p2c", "p2p", "c2p")
+
+
+@query(
+    "F33_probability_table_all",
+    """SELECT as1, as2, round(p2c, 6) AS p2c, round(p2p, 6) AS p2p, round(c2p, 6) AS c2p FROM gibbs_all
+       UNION ALL SELECT as1, as2, round(p2c, 6), round(p2p, 6), round(c2p, 6) FROM edgep_all e
+       WHERE NOT (e.as1 > e.as2 AND EXISTS (SELECT 1 FROM edgep_all r WHERE r.as1 = e.as2 AND r.as2 = e.as1))""",
+)
+def f33_all(spark, d):
+    probs = sampled_all(spark, d)
+    p2c, reserved = provider_edges_all(spark, d)
+    return rounded(linkprob.assemble(probs, linkprob.edge_probabilities(p2c, reserved)), "p2c", "p2p", "c2p")

@@ -1,8 +1,11 @@
+import hashlib
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from routescope.operators import linkprob as L
+from tools.check import TABLES
 
 
 def counted(spark, paths):
@@ -134,3 +137,51 @@ def test_providers_follow(spark):
     assert edge.where(F.abs(F.col("p2c") + F.col("p2p") + F.col("c2p") - 1) > 1e-9).count() == 0
     table = L.assemble(frame, edge)
     assert table.count() >= frame.count()
+
+
+def _draw(a, b, sweep, seed):
+    return int(hashlib.md5(f"{a}|{b}|{sweep}|{seed}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def test_sweeps_by_hand(spark):
+    ctx = L.link_contexts(counted(spark, some_paths()))
+    start = L.initial_relations(ctx, spark.createDataFrame([("a", "b", -1)], "as1 string, as2 string, rel int"))
+    rel = {(r["as1"], r["as2"]): r["rel"] for r in start.collect()}
+    around = {}
+    for a, b, before, after, n in ctx.collect():
+        around.setdefault((a, b), []).append((before, after, n))
+    tally = {link: [0, 0, 0] for link in rel}
+    for sweep in range(1, 8):
+        drawn = {}
+        for (a, b), rows in around.items():
+            down = up = 0
+            for before, after, n in rows:
+                last = 1 if before is None else rel[key(before, a)] * (1 if before < a else -1)
+                following = -1 if after is None else rel[key(b, after)] * (1 if b < after else -1)
+                down += n * (last != 1 and following == -1)
+                up += n * (last == 1 and following != -1)
+            v, u = sum(r[2] for r in rows), _draw(a, b, sweep, 42)
+            drawn[a, b] = -1 if u < down / v else 0 if u < 1.0 - up / v else 1
+            tally[a, b][drawn[a, b] + 1] += 1
+        rel = drawn
+    got = {(r["as1"], r["as2"]): [round(r[k] * 7) for k in ("p2c", "p2p", "c2p")] for r in L.sample_relations(ctx, start, 7).collect()}
+    assert got == tally
+
+
+def test_all_sweeps_are_registered():
+    from routescope.plans import catalog, q_leak
+
+    assert q_leak.ALL_SWEEPS == 1000
+    for name in ("F30_relationship_sampling", "F31_provider_links", "F31_unexplained_paths", "F32_edge_probabilities", "F33_probability_table"):
+        assert f"{name}_all" in catalog.QUERIES and "k < 1000" in catalog.oracles()[f"{name}_all"]
+
+
+def test_the_counting_twin_is_the_unrolled_one():
+    from routescope.plans import q_leak
+    from routescope.plans.sqlviews import with_views
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    unrolled = con.execute(with_views("SELECT * FROM gibbs ORDER BY 1, 2")).fetchall()
+    assert unrolled and con.execute(with_views(f"SELECT * FROM ({q_leak.gibbs_twin(q_leak.SWEEPS)}) ORDER BY 1, 2")).fetchall() == unrolled
