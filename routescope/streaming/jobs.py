@@ -7,6 +7,7 @@ plans on each micro-batch.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,17 @@ def run_to_table(stream: DataFrame, folder: str, forever: bool = False, every: s
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table").option(
         "checkpointLocation", f"{folder}/checkpoint"
     )
-    return (writer.trigger(processingTime=every) if forever else writer.trigger(availableNow=True)).start()
+    done = [int(n) for n in _names(stream.sparkSession, f"{folder}/checkpoint/commits") if n.isdigit()]
+    query = (writer.trigger(processingTime=every) if forever else writer.trigger(availableNow=True)).start()
+    _recorders[str(query.runId)] = _LateRows(stream.sparkSession, query, f"{folder}/late", max(done, default=-1))
+    return query
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing in one that is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -109,11 +120,72 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+class _LateRows(threading.Thread):
+    """Stores what each batch of a query dropped behind the watermark, while the query runs.
+
+    A query remembers its last batches only, so they are read as they end. Batches are
+    numbered without holes; should one pass unread, the count is refused, not made smaller.
+    """
+
+    def __init__(self, spark: SparkSession, query: StreamingQuery, folder: str, last: int) -> None:
+        super().__init__(daemon=True)
+        self.spark, self.query, self.folder = spark, query, folder
+        self.last = last  # batch read, or ended before this run
+        self.missed = False
+        self.failure: Exception | None = None
+        self.lock = threading.Lock()
+        self.start()
+
+    def read(self) -> None:
+        with self.lock:
+            newest = self.query.lastProgress
+            if newest is None or newest["batchId"] <= self.last:
+                return
+            known = self.query.recentProgress
+            self.missed |= known[0]["batchId"] > self.last + 1
+            fresh = [
+                (p["batchId"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
+                for p in known if p["batchId"] > self.last
+            ]
+            dropped = [row for row in fresh if row[1]]
+            if dropped:
+                self.spark.createDataFrame(dropped, "batch bigint, late bigint").coalesce(1).write.mode("append").parquet(self.folder)
+            self.last = known[-1]["batchId"]
+
+    def run(self) -> None:
+        try:
+            try:
+                while not self.query.awaitTermination(0.1):
+                    self.read()
+            finally:
+                self.read()
+        except Exception as ex:  # the query's own failure is raised where it is awaited
+            if self.query.exception() is None:
+                self.failure = ex
+
+    def count(self) -> int:
+        if not self.query.isActive:
+            self.join()
+        self.read()
+        if self.failure is not None:
+            raise self.failure
+        if self.missed:
+            raise RuntimeError("batches passed unread; raise spark.sql.streaming.numRecentProgressUpdates")
+        if not _names(self.spark, self.folder):
+            return 0
+        stored = self.spark.read.schema("batch bigint, late bigint").parquet(self.folder)
+        # a batch run again after a failure counts once
+        each = stored.groupBy("batch").agg(F.max("late").alias("late"))
+        return each.agg(F.sum("late").alias("late")).first()["late"] or 0
+
+
+_recorders: dict[str, _LateRows] = {}
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", [])
-    )
+    """Rows dropped behind the watermark so far by a query of ``run_to_table``, in all its
+    batches, those before a restart included."""
+    return _recorders[str(query.runId)].count()
 
 
 def per_batch(stream: DataFrame, folder: str, detect: Callable[[DataFrame], DataFrame]) -> StreamingQuery:

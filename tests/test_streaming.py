@@ -41,6 +41,28 @@ def test_counts_drop_late_rows(spark, tmp_path):
     assert counts[0] == (3, 1) and J.late_rows(q) == 1
 
 
+def test_late_rows_of_batches_no_longer_remembered(spark, tmp_path):
+    later = [[(k, 5100 + k, "A", "q", "1 4")] for k in range(12, 16)]
+    folder = feed(spark, tmp_path, [*PARTS, [(10, 5100, "A", "q", "1 4")], [(11, 6, "A", "q", "1 4")], *later])
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    try:
+        s = J.update_stream(spark, folder, batch(spark, PARTS[0]).schema, max_files=1)
+        q = J.run_to_table(J.bucket_counts(s, []), str(tmp_path / "out"))
+        q.awaitTermination()
+        remembered = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+        assert len(q.recentProgress) == 2 and remembered == 0  # of nine batches and more
+        assert J.late_rows(q) == 1
+        # a second run over what came since goes on counting
+        batch(spark, [(20, 7, "A", "q", "1 4")]).coalesce(1).write.mode("append").parquet(folder)
+        q = J.run_to_table(J.bucket_counts(s, []), str(tmp_path / "out"))
+        q.awaitTermination()
+        assert J.late_rows(q) == 2
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_route_state_across_batches(spark, tmp_path):
     ordered = [PARTS[0], PARTS[1], [r for r in PARTS[2] if r[0] != 8]]
     folder = feed(spark, tmp_path, ordered)
