@@ -259,6 +259,23 @@ def f34b(spark, d):
     return r.select("prefix", F.array_join("path", " ").alias("path"), c("difference").cast("bigint").alias("difference"))
 
 
+@query(
+    "F34_path_length_tags_prefix",
+    """SELECT prefix, array_to_string(path, ' ') AS path, abs(len(path) - len(expected)) AS difference FROM wdom WHERE abs(len(path) - len(expected)) > 3""",
+)
+def f34_prefix(spark, d):
+    # whole prefixes, whole paths with their prepends
+    u = A.updates(spark, d).where("aw = 'A'").withColumn("hops", F.split("as_path", " "))
+    r = C.path_length_tags(hijack.dominant_paths(u))
+    return r.select("prefix", F.array_join("path", " ").alias("path"), c("difference").cast("bigint").alias("difference"))
+
+
+add_view("wcount", "SELECT prefix, string_split(as_path, ' ') AS hops, count(*) AS n FROM updates WHERE aw = 'A' GROUP BY 1, 2")
+add_view(
+    "wdom",
+    """SELECT x.prefix, b.expected, x.hops AS path, x.n FROM wcount x JOIN (SELECT prefix, (list(hops ORDER BY n DESC, hops))[1] AS expected FROM wcount GROUP BY prefix) b ON b.prefix = x.prefix
+WHERE x.n >= 2 AND x.hops <> b.expected""",
+)
 add_view(
     "hcount",
     """SELECT regexp_extract(prefix, '^(\\d+\\.\\d+)', 1) AS prefix, list_transform(string_split(as_path, ' '), lambda h: 'h') AS hops, count(*) AS n FROM updates WHERE aw = 'A' GROUP BY 1, 2""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from routescope.functions import scores as S
@@ -9,7 +11,7 @@ from routescope.functions import times as T
 from routescope.operators import frequency, hijack, pathsets, reports
 from routescope.plans import jobs
 from routescope.plans.registry import query
-from routescope.plans.sqlviews import add_view
+from routescope.plans.sqlviews import VIEWS, add_view
 from routescope.sources import adapters as A
 from routescope.sources.landing import landed
 
@@ -216,6 +218,37 @@ def f4(spark, d):
     )
 
 
+# The same by whole prefixes, IPv6 ones included.
+add_view("pupd", "SELECT prefix, hops FROM updates WHERE aw = 'A'")
+for _from, _to in (("bpathn", "ppathn"), ("bdom", "pdom"), ("mitm", "pmitm")):
+    add_view(_to, re.sub(r"\bb(upd|pathn|dom)\b", r"p\1", VIEWS[_from]))
+
+
+@query(
+    "D17_dominant_path_prefix",
+    """SELECT prefix, array_to_string(expected, ' ') AS expected, expected_n, array_to_string(path, ' ') AS path, n FROM pdom""",
+)
+def d17_prefix(spark, d):
+    r = hijack.dominant_paths(announcements(spark, d))
+    return r.withColumns({"expected": F.array_join("expected", " "), "path": F.array_join("path", " ")})
+
+
+@query(
+    "F4_interception_patterns_prefix",
+    """SELECT prefix, target_as, scenario, array_to_string(path, ' ') AS path, array_to_string(expected, ' ') AS expected, n,
+              CAST(ins AS BIGINT) AS insertions, round(risk, 6)::DOUBLE AS risk,
+              CASE WHEN risk > 0.7 THEN 'high' WHEN risk > 0.5 THEN 'medium' ELSE 'low' END AS confidence
+       FROM pmitm WHERE risk > CASE WHEN scenario = 'victim' THEN 0.2 ELSE 0.3 END""",
+)
+def f4_prefix(spark, d):
+    r = hijack.interception_patterns(announcements(spark, d), A.asrel(spark, d), A.targets(spark, d))
+    return r.select(
+        "prefix", "target_as", "scenario", F.array_join("path", " ").alias("path"),
+        F.array_join("expected", " ").alias("expected"), "n", c("insertions").cast("bigint").alias("insertions"),
+        F.round("risk", 6).alias("risk"), "confidence",
+    )
+
+
 add_view("pathlist", "SELECT hops FROM paths WHERE len(hops) > 0")
 add_view(
     "suffixes",

@@ -96,3 +96,16 @@ def test_text(spark):
     assert one(spark, end, t=text) == "2024-01-02 05:06"
     assert one(spark, W.region(c), t=text) == "Norland"
     assert one(spark, W.mentioned_asns(c), t=text) == ["2", "10"]
+
+
+def test_dominant_paths_of_whole_prefixes(spark, rows, monkeypatch):
+    from routescope.plans import catalog
+    from routescope.sources import adapters
+
+    seen = {"10.0.1.0/24": ["1 2"] * 3 + ["1 3 3 3 3 3 2"] * 2, "10.0.2.0/24": ["5 6"] * 4, "2001:db8::/32": ["7 8"] * 3 + ["7 9 8"] * 2, "2001:db9::/32": ["4 8"] * 9}
+    data = [("A", prefix, path, path.split(" ")) for prefix, paths in seen.items() for path in paths]
+    u = spark.createDataFrame(data, "aw string, prefix string, as_path string, hops array<string>")
+    monkeypatch.setattr(adapters, "updates", lambda spark, d: u)
+    got = rows(catalog.QUERIES["D17_dominant_path_prefix"](spark, ""), "prefix", "expected", "expected_n", "path", "n")
+    assert got == [("10.0.1.0/24", "1 2", 3, "1 3 3 3 3 3 2", 2), ("2001:db8::/32", "7 8", 3, "7 9 8", 2)]
+    assert rows(catalog.QUERIES["F34_path_length_tags_prefix"](spark, "")) == [("10.0.1.0/24", "1 3 3 3 3 3 2", 5)]
