@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routescope.llm import chat, dartminhash, decontaminate, factors, forest, idfiles, languages, secretscan, toxicity, wfst
+from routescope.llm import (
+    chat, dartminhash, decontaminate, factors, forest, idfiles, languages, repair, secretscan, shallot, simhash, toxicity, wfst,
+)
 from routescope.llm.labelled import fold
 from routescope.sources.landing import fresh_folder
 
@@ -108,3 +110,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     held = fold("doc_id", 4, 2)
     rows = languages.predict(docs, languages.fit(docs, ~held), ["doc_id"])
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_repair", repair.twin())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.report(conversations, repair.faults(repair.damaged(conversations)))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_shallot", shallot.twin())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return shallot.described(*shallot.clustered(table(spark, folder, "embeddings")))
