@@ -33,7 +33,7 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _state(rows: DataFrame) -> DataFrame:
+def state_of(rows: DataFrame) -> DataFrame:
     """Adds the numeric hops, whether the row changes route state, and what it leaves behind."""
     has_path = (_c("aw") == "A") & (_c("as_path") != "")
     left = F.struct("aw", "as_path", "asns")
@@ -113,7 +113,7 @@ def route_changes(
     ``piece`` say how the global history of busy prefixes is cut. A withdrawal clears the
     path but not the origin.
     """
-    s = _state(rows)
+    s = state_of(rows)
     if "bucket" not in rows.columns:
         s = s.withColumn("bucket", T.bucket_seconds(_c("ts"), bucket))
     values = {"prev": "left_state", "prev_origin": "origin"}
@@ -124,6 +124,11 @@ def route_changes(
         s = before_across(s, ["target", "prefix"], values, piece, busy)
     else:
         raise ValueError(f"scope is 'file' or 'global', not {scope!r}")
+    return change_flags(s).drop("prev", "prev_origin", "left_state")
+
+
+def change_flags(s: DataFrame) -> DataFrame:
+    """How each message of ``state_of`` changes the route ``prev`` (aw, as_path, asns) and its origin ``prev_origin``."""
     live = _c("has_path") & (_c("prev.aw") == "A")
     new_len, old_len = F.size("asns"), F.size("prev.asns")
 
@@ -143,7 +148,7 @@ def route_changes(
             "new_after_w": flag(_c("has_path") & (_c("prev.aw") == "W")),
             "dup_w": flag((_c("aw") == "W") & (_c("prev.aw") == "W")),
         }
-    ).drop("prev", "prev_origin", "left_state")
+    )
 
 
 def _rate(top: Column, bottom: Column) -> Column:
@@ -271,7 +276,7 @@ def totals(series: DataFrame, by: list[str]) -> DataFrame:
 def window_totals(rows: DataFrame) -> DataFrame:
     """Per target over all its rows: counts, distinct prefixes and peers, flapping, path
     lengths, announcements and withdrawals per prefix."""
-    s = _state(rows)
+    s = state_of(rows)
     length = F.when(_c("as_path") != "", F.size("asns"))
     entries = F.array_compact(
         F.array(
@@ -315,7 +320,7 @@ def window_totals(rows: DataFrame) -> DataFrame:
 
 def origin_diversity(rows: DataFrame) -> DataFrame:
     """(target, prefix, origins): number of different origins announcing each prefix."""
-    pairs = _state(rows).where("origin IS NOT NULL").select("target", "prefix", "origin").distinct()
+    pairs = state_of(rows).where("origin IS NOT NULL").select("target", "prefix", "origin").distinct()
     return pairs.groupBy("target", "prefix").agg(F.count("*").alias("origins"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routescope.operators import hijack
-from routescope.operators.relevance import relevant_updates
 from routescope.operators.features import FEATURE_INPUT
 from routescope.plans.registry import query
 from routescope.plans.sqlviews import add_view
 from routescope.sources import adapters as A
 from routescope.sources.landing import fresh_folder
 from routescope.streaming import jobs as J
+from routescope.streaming import state as K
+from routescope.streaming.late import late_rows
 
 c = F.col
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -20,8 +21,9 @@ FMT = "'%Y-%m-%d %H:%M:%S'"
 add_view("mark", "SELECT max(s) - 600 AS m FROM updates")
 
 
-def stream(spark, d):
-    return J.update_stream(spark, A.updates_path(spark, d), A.updates(spark, d).schema)
+def stream(spark, d, path=A.feed_path):
+    """The stored updates as they come in, a slice of time a batch."""
+    return J.update_stream(spark, path(spark, d), A.updates(spark, d).drop("date").schema, A.SLICE_FILES)
 
 
 def big(df, *names):
@@ -77,11 +79,10 @@ def j4(spark, d):
          CASE WHEN aw = 'A' AND p_aw = 'W' THEN 1 ELSE 0 END AS new_after_w, CASE WHEN aw = 'W' AND p_aw = 'W' THEN 1 ELSE 0 END AS dup_w FROM stg""",
 )
 def j5(spark, d):
-    folder, targets = fresh_folder(spark, "j5"), A.targets(spark, d)
-    J.route_state(
-        stream(spark, d).select(*FEATURE_INPUT), folder, lambda rows: relevant_updates(rows, targets, FEATURE_INPUT)
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("target", "prefix", "seq", *J.CHANGES)
+    folder = fresh_folder(spark, "j5")
+    rows = K.touching(stream(spark, d).select(*FEATURE_INPUT), A.targets(spark, d))
+    K.route_state(rows, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("target", "prefix", "seq", *K.CHANGES)
 
 
 @query(
@@ -118,10 +119,24 @@ def j7b(spark, d):
     return spark.read.parquet(f"{folder}/table").select("type", "seq", "target_as", "victim_as")
 
 
-@query("J8_late_rows", "SELECT 0 AS late, count(*) AS n FROM updates")
+# In the late feed a slice is a batch. A row is late when it lies at or behind the watermark that the
+# batch before its own had: ten minutes before the newest row of all batches before that one.
+add_view(
+    "arrivals",
+    f"""SELECT seq, s, CASE WHEN seq % {A.LATE_EVERY} = 7 THEN least(k + {A.LATE_BY}, {A.SLICES - 1}) ELSE k END AS batch
+FROM (SELECT seq, s, (s - min(s) OVER ()) * {A.SLICES} // (max(s) OVER () - min(s) OVER () + 1) AS k FROM updates)""",
+)
+add_view("marks", "SELECT b.batch, max(a.s) - 600 AS m FROM (SELECT DISTINCT batch FROM arrivals) b JOIN arrivals a ON a.batch <= b.batch - 2 GROUP BY 1")
+
+
+@query(
+    "J8_late_rows",
+    """SELECT count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS n FROM (
+         SELECT coalesce(a.s <= m.m, false) AS late FROM arrivals a LEFT JOIN marks m ON m.batch = a.batch)""",
+)
 def j8(spark, d):
-    s = J.bucket_counts(stream(spark, d), [])
+    s = stream(spark, d, A.late_feed_path).select("ts", c("seq").alias("_id"))
     folder = fresh_folder(spark, "j8")
-    q = J.run_to_table(s, folder)
+    q = J.run_to_table(J.distinct_messages(s), folder)
     q.awaitTermination()
-    return A.updates(spark, d).agg(F.count("*").alias("n")).select(F.lit(J.late_rows(q)).cast("bigint").alias("late"), "n")
+    return spark.read.parquet(f"{folder}/table").agg(F.count("*").alias("n")).select(F.lit(late_rows(q)).cast("bigint").alias("late"), "n")

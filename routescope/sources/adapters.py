@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
 from routescope.functions import times as T
-from routescope.sources.landing import landed, landed_path
+from routescope.sources.landing import landed, landed_feed, landed_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -97,6 +97,32 @@ def updates_path(spark: SparkSession, folder: str) -> str:
     return landed_path(spark, folder, "updates", _time_ordered_updates, ("date",))
 
 
+SLICES, SLICE_FILES = 6, 2  # of a feed: streams take it in so many batches
+LATE_EVERY, LATE_BY = 50, 3  # in the late feed one update in so many comes so many slices late
+
+
+def _slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Updates with the part of the covered time they fall in."""
+    u = updates(spark, folder).drop("date")
+    s = T.seconds(F.col("ts"))
+    first, last = u.agg(F.min(s), F.max(s)).first()  # two numbers
+    span = 1 if first is None else last - first + 1
+    return u.withColumn("slice", F.floor((s - F.lit(first or 0)) * SLICES / F.lit(span)).cast("int"))
+
+
+def _late_slices(spark: SparkSession, folder: str) -> DataFrame:
+    late = F.pmod("seq", F.lit(LATE_EVERY)) == 7
+    return _slices(spark, folder).withColumn("slice", F.when(late, F.least(F.col("slice") + LATE_BY, F.lit(SLICES - 1))).otherwise(F.col("slice")))
+
+
+def feed_path(spark: SparkSession, folder: str) -> str:
+    return landed_feed(spark, folder, "feed", _slices, SLICES, SLICE_FILES)
+
+
+def late_feed_path(spark: SparkSession, folder: str) -> str:
+    return landed_feed(spark, folder, "late_feed", _late_slices, SLICES, SLICE_FILES)
+
+
 def prefix2as(spark: SparkSession, folder: str) -> DataFrame:
     return landed(spark, folder, "prefix2as", derive_prefix2as)
 

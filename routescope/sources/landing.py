@@ -47,3 +47,20 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder of its own in the shared folder."""
     app = spark.sparkContext.applicationId
     return f"{shared_folder(spark).rstrip('/')}/routescope/{app}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def landed_feed(
+    spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame], slices: int, files: int
+) -> str:
+    """Where a feed lies: the rows of ``build`` by their column ``slice``, written slice after slice in ``files``
+    files each, so that a stream that takes so many files a batch sees one slice at a time."""
+    app = spark.sparkContext.applicationId
+    key = (app, folder, name)
+    if key not in _landed:
+        tag = hashlib.md5(folder.encode()).hexdigest()[:12]
+        path = f"{shared_folder(spark).rstrip('/')}/routescope/{app}/{tag}/{name}"
+        rows = build(spark, folder)
+        for k in range(slices):
+            rows.where(rows["slice"] == k).drop("slice").repartition(files, "seq").write.mode("overwrite" if k == 0 else "append").parquet(path)
+        _landed[key] = path
+    return _landed[key]

@@ -1,13 +1,12 @@
 """Structured Streaming forms of the update and alert operators.
 
-Event time is ``ts``; late rows are dropped behind a watermark and counted. Windowed
-counts, sessions and duplicate removal are streaming operators; detectors run their batch
-plans on each micro-batch.
+Event time is ``ts``; late rows are dropped behind a watermark and counted (``late``). Windowed
+counts, sessions and duplicate removal are streaming operators, route state is keyed state
+(``state``); detectors run their batch plans on each micro-batch.
 """
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ from pyspark.sql.types import StructType
 
 from routescope.functions import scores as S
 from routescope.functions import times as T
-from routescope.operators import features
 from routescope.sources import updates as U
+from routescope.streaming import late
 
 DELAY = "10 minutes"
 
@@ -99,18 +98,8 @@ def run_to_table(stream: DataFrame, folder: str, forever: bool = False, every: s
     now, else on and on."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table").option(
         "checkpointLocation", f"{folder}/checkpoint"
-    )
-    done = [int(n) for n in _names(stream.sparkSession, f"{folder}/checkpoint/commits") if n.isdigit()]
-    query = (writer.trigger(processingTime=every) if forever else writer.trigger(availableNow=True)).start()
-    _recorders[str(query.runId)] = _LateRows(stream.sparkSession, query, f"{folder}/late", max(done, default=-1))
-    return query
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    """What lies in a folder; nothing in one that is not there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    ).queryName(late.watched(stream.sparkSession, f"{folder}/late"))
+    return (writer.trigger(processingTime=every) if forever else writer.trigger(availableNow=True)).start()
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -120,74 +109,6 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-class _LateRows(threading.Thread):
-    """Stores what each batch of a query dropped behind the watermark, while the query runs.
-
-    A query remembers its last batches only, so they are read as they end. Batches are
-    numbered without holes; should one pass unread, the count is refused, not made smaller.
-    """
-
-    def __init__(self, spark: SparkSession, query: StreamingQuery, folder: str, last: int) -> None:
-        super().__init__(daemon=True)
-        self.spark, self.query, self.folder = spark, query, folder
-        self.last = last  # batch read, or ended before this run
-        self.missed = False
-        self.failure: Exception | None = None
-        self.lock = threading.Lock()
-        self.start()
-
-    def read(self) -> None:
-        with self.lock:
-            newest = self.query.lastProgress
-            if newest is None or newest["batchId"] <= self.last:
-                return
-            known = self.query.recentProgress
-            self.missed |= known[0]["batchId"] > self.last + 1
-            fresh = [
-                (p["batchId"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
-                for p in known if p["batchId"] > self.last
-            ]
-            dropped = [row for row in fresh if row[1]]
-            if dropped:
-                self.spark.createDataFrame(dropped, "batch bigint, late bigint").coalesce(1).write.mode("append").parquet(self.folder)
-            self.last = known[-1]["batchId"]
-
-    def run(self) -> None:
-        try:
-            try:
-                while not self.query.awaitTermination(0.1):
-                    self.read()
-            finally:
-                self.read()
-        except Exception as ex:  # the query's own failure is raised where it is awaited
-            if self.query.exception() is None:
-                self.failure = ex
-
-    def count(self) -> int:
-        if not self.query.isActive:
-            self.join()
-        self.read()
-        if self.failure is not None:
-            raise self.failure
-        if self.missed:
-            raise RuntimeError("batches passed unread; raise spark.sql.streaming.numRecentProgressUpdates")
-        if not _names(self.spark, self.folder):
-            return 0
-        stored = self.spark.read.schema("batch bigint, late bigint").parquet(self.folder)
-        # a batch run again after a failure counts once
-        each = stored.groupBy("batch").agg(F.max("late").alias("late"))
-        return each.agg(F.sum("late").alias("late")).first()["late"] or 0
-
-
-_recorders: dict[str, _LateRows] = {}
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far by a query of ``run_to_table``, in all its
-    batches, those before a restart included."""
-    return _recorders[str(query.runId)].count()
-
-
 def per_batch(stream: DataFrame, folder: str, detect: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Run a batch detector on each micro-batch; the output of a batch is written over
     whatever an interrupted try left, so each batch counts once."""
@@ -200,57 +121,6 @@ def per_batch(stream: DataFrame, folder: str, detect: Callable[[DataFrame], Data
     ).start()
 
 
-# What must be remembered of a prefix: its last announcement and its last message.
-_REMEMBERED = ["target", *features.FEATURE_INPUT]
-
-
-def _remember(rows: DataFrame) -> DataFrame:
-    has_path = (F.col("aw") == "A") & (F.col("as_path") != "")
-    kept = F.struct(*[n for n in _REMEMBERED if n not in ("target", "prefix")])
-    order = F.struct("ts", "seq")
-    g = rows.groupBy("target", "prefix").agg(
-        F.max_by(kept, F.when(has_path, order)).alias("a"),
-        F.max_by(kept, F.when(has_path | (F.col("aw") == "W"), order)).alias("s"),
-    )
-    listed = g.select("target", "prefix", F.explode(F.array_distinct(F.array_compact(F.array("a", "s")))).alias("m"))
-    return listed.select("target", "prefix", "m.*").select(*_REMEMBERED)
-
-
-CHANGES = ("dup_a", "ori_change", "longer", "shorter", "new_after_w", "dup_w")
-
-
-def route_state(
-    stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame], ttl_days: int | None = None, piece: int = 3600
-) -> StreamingQuery:
-    """Route changes of each (target, prefix), message by message, across micro-batches.
-
-    Between batches one or two messages per prefix are kept in a table of the shared
-    folder, one version per batch; they go before the next batch's rows, and the batch
-    operator, which spreads a busy prefix over pieces of time, does the rest. Prefixes
-    silent for ``ttl_days`` are forgotten, none by default, as in the batch operator. ``prepare`` finds the targets of a batch's rows.
-    """
-    spark = stream.sparkSession
-
-    def handle(rows: DataFrame, batch: int) -> None:
-        now = prepare(rows).select(*_REMEMBERED).withColumn("_new", F.lit(True))
-        if batch > 0:
-            old = spark.read.parquet(f"{folder}/state/batch={batch - 1}").withColumn("_new", F.lit(False))
-            now = now.unionByName(old)
-        changed = features.route_changes(now, "global", piece=piece)
-        changed.where("_new").select("target", "prefix", "seq", "edit", *CHANGES).write.mode("overwrite").parquet(
-            f"{folder}/table/batch={batch}"
-        )
-        newest = now.agg(F.max("ts")).scalar()
-        fresh = _remember(now)
-        if ttl_days is not None:
-            fresh = fresh.where(F.col("ts") >= newest - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
-        fresh.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
-
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True
-    ).start()
-
-
 def with_static(rows: DataFrame, prefix2as: DataFrame, edges: DataFrame) -> DataFrame:
     """Stream joined with the owners of its exact prefixes and marked for unknown first links."""
     from routescope.operators.links import both_ways

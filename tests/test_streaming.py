@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from routescope.functions import times as T
 from routescope.operators import features as FE
 from routescope.streaming import jobs as J
+from routescope.streaming import state as K
+from routescope.streaming.late import late_rows
 
 COLUMNS = ["seq", "ts", "aw", "peer_as", "prefix", "as_path", "hops"]
 
@@ -38,7 +40,7 @@ def test_counts_drop_late_rows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/table"))
     counts = {r["bucket"].minute: (r["announcement_count"], r["withdrawal_count"]) for r in got.collect()}
     # row 8 comes in the batch that moves the watermark past it and still counts; row 11 is late
-    assert counts[0] == (3, 1) and J.late_rows(q) == 1
+    assert counts[0] == (3, 1) and late_rows(q) == 1
 
 
 def test_late_rows_of_batches_no_longer_remembered(spark, tmp_path):
@@ -53,12 +55,12 @@ def test_late_rows_of_batches_no_longer_remembered(spark, tmp_path):
         q.awaitTermination()
         remembered = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
         assert len(q.recentProgress) == 2 and remembered == 0  # of nine batches and more
-        assert J.late_rows(q) == 1
+        assert late_rows(q) == 1
         # a second run over what came since goes on counting
         batch(spark, [(20, 7, "A", "q", "1 4")]).coalesce(1).write.mode("append").parquet(folder)
         q = J.run_to_table(J.bucket_counts(s, []), str(tmp_path / "out"))
         q.awaitTermination()
-        assert J.late_rows(q) == 2
+        assert late_rows(q) == 2
     finally:
         spark.conf.set(name, before)
 
@@ -71,13 +73,34 @@ def test_route_state_across_batches(spark, tmp_path):
     def targets(rows):
         return rows.withColumn("target", F.lit("t"))
 
-    J.route_state(J.update_stream(spark, folder, schema, max_files=1), str(tmp_path / "state"), targets).awaitTermination()
+    q = K.route_state(targets(J.update_stream(spark, folder, schema, max_files=1)), str(tmp_path / "state"))
+    q.awaitTermination()
+    done = [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(done) == 3 and [p["stateOperators"][0]["numRowsUpdated"] for p in done] == [2, 2, 2]  # keys with new messages
     got = spark.read.parquet(str(tmp_path / "state/table"))
-    assert got.select("batch").distinct().count() == 3
     whole = FE.route_changes(targets(spark.read.schema(schema).parquet(folder)), "global")
-    want = {r["seq"]: tuple(r[c] for c in J.CHANGES) for r in whole.collect()}
-    assert {r["seq"]: tuple(r[c] for c in J.CHANGES) for r in got.collect()} == want
-    assert want[5][4] == 1 and want[5][1] == 1  # announced again after a withdrawal, by another origin
+    want = {r["seq"]: (r["edit"], *(r[c] for c in K.CHANGES)) for r in whole.collect()}
+    assert {r["seq"]: (r["edit"], *(r[c] for c in K.CHANGES)) for r in got.collect()} == want
+    assert want[5][5] == 1 and want[5][2] == 1  # announced again after a withdrawal, by another origin
+
+
+def test_silent_prefixes_are_forgotten(spark, tmp_path):
+    day = 86_400
+    parts = [[(1, 0, "A", "p", "1 2")], [(2, 3 * day, "A", "q", "1 2")], [(3, 3 * day + 9000, "A", "r", "1 2")], [(4, 3 * day + 9100, "A", "p", "1 2"), (5, 3 * day + 9100, "A", "q", "1 2")]]
+    folder = feed(spark, tmp_path, parts)
+    rows = J.update_stream(spark, folder, batch(spark, PARTS[0]).schema, max_files=1).withColumn("target", F.lit("t"))
+    K.route_state(rows, str(tmp_path / "state"), ttl_days=2).awaitTermination()
+    got = {r["seq"]: r["dup_a"] for r in spark.read.parquet(str(tmp_path / "state/table")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}  # p was silent for three days, q for hours
+
+
+def test_a_message_of_several_target_ases_counts_once(spark, tmp_path):
+    folder = feed(spark, tmp_path, [PARTS[0]])
+    s = J.update_stream(spark, folder, batch(spark, PARTS[0]).schema)
+    targets = spark.createDataFrame([("t", "1"), ("t", "2"), ("u", "2"), ("t", "2")], "target string, asn string")
+    K.route_state(K.touching(s, targets), str(tmp_path / "state")).awaitTermination()
+    got = sorted((r["target"], r["seq"], r["dup_a"]) for r in spark.read.parquet(str(tmp_path / "state/table")).collect())
+    assert got == [("t", 1, 0), ("t", 2, 1), ("t", 3, 0), ("u", 1, 0), ("u", 2, 1)]
 
 
 def test_duplicates_within_watermark(spark, tmp_path):
