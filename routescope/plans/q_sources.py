@@ -14,10 +14,12 @@ from routescope.plans.registry import query
 from routescope.plans.sqlviews import add_view
 from routescope.sources import adapters as A
 from routescope.sources import documents as D
+from routescope.sources import dumps as DU
 from routescope.sources import reference as R
 from routescope.sources import sinks as S
 from routescope.sources import updates as U
 from routescope.sources import verdicts as V
+from routescope.sources.landing import landed, landed_files
 
 c = F.col
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -68,6 +70,34 @@ def a3(spark, d):
     return U.scan(A.updates(spark, d), "2024-01-07 13:37:21", "2024-01-19 02:11:40").select("seq", T.text(c("ts")).alias("ts"))
 
 
+def dump_folder(spark, d):
+    """The updates as dump files of five minutes, written at first use."""
+    return landed_files(spark, d, "dumps", lambda spark, d, folder: DU.write(A.updates(spark, d), folder))
+
+
+READ_BACK = f"strftime(ts, {FMT}) AS ts, aw, peer_ip, peer_as, prefix, as_path, array_to_string(hops, ' ') AS hops, origin_as FROM updates"
+
+
+def read_back(rows):
+    return rows.select(T.text(c("ts")).alias("ts"), "aw", "peer_ip", "peer_as", "prefix", "as_path", F.array_join("hops", " ").alias("hops"), "origin_as")
+
+
+@query("A1_dump_files", f"SELECT {READ_BACK}")
+def a1_files(spark, d):
+    return read_back(DU.read_updates(spark, dump_folder(spark, d)))
+
+
+@query("A3_dump_range", f"SELECT {READ_BACK} WHERE ts >= TIMESTAMP '2024-01-07 13:35:00' AND ts <= TIMESTAMP '2024-01-19 02:11:40'")
+def a3_files(spark, d):
+    return read_back(DU.read_updates(spark, dump_folder(spark, d), "2024-01-07 13:37:21", "2024-01-19 02:11:40"))
+
+
+@query("A8_dump_audit", "SELECT DISTINCT 'updates.' || strftime(make_timestamp(s // 300 * 300 * 1000000), '%Y%m%d.%H%M') AS name, 'valid' AS status FROM updates")
+def a8_files(spark, d):
+    audited = DU.audit(spark, dump_folder(spark, d))
+    return audited.select(F.regexp_replace("name", r"\.p\d+\.txt\.gz$", "").alias("name"), "status").distinct()
+
+
 def dump_files(spark, d):
     name = F.concat(F.lit("updates."), F.date_format(T.bucket_start(c("ts")), "yyyyMMdd.HHmm"), F.lit(".gz"))
     return A.updates(spark, d).groupBy(name.alias("name")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
@@ -199,6 +229,18 @@ def docs(spark, d):
     return D.build(u.unionByName(u.where("seq % 10 = 0")))  # some messages arrive twice
 
 
+def stored_docs(spark, d):
+    """The documents as written, by date."""
+    return landed(spark, d, "documents_by_date", lambda spark, d: docs(spark, d).repartitionByRange("timestamp", "_id"), ("date",))
+
+
+def stored_index(spark, d):
+    def build(spark, d):
+        return D.postings(stored_docs(spark, d)).repartitionByRange("date", "kind", "key", "_id").sortWithinPartitions("date", "kind", "key")
+
+    return landed(spark, d, "postings_by_date", build, ("date",))
+
+
 @query(
     "A20_build_documents",
     f"SELECT _id, strftime(timestamp, {FMT}) AS timestamp, type, peer_as, prefix, array_to_string(arr, ' ') AS path, array_to_string(pairs, ' ') AS pairs, origin FROM docp",
@@ -217,7 +259,7 @@ def a20(spark, d):
 )
 def a16(spark, d):
     pairs = ["1-2", "5-9", "11-5", "0-11", "3-8", "20-4", "0-0"]
-    r = D.search(docs(spark, d), "2024-01-02 00:00:00", "2024-01-29 00:00:00", as_pairs=pairs, path_contains=["0"])
+    r = D.search_indexed(stored_docs(spark, d), stored_index(spark, d), "2024-01-02 00:00:00", "2024-01-29 00:00:00", as_pairs=pairs, path_contains=["0"])
     return r.select("_id")
 
 
@@ -228,9 +270,9 @@ def a16(spark, d):
 )
 def a16b(spark, d):
     when = ("2024-01-02 00:00:00", "2024-01-29 00:00:00")
-    t = docs(spark, d)
-    peer = D.search(t, *when, peer_as="3").select(F.lit("peer").alias("by"), "_id")
-    return peer.unionByName(D.search(t, *when, prefix="10.0.41.0/24").select(F.lit("prefix").alias("by"), "_id"))
+    t, index = stored_docs(spark, d), stored_index(spark, d)
+    peer = D.search_indexed(t, index, *when, peer_as="3").select(F.lit("peer").alias("by"), "_id")
+    return peer.unionByName(D.search_indexed(t, index, *when, prefix="10.0.41.0/24").select(F.lit("prefix").alias("by"), "_id"))
 
 
 @query(
@@ -238,7 +280,9 @@ def a16b(spark, d):
     """SELECT _id, as_path FROM docp WHERE type = 'A' AND timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' AND list_contains(arr, '7')""",
 )
 def a17(spark, d):
-    return D.leak_candidates(docs(spark, d), "7", "2024-01-05 00:00:00", "2024-01-25 00:00:00").select("_id", "as_path")
+    when = ("2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    r = D.search_indexed(stored_docs(spark, d), stored_index(spark, d), *when, path_contains=["7"], announced=True)
+    return r.orderBy("timestamp", "_id").select("_id", "as_path")
 
 
 @query(
@@ -248,7 +292,8 @@ def a17(spark, d):
 )
 def a18(spark, d):
     owned = A.prefix2as(spark, d).where(c("origin").isin("7", "12", "40"))
-    return D.hijack_candidates(docs(spark, d), "7", owned, "2024-01-05 00:00:00", "2024-01-25 00:00:00").select("_id", "prefix")
+    r = D.candidates_indexed(stored_docs(spark, d), stored_index(spark, d), "7", owned, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    return r.orderBy("timestamp", "_id").select("_id", "prefix")
 
 
 @query(
@@ -256,7 +301,7 @@ def a18(spark, d):
     f"SELECT _id AS seq, strftime(timestamp, {FMT}) AS ts, type AS aw, CAST(peer_as AS BIGINT) AS peer_as, prefix, as_path, nullif(origin, '') AS origin_as FROM docp",
 )
 def a19(spark, d):
-    r = D.as_updates(docs(spark, d))
+    r = D.as_updates(stored_docs(spark, d))
     return r.select("seq", T.text(c("ts")).alias("ts"), "aw", "peer_as", "prefix", "as_path", "origin_as")
 
 

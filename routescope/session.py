@@ -49,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark would take it for."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 _shipped: set[str] = set()
 
 

@@ -40,6 +40,59 @@ def write(docs: DataFrame, path: str, mode: str = "append") -> None:
     docs.repartitionByRange("timestamp", "_id").write.mode(mode).partitionBy("date").parquet(path)
 
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(date, kind, key, _id): every pair, AS and prefix of a document once, to be kept by date beside the documents."""
+    def entry(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    entries = F.concat(entry("pair", F.array_distinct("as_pairs")), entry("as", F.array_distinct("as_path_array")), entry("prefix", F.array("prefix")))
+    return docs.select("date", "_id", F.explode(entries).alias("e")).select("date", "e.kind", "e.key", "_id")
+
+
+def write_postings(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Postings by date; sorted by key, so that a key's rows lie together and other row groups are skipped."""
+    rows = postings(docs).repartitionByRange("date", "kind", "key", "_id").sortWithinPartitions("date", "kind", "key")
+    rows.write.mode(mode).partitionBy("date").parquet(path)
+
+
+def _days(start: str, end: str) -> Column:
+    return F.col("date").between(F.lit(start[:10]).cast("date"), F.lit(end[:10]).cast("date"))
+
+
+def _holding(index: DataFrame, kind: str, keys: Sequence[str] | DataFrame) -> DataFrame:
+    of_kind = index.where(F.col("kind") == kind)
+    if isinstance(keys, DataFrame):
+        return of_kind.join(keys.toDF("key").distinct(), "key", "left_semi").select("date", "_id")
+    return of_kind.where(F.col("key").isin(*keys)).select("date", "_id")
+
+
+def search_indexed(
+    docs: DataFrame, index: DataFrame, start: str, end: str, as_pairs: Sequence[str] = (), peer_as: str | None = None,
+    prefix: str | None = None, path_contains: Sequence[str] = (), announced: bool = False,
+) -> DataFrame:
+    """``search`` over stored documents: which of them hold a pair or an AS is read from the postings of the days asked for."""
+    index = index.where(_days(start, end))
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    found = docs.where(_days(start, end) & F.col("timestamp").between(lo, hi))
+    if announced:
+        found = found.where(F.col("type") == "A")
+    if peer_as is not None:
+        found = found.where(F.col("peer_as") == str(peer_as))
+    wanted = ([("pair", as_pairs)] if as_pairs else []) + [("as", [str(a)]) for a in path_contains] + ([("prefix", [prefix])] if prefix is not None else [])
+    for kind, keys in wanted:
+        found = found.join(_holding(index, kind, keys), ["date", "_id"], "left_semi")
+    return found
+
+
+def candidates_indexed(docs: DataFrame, index: DataFrame, target: str, owned: DataFrame, start: str, end: str) -> DataFrame:
+    """Announcements whose path holds ``target`` or whose prefix is one of ``owned``, by the postings."""
+    index = index.where(_days(start, end))
+    hits = _holding(index, "as", [str(target)]).unionByName(_holding(index, "prefix", owned.select("prefix")))
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    rows = docs.where(_days(start, end) & F.col("timestamp").between(lo, hi) & (F.col("type") == "A"))
+    return rows.join(hits, ["date", "_id"], "left_semi")
+
+
 def search(
     docs: DataFrame, start: str, end: str, as_pairs: Sequence[str] = (), peer_as: str | None = None,
     prefix: str | None = None, path_contains: Sequence[str] = (),

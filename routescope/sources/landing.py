@@ -64,3 +64,15 @@ def landed_feed(
             rows.where(rows["slice"] == k).drop("slice").repartition(files, "seq").write.mode("overwrite" if k == 0 else "append").parquet(path)
         _landed[key] = path
     return _landed[key]
+
+
+def landed_files(spark: SparkSession, folder: str, name: str, write: Callable[[SparkSession, str, str], object]) -> str:
+    """The folder that ``write`` (spark, source folder, folder to fill) filled, at its first use in this application."""
+    app = spark.sparkContext.applicationId
+    key = (app, folder, name)
+    if key not in _landed:
+        tag = hashlib.md5(folder.encode()).hexdigest()[:12]
+        path = f"{shared_folder(spark).rstrip('/')}/routescope/{app}/{tag}/{name}"
+        write(spark, folder, path)
+        _landed[key] = path
+    return _landed[key]

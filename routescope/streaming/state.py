@@ -38,7 +38,7 @@ class Remember(StatefulProcessor):
         self.memory = handle.getValueState("memory", _MEMORY)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.memory.get() if self.memory.exists() else None
+        held = self.memory.get()
         aw, path, asns, origin = tuple(held) if held is not None else (None, None, None, None)
         changed, last_seq, last_ts = False, None, None
         for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
