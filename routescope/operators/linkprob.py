@@ -7,12 +7,16 @@ round changes nothing.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
-from routescope.session import cut_lineage
-from routescope.sources.landing import fresh_folder
+from routescope.session import cut_lineage, ship_package
+from routescope.sources.landing import fresh_folder, removed
 
 THIRD = 1.0 / 3.0
 
@@ -128,12 +132,6 @@ def link_contexts(counted: DataFrame) -> DataFrame:
     ).agg(F.sum("n").alias("n"))
 
 
-def _draw(sweep: int, seed: int) -> Column:
-    """A number in [0, 1) fixed by link, sweep and seed."""
-    text = F.concat_ws("|", "as1", "as2", F.lit(str(sweep)), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
 def initial_relations(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     """(as1, as2, rel): -1 when as1 provides as2, 1 the other way, 0 peers or unknown."""
     flip = F.col("as1") > F.col("as2")
@@ -146,60 +144,180 @@ def initial_relations(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000, seed: int = 42) -> DataFrame:
-    """(as1, as2, p2c, p2p, c2p): shares of the states drawn over ``sweeps``.
+def _laid_out(contexts: DataFrame, start: DataFrame) -> DataFrame:
+    """Contexts by link, each with the keys of the links beside it, the signs that turn their
+    relations, and whether they come before the link itself in a sweep. A missing end has nulls."""
+    before, after = F.col("before"), F.col("after")
+    ctx = contexts.join(start.select("as1", "as2"), ["as1", "as2"], "left_semi").select(
+        "as1", "as2", "n",
+        F.when(before.isNotNull(), _lo(before, F.col("as1"))).alias("b1"), F.when(before.isNotNull(), _hi(before, F.col("as1"))).alias("b2"),
+        F.when(after.isNotNull(), _lo(F.col("as2"), after)).alias("a1"), F.when(after.isNotNull(), _hi(F.col("as2"), after)).alias("a2"),
+        F.when(before < F.col("as1"), 1).when(before.isNotNull(), -1).otherwise(0).alias("b_sign"),
+        F.when(F.col("as2") < after, 1).when(after.isNotNull(), -1).otherwise(0).alias("a_sign"),
+    )
+
+    def early(one: str, two: str) -> Column:
+        return F.coalesce((F.col(one) < F.col("as1")) | ((F.col(one) == F.col("as1")) & (F.col(two) < F.col("as2"))), F.lit(False))
+
+    return ctx.withColumns({"b_early": early("b1", "b2"), "a_early": early("a1", "a2")}).repartition("as1", "as2").sortWithinPartitions("as1", "as2")
+
 
-    All links are redrawn at once from their neighbours' last states, by a draw fixed by
-    link and sweep, so a lost task redraws the same. Tallies travel with the states.
-    Contexts are laid out by link once; states are small files, one table a sweep, so the
-    planner knows their size and a sweep moves contexts only when states are too large to send.
+def _histories(column: pa.Array, last: pa.Array, sign: np.ndarray, early: np.ndarray, width: int, missing: int) -> np.ndarray:
+    """(rows, width): what each row's link sees of a neighbour in every sweep: its state of the same sweep
+    if it comes early, else of the sweep before."""
+    out = np.full((len(column), width), missing, np.int8)
+    there = np.flatnonzero(sign)
+    if len(there):
+        own = np.frombuffer(b"".join(column.take(pa.array(there)).to_pylist()), np.int8).reshape(-1, width)
+        late = ~early[there]
+        own = own.copy()
+        own[late, 1:] = own[late, :-1]
+        own[late, 0] = last.to_numpy(zero_copy_only=False)[there][late]
+        out[there] = own * sign[there, None].astype(np.int8)
+    return out
+
+
+_VOTES = "as1 string, as2 string, tag int, n bigint, last int, states binary, u binary, down binary, up binary"
+
+
+def _votes(seen: DataFrame, width: int) -> DataFrame:
+    """Sums of the votes for each link and sweep, a row for every run of a link's contexts."""
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                num = {k: col[k].to_numpy(zero_copy_only=False) for k in ("n", "b_sign", "a_sign", "b_early", "a_early")}
+                last = _histories(col["b_states"], col["b_last"], num["b_sign"], num["b_early"], width, 1)
+                following = _histories(col["a_states"], col["a_last"], num["a_sign"], num["a_early"], width, -1)
+                one, two = col["as1"].to_pylist(), col["as2"].to_pylist()
+                first = [0] + [i for i in range(1, len(one)) if one[i] != one[i - 1] or two[i] != two[i - 1]]
+                weight = num["n"][:, None]
+                down = np.add.reduceat(((last != 1) & (following == -1)) * weight, first, axis=0)
+                up = np.add.reduceat(((last == 1) & (following != -1)) * weight, first, axis=0)
+                n = np.add.reduceat(num["n"], first)
+                none = pa.nulls(len(first), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([one[i] for i in first]), pa.array([two[i] for i in first]), pa.array([1] * len(first), pa.int32()), pa.array(n.astype(np.int64)),
+                     pa.nulls(len(first), pa.int32()), none, none, pa.array([r.tobytes() for r in down.astype(np.int64)], pa.binary()),
+                     pa.array([r.tobytes() for r in up.astype(np.int64)], pa.binary())],
+                    ["as1", "as2", "tag", "n", "last", "states", "u", "down", "up"])
+
+    return seen.mapInArrow(run, _VOTES)
+
+
+_STATES = "as1 string, as2 string, last int, states binary, u binary, changed boolean"
+
+
+def _redrawn(rows: DataFrame, width: int) -> DataFrame:
+    """Each link's states drawn anew from its votes; a link comes first, its sums of votes follow."""
+
+    def run(batches):
+        def drawn(link, n, down, up):
+            u = np.frombuffer(link["u"], np.uint32) / 4294967296.0
+            states = np.where(u < down / n, -1, np.where(u < 1.0 - up / n, 0, 1)).astype(np.int8).tobytes() if n else link["states"]
+            return {**{k: link[k] for k in ("as1", "as2", "last", "u")}, "states": states, "changed": states != link["states"]}
+
+        link = None
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if r["tag"] == 0:
+                    if link is not None:
+                        done.append(drawn(link, n, down, up))
+                    link, n, down, up = r, 0, np.zeros(width, np.int64), np.zeros(width, np.int64)
+                elif link is not None:
+                    n, down, up = n + r["n"], down + np.frombuffer(r["down"], np.int64), up + np.frombuffer(r["up"], np.int64)
+            yield _state_rows(done)
+        if link is not None:
+            yield _state_rows([drawn(link, n, down, up)])
+
+    ordered = rows.repartition("as1", "as2").sortWithinPartitions("as1", "as2", "tag")
+    return ordered.mapInArrow(run, _STATES)
+
+
+def _state_rows(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"as1": pa.string(), "as2": pa.string(), "last": pa.int32(), "states": pa.binary(), "u": pa.binary(), "changed": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+
+
+def _begun(links: DataFrame, first: int, width: int, seed: int) -> DataFrame:
+    """Links with their draws of the sweeps from ``first`` on, fixed by link, sweep and seed, and a first guess of their states: the last."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                digests = [hashlib.md5(f"{r['as1']}|{r['as2']}|{first + k}|{seed}".encode()).digest()[:4] for k in range(width)]
+                u = np.frombuffer(b"".join(digests), ">u4").astype(np.uint32).tobytes()
+                rows.append({"as1": r["as1"], "as2": r["as2"], "last": r["rel"], "states": np.full(width, r["rel"], np.int8).tobytes(), "u": u, "changed": True})
+            yield _state_rows(rows)
+
+    return links.mapInArrow(run, _STATES)
+
+
+def _tallied(links: DataFrame, states: DataFrame) -> DataFrame:
+    """Links with the last of their states, and the states counted."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int8) for x in batch.column("states").to_pylist()]
+            counts = [[int((r == k).sum()) for r in rows] for k in (-1, 0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("as1"), batch.column("as2"), pa.array([int(r[-1]) for r in rows], pa.int32()), *[pa.array(c, pa.int64()) for c in counts]],
+                ["as1", "as2", "rel", "_down", "_flat", "_up"])
+
+    counted = states.select("as1", "as2", "states").mapInArrow(run, "as1 string, as2 string, rel int, _down bigint, _flat bigint, _up bigint")
+    joined = links.drop("rel").join(counted, ["as1", "as2"])
+    return joined.select("as1", "as2", "rel", *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in ("down", "flat", "up")])
+
+
+def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000, seed: int = 42, span: int = 1000) -> DataFrame:
+    """(as1, as2, p2c, p2p, c2p): shares of the states drawn over ``sweeps`` by one-by-one sampling.
+
+    A sweep redraws the links one after the other in the order of their keys, each from what its
+    neighbours are just then, by a draw fixed by link and sweep. A state so depends on states of earlier
+    links in its sweep and of later ones in the sweep before, and all sweeps can be solved at once: every
+    link holds its states of ``span`` sweeps, guesses at first; a round redraws all of them from the
+    neighbours' guesses. What depends on right states only becomes right for good, so the rounds end, when none
+    changes a state, with the very states of the one-by-one sampler. A wrong state seldom changes
+    what its neighbours draw, so wrong ones die out in tens of rounds, whatever ``span``; should
+    they not, a round still settles one state of every dependency chain.
+
+    A round joins contexts with two links' histories and sums the votes before it shuffles them by link; a
+    hub's contexts are summed where they lie. Histories are small tables of the shared folder, the last
+    but one removed; nothing is gathered but the number of links that changed.
     """
     spark = contexts.sparkSession
     folder = fresh_folder(spark, "sweeps")
+    ship_package(spark)
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    state = start.select("as1", "as2", "rel", *[F.lit(0).cast("bigint").alias(k) for k in ("down", "flat", "up")])
-    state = saved(state, "0")
-    back, fore = F.col("before") < F.col("as1"), F.col("as2") < F.col("after")
-    ctx = contexts.join(state.select("as1", "as2"), ["as1", "as2"], "left_semi").select(
-        "as1", "as2", "n",
-        # a missing end has null as key and sign; nothing meets on a null
-        F.when(F.col("before").isNotNull(), _lo(F.col("before"), F.col("as1"))).alias("b1"),
-        F.when(F.col("before").isNotNull(), _hi(F.col("before"), F.col("as1"))).alias("b2"),
-        F.when(F.col("after").isNotNull(), _lo(F.col("as2"), F.col("after"))).alias("a1"),
-        F.when(F.col("after").isNotNull(), _hi(F.col("as2"), F.col("after"))).alias("a2"),
-        F.when(back, 1).when(~back, -1).alias("b_sign"), F.when(fore, 1).when(~fore, -1).alias("a_sign"),
-    )
-    ctx = saved(ctx.repartition("as1", "as2"), "contexts")  # read in every sweep
-    for sweep in range(1, sweeps + 1):
-        rel = state.select("as1", "as2", "rel")
-        left = rel.toDF("b1", "b2", "b_rel")
-        right = rel.toDF("a1", "a2", "a_rel")
-        seen = ctx.join(left, ["b1", "b2"], "left").join(right, ["a1", "a2"], "left")
-        last = F.when(F.col("b_sign").isNull(), 1).otherwise(F.col("b_sign") * F.col("b_rel"))
-        nxt = F.when(F.col("a_sign").isNull(), -1).otherwise(F.col("a_sign") * F.col("a_rel"))
-        votes = seen.select("as1", "as2", "n", last.alias("last"), nxt.alias("next")).groupBy("as1", "as2").agg(
-            F.coalesce(F.sum(F.when((F.col("last") != 1) & (F.col("next") == -1), F.col("n"))), F.lit(0)).alias("v_down"),
-            F.coalesce(F.sum(F.when((F.col("last") == 1) & (F.col("next") != -1), F.col("n"))), F.lit(0)).alias("v_up"),
-            F.sum("n").alias("v"),
-        )
-        u = _draw(sweep, seed)
-        p_down, p_up = F.col("v_down") / F.col("v"), F.col("v_up") / F.col("v")
-        drawn = F.when(u < p_down, -1).when(u < 1.0 - p_up, 0).otherwise(1)
-        state = saved(
-            state.join(votes, ["as1", "as2"]).withColumn("rel", drawn).select(
-                "as1", "as2", "rel",
-                (F.col("down") + F.when(F.col("rel") == -1, 1).otherwise(0)).alias("down"),
-                (F.col("flat") + F.when(F.col("rel") == 0, 1).otherwise(0)).alias("flat"),
-                (F.col("up") + F.when(F.col("rel") == 1, 1).otherwise(0)).alias("up"),
-            ),
-            str(sweep),
-        )
+    links = saved(start.select("as1", "as2", "rel", *[F.lit(0).cast("bigint").alias(k) for k in ("down", "flat", "up")]), "links-0")
+    ctx = saved(_laid_out(contexts, links), "contexts")
+    for first in range(1, sweeps + 1, span):
+        width = min(span, sweeps + 1 - first)
+        state = saved(_begun(links, first, width, seed), f"states-{first}-0")
+        turn = 0
+        while True:
+            turn += 1
+            known = state.select("as1", "as2", "last", "states")
+            seen = ctx.join(known.toDF("b1", "b2", "b_last", "b_states"), ["b1", "b2"], "left").join(known.toDF("a1", "a2", "a_last", "a_states"), ["a1", "a2"], "left")
+            votes = _votes(seen.select("as1", "as2", "n", *[f"{x}_{k}" for x in "ba" for k in ("sign", "early", "last", "states")]), width)
+            heads = state.select("as1", "as2", F.lit(0).alias("tag"), F.lit(0).cast("bigint").alias("n"), "last", "states", "u",
+                                 *[F.lit(None).cast("binary").alias(k) for k in ("down", "up")])
+            state = saved(_redrawn(heads.unionByName(votes), width), f"states-{first}-{turn}")
+            if turn > 1:
+                removed(spark, f"{folder}/states-{first}-{turn - 2}")
+            if state.where("changed").isEmpty():
+                break
+        links = saved(_tallied(links, state), f"links-{first}")
     total = F.col("down") + F.col("flat") + F.col("up")
-    return state.select(
+    return links.select(
         "as1", "as2", (F.col("down") / total).alias("p2c"), (F.col("flat") / total).alias("p2p"), (F.col("up") / total).alias("c2p")
     )
 

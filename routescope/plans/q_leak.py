@@ -162,23 +162,40 @@ add_view(
     """SELECT q.as1, q.as2, coalesce(r.rel, 0) AS rel FROM (SELECT DISTINCT as1, as2 FROM ctx) q LEFT JOIN (
   SELECT least(as1, as2) AS as1, greatest(as1, as2) AS as2, min(CASE WHEN as1 > as2 THEN -rel ELSE rel END) AS rel FROM asrel GROUP BY 1, 2) r ON r.as1 = q.as1 AND r.as2 = q.as2""",
 )
-SWEEPS = 2
-for _k in range(1, SWEEPS + 1):
-    add_view(
-        f"rel{_k}",
-        f"""SELECT as1, as2, CASE WHEN u < dn / v THEN -1 WHEN u < 1.0 - up / v THEN 0 ELSE 1 END AS rel FROM (
-  SELECT as1, as2, ('0x' || substr(md5(as1 || '|' || as2 || '|{_k}|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-    coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v
-  FROM (SELECT x.as1, x.as2, x.n, CASE WHEN x.bef IS NULL THEN 1 WHEN x.bef < x.as1 THEN b.rel ELSE -b.rel END AS lst,
-          CASE WHEN x.aft IS NULL THEN -1 WHEN x.as2 < x.aft THEN a.rel ELSE -a.rel END AS nxt
-        FROM ctx x LEFT JOIN rel{_k - 1} b ON b.as1 = least(x.bef, x.as1) AND b.as2 = greatest(x.bef, x.as1) AND x.bef IS NOT NULL
-        LEFT JOIN rel{_k - 1} a ON a.as1 = least(x.aft, x.as2) AND a.as2 = greatest(x.aft, x.as2) AND x.aft IS NOT NULL) GROUP BY 1, 2)""",
-    )
+SWEEPS = 1000
+# Links numbered in the order of their keys, contexts by numbers, and pairs of links that share a context.
+add_view("lnk", "SELECT row_number() OVER (ORDER BY as1, as2) AS id, as1, as2, rel FROM rel0")
 add_view(
-    "gibbs",
-    f"""SELECT as1, as2, count(*) FILTER (rel = -1) / {SWEEPS}.0::DOUBLE AS p2c, count(*) FILTER (rel = 0) / {SWEEPS}.0::DOUBLE AS p2p, count(*) FILTER (rel = 1) / {SWEEPS}.0::DOUBLE AS c2p
-FROM ({' UNION ALL '.join(f'SELECT * FROM rel{k}' for k in range(1, SWEEPS + 1))}) GROUP BY 1, 2""",
+    "cx",
+    """SELECT t.id, x.n, b.id AS b, CASE WHEN x.bef < x.as1 THEN 1 ELSE -1 END AS bs, a.id AS a, CASE WHEN x.as2 < x.aft THEN 1 ELSE -1 END AS sgn
+FROM ctx x JOIN lnk t ON t.as1 = x.as1 AND t.as2 = x.as2
+LEFT JOIN lnk b ON b.as1 = least(x.bef, x.as1) AND b.as2 = greatest(x.bef, x.as1) AND x.bef IS NOT NULL
+LEFT JOIN lnk a ON a.as1 = least(x.aft, x.as2) AND a.as2 = greatest(x.aft, x.as2) AND x.aft IS NOT NULL""",
 )
+add_view("beside", "SELECT DISTINCT * FROM (SELECT id, b AS o FROM cx WHERE b <> id UNION ALL SELECT b, id FROM cx WHERE b <> id UNION ALL SELECT id, a FROM cx WHERE a <> id UNION ALL SELECT a, id FROM cx WHERE a <> id)")
+
+
+def gibbs_twin(sweeps):
+    """One-by-one sampling in SQL: a link is redrawn as soon as all links beside it stand where its turn finds
+    them, those of smaller numbers one sweep ahead and the others level with it."""
+    return f"""WITH RECURSIVE g AS (
+  SELECT id, 0 AS t, CAST(rel AS INTEGER) AS rel, 0 AS dn, 0 AS fl, 0 AS up FROM lnk
+  UNION ALL
+  SELECT s.id, s.t + CASE WHEN w.id IS NULL THEN 0 ELSE 1 END, coalesce(w.rel, s.rel), s.dn + CASE WHEN w.rel = -1 THEN 1 ELSE 0 END, s.fl + CASE WHEN w.rel = 0 THEN 1 ELSE 0 END, s.up + CASE WHEN w.rel = 1 THEN 1 ELSE 0 END
+  FROM g s LEFT JOIN (
+    SELECT v.id, CAST(CASE WHEN v.u < v.dn / v.v THEN -1 WHEN v.u < 1.0 - v.up / v.v THEN 0 ELSE 1 END AS INTEGER) AS rel FROM (
+      SELECT r.id, ('0x' || substr(md5(l.as1 || '|' || l.as2 || '|' || (r.t + 1) || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, q.dn, q.up, q.v
+      FROM (SELECT y.id, y.t FROM g y WHERE y.t < {sweeps} AND NOT EXISTS (SELECT 1 FROM beside p JOIN g o ON o.id = p.o WHERE p.id = y.id AND o.t <> y.t + CASE WHEN p.o < p.id THEN 1 ELSE 0 END)) r
+      JOIN lnk l ON l.id = r.id
+      JOIN (SELECT id, coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v FROM (
+              SELECT x.id, x.n, CASE WHEN x.b IS NULL THEN 1 ELSE x.bs * b.rel END AS lst, CASE WHEN x.a IS NULL THEN -1 ELSE x.sgn * a.rel END AS nxt
+              FROM cx x LEFT JOIN g b ON b.id = x.b LEFT JOIN g a ON a.id = x.a) GROUP BY id) q ON q.id = r.id) v) w ON w.id = s.id
+  WHERE (SELECT min(t) FROM g) < {sweeps})
+SELECT l.as1, l.as2, g.dn / {sweeps}.0::DOUBLE AS p2c, g.fl / {sweeps}.0::DOUBLE AS p2p, g.up / {sweeps}.0::DOUBLE AS c2p
+FROM (SELECT id, max(dn) AS dn, max(fl) AS fl, max(up) AS up FROM g GROUP BY id) g JOIN lnk l ON l.id = g.id"""
+
+
+add_view("gibbs", f"SELECT * FROM ({gibbs_twin(SWEEPS)})")
 
 
 def sampled(spark, d, sweeps=SWEEPS):
@@ -186,6 +203,11 @@ def sampled(spark, d, sweeps=SWEEPS):
     return linkprob.sample_relations(ctx, linkprob.initial_relations(ctx, A.asrel(spark, d)), sweeps)
 
 
+def stored_shares(spark, d):
+    """Stored at first use: the queries after F30 read the same shares."""
+    return landed(spark, d, "relation_shares", sampled)
+
+
 @query("F30_relationship_sampling", "SELECT * FROM gibbs")
 def f30(spark, d):
     return sampled(spark, d)
@@ -209,10 +231,7 @@ UNION SELECT path[1:lft + 1] FROM folded WHERE lft > 1 AND fp >= 0.2 UNION SELEC
 UNION SELECT path[rgt + 1:] FROM folded WHERE lft IS NOT NULL AND rgt < sz - 2 UNION SELECT list_reverse(path[rgt + 1:]) FROM folded WHERE lft IS NOT NULL AND rgt < sz - 2 AND lc >= 0.2""",
 )
 add_view("follow", "SELECT DISTINCT ch[i] AS as1, ch[i + 1] AS as2, ch[i + 2] AS as3 FROM (SELECT ch, unnest(range(1, len(ch) - 1)) AS i FROM chains WHERE len(ch) >= 3)")
-# a chain holds at most three edge links here, so three rounds close it
-add_view("pc1", "SELECT * FROM seeds UNION SELECT f.as2, f.as3 FROM follow f JOIN seeds s ON s.as1 = f.as1 AND s.as2 = f.as2")
-add_view("pc2", "SELECT * FROM pc1 UNION SELECT f.as2, f.as3 FROM follow f JOIN pc1 s ON s.as1 = f.as1 AND s.as2 = f.as2")
-add_view("pc3", "SELECT * FROM pc2 UNION SELECT f.as2, f.as3 FROM follow f JOIN pc2 s ON s.as1 = f.as1 AND s.as2 = f.as2")
+add_view("pc", "SELECT * FROM (WITH RECURSIVE p AS (SELECT as1, as2 FROM seeds UNION SELECT f.as2, f.as3 FROM follow f JOIN p ON p.as1 = f.as1 AND p.as2 = f.as2) SELECT * FROM p)")
 add_view(
     "pieces",
     """SELECT path, CAST(sum(n) AS BIGINT) AS n FROM (SELECT path, n FROM folded WHERE lft IS NULL UNION ALL SELECT path[1:lft + 1], n FROM folded WHERE lft > 0 AND fp >= 0.2
@@ -223,23 +242,23 @@ add_view(
     """SELECT path[lft + 1:rgt + 1] AS path, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT x.path, x.n, coalesce(max(x.i) FILTER (u.as1 IS NOT NULL), 0) AS lft, coalesce(min(x.i - 1) FILTER (w.as1 IS NOT NULL), len(x.path) - 1) AS rgt
   FROM (SELECT path, n, unnest(range(1, len(path))) AS i FROM pieces) x
-  LEFT JOIN pc3 w ON w.as1 = x.path[x.i] AND w.as2 = x.path[x.i + 1] LEFT JOIN pc3 u ON u.as1 = x.path[x.i + 1] AND u.as2 = x.path[x.i] GROUP BY x.path, x.n)
+  LEFT JOIN pc w ON w.as1 = x.path[x.i] AND w.as2 = x.path[x.i + 1] LEFT JOIN pc u ON u.as1 = x.path[x.i + 1] AND u.as2 = x.path[x.i] GROUP BY x.path, x.n)
 WHERE rgt > lft GROUP BY 1""",
 )
 add_view(
     "edgep",
-    """SELECT as1, as2, 1.0::DOUBLE AS p2c, 0.0::DOUBLE AS p2p, 0.0::DOUBLE AS c2p, 0 AS paths FROM pc3
+    """SELECT as1, as2, 1.0::DOUBLE AS p2c, 0.0::DOUBLE AS p2p, 0.0::DOUBLE AS c2p, 0 AS paths FROM pc
 UNION ALL SELECT a, b, 1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE, count(*) FROM (
   SELECT least(path[i], path[i + 1]) AS a, greatest(path[i], path[i + 1]) AS b FROM (SELECT path, unnest(range(1, len(path))) AS i FROM reserved)) q
-WHERE NOT EXISTS (SELECT 1 FROM pc3 p WHERE (p.as1 = q.a AND p.as2 = q.b) OR (p.as1 = q.b AND p.as2 = q.a)) GROUP BY 1, 2""",
+WHERE NOT EXISTS (SELECT 1 FROM pc p WHERE (p.as1 = q.a AND p.as2 = q.b) OR (p.as1 = q.b AND p.as2 = q.a)) GROUP BY 1, 2""",
 )
 
 
 def provider_edges(spark, d):
-    return linkprob.provider_links(counted_paths(spark, d), sampled(spark, d), 0.8)
+    return linkprob.provider_links(counted_paths(spark, d), stored_shares(spark, d), 0.8)
 
 
-@query("F31_provider_links", "SELECT as1, as2 FROM pc3")
+@query("F31_provider_links", "SELECT as1, as2 FROM pc")
 def f31(spark, d):
     return provider_edges(spark, d)[0]
 
@@ -261,81 +280,6 @@ def f32(spark, d):
        WHERE NOT (e.as1 > e.as2 AND EXISTS (SELECT 1 FROM edgep r WHERE r.as1 = e.as2 AND r.as2 = e.as1))""",
 )
 def f33(spark, d):
-    probs = sampled(spark, d)
+    probs = stored_shares(spark, d)
     p2c, reserved = linkprob.provider_links(counted_paths(spark, d), probs, 0.8)
     return rounded(linkprob.assemble(probs, linkprob.edge_probabilities(p2c, reserved)), "p2c", "p2p", "c2p")
-
-
-# The same at the reference's 1000 sweeps. The unrolled views above cannot say that many, so
-# this twin counts sweeps in a recursion, and the views built on its shares are named anew.
-ALL_SWEEPS = 1000
-
-
-def gibbs_twin(sweeps):
-    """The SQL of sampling with any number of sweeps, over ctx and rel0."""
-    return f"""WITH RECURSIVE cx AS MATERIALIZED (SELECT * FROM ctx), g AS (
-  SELECT 0 AS k, as1, as2, CAST(rel AS INTEGER) AS rel FROM rel0
-  UNION ALL
-  SELECT k, as1, as2, CAST(CASE WHEN u < dn / v THEN -1 WHEN u < 1.0 - up / v THEN 0 ELSE 1 END AS INTEGER) AS rel FROM (
-    SELECT k, as1, as2, ('0x' || substr(md5(as1 || '|' || as2 || '|' || k || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-      coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v
-    FROM (SELECT m.k + 1 AS k, x.as1, x.as2, x.n, CASE WHEN x.bef IS NULL THEN 1 WHEN x.bef < x.as1 THEN b.rel ELSE -b.rel END AS lst,
-            CASE WHEN x.aft IS NULL THEN -1 WHEN x.as2 < x.aft THEN a.rel ELSE -a.rel END AS nxt
-          FROM cx x CROSS JOIN (SELECT DISTINCT k FROM g WHERE k < {sweeps}) m
-          LEFT JOIN g b ON b.as1 = least(x.bef, x.as1) AND b.as2 = greatest(x.bef, x.as1) AND x.bef IS NOT NULL
-          LEFT JOIN g a ON a.as1 = least(x.aft, x.as2) AND a.as2 = greatest(x.aft, x.as2) AND x.aft IS NOT NULL) GROUP BY k, as1, as2))
-SELECT as1, as2, count(*) FILTER (rel = -1) / {sweeps}.0::DOUBLE AS p2c, count(*) FILTER (rel = 0) / {sweeps}.0::DOUBLE AS p2p, count(*) FILTER (rel = 1) / {sweeps}.0::DOUBLE AS c2p
-FROM g WHERE k > 0 GROUP BY 1, 2"""
-
-
-_OF_SHARES = ("gibbs", "folded", "seeds", "chains", "follow", "pc1", "pc2", "pc3", "pieces", "reserved", "edgep")
-
-
-def _at_all_sweeps(sql):
-    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(_OF_SHARES)})\b", r"\1 \2_all", sql)
-
-
-add_view("gibbs_all", f"SELECT * FROM ({gibbs_twin(ALL_SWEEPS)})")
-for _name in _OF_SHARES[1:]:
-    add_view(f"{_name}_all", _at_all_sweeps(VIEWS[_name]))
-
-
-def sampled_all(spark, d):
-    """Stored at first use: the queries below read the same shares."""
-    return landed(spark, d, "relation_shares", lambda spark, d: sampled(spark, d, ALL_SWEEPS))
-
-
-def provider_edges_all(spark, d):
-    return linkprob.provider_links(counted_paths(spark, d), sampled_all(spark, d), 0.8)
-
-
-@query("F30_relationship_sampling_all", "SELECT * FROM gibbs_all")
-def f30_all(spark, d):
-    return sampled(spark, d, ALL_SWEEPS)
-
-
-@query("F31_provider_links_all", "SELECT as1, as2 FROM pc3_all")
-def f31_all(spark, d):
-    return provider_edges_all(spark, d)[0]
-
-
-@query("F31_unexplained_paths_all", "SELECT array_to_string(path, '|') AS path, n FROM reserved_all")
-def f31b_all(spark, d):
-    return provider_edges_all(spark, d)[1].withColumn("path", F.array_join("path", "|"))
-
-
-@query("F32_edge_probabilities_all", "SELECT as1, as2, round(p2c, 6) AS p2c, round(p2p, 6) AS p2p, round(c2p, 6) AS c2p, CAST(paths AS BIGINT) AS paths FROM edgep_all")
-def f32_all(spark, d):
-    return rounded(linkprob.edge_probabilities(*provider_edges_all(spark, d)), "p2c", "p2p", "c2p")
-
-
-@query(
-    "F33_probability_table_all",
-    """SELECT as1, as2, round(p2c, 6) AS p2c, round(p2p, 6) AS p2p, round(c2p, 6) AS c2p FROM gibbs_all
-       UNION ALL SELECT as1, as2, round(p2c, 6), round(p2p, 6), round(c2p, 6) FROM edgep_all e
-       WHERE NOT (e.as1 > e.as2 AND EXISTS (SELECT 1 FROM edgep_all r WHERE r.as1 = e.as2 AND r.as2 = e.as1))""",
-)
-def f33_all(spark, d):
-    probs = sampled_all(spark, d)
-    p2c, reserved = provider_edges_all(spark, d)
-    return rounded(linkprob.assemble(probs, linkprob.edge_probabilities(p2c, reserved)), "p2c", "p2p", "c2p")

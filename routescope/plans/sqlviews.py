@@ -85,6 +85,9 @@ FROM events GROUP BY 1, 2""",
 }
 
 
+ONCE = {"ctx", "rel0", "lnk", "cx", "beside", "gibbs"}  # costly views with many readers
+
+
 def add_view(name: str, body: str) -> None:
     VIEWS[name] = body
 
@@ -101,7 +104,7 @@ def _needed(body: str, have: list[str]) -> list[str]:
 def with_views(body: str) -> str:
     """Prefix the body with the views it names, dependencies first."""
     names = _needed(body, [])
-    ctes = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({VIEWS[n].strip()})" for n in names)
     body = body.strip()
     if not ctes:
         return body

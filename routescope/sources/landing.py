@@ -76,3 +76,9 @@ def landed_files(spark: SparkSession, folder: str, name: str, write: Callable[[S
         write(spark, folder, path)
         _landed[key] = path
     return _landed[key]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table of a ``fresh_folder`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

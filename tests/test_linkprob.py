@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from routescope.operators import linkprob as L
@@ -143,45 +144,52 @@ def _draw(a, b, sweep, seed):
     return int(hashlib.md5(f"{a}|{b}|{sweep}|{seed}".encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def test_sweeps_by_hand(spark):
-    ctx = L.link_contexts(counted(spark, some_paths()))
-    start = L.initial_relations(ctx, spark.createDataFrame([("a", "b", -1)], "as1 string, as2 string, rel int"))
-    rel = {(r["as1"], r["as2"]): r["rel"] for r in start.collect()}
+def one_by_one(ctx, start, sweeps):
+    """Plain sampling, link after link in key order: how often each link stood at -1, 0 and 1."""
+    rel = {(r["as1"], r["as2"]): r["rel"] for r in start}
     around = {}
-    for a, b, before, after, n in ctx.collect():
+    for a, b, before, after, n in ctx:
         around.setdefault((a, b), []).append((before, after, n))
     tally = {link: [0, 0, 0] for link in rel}
-    for sweep in range(1, 8):
-        drawn = {}
-        for (a, b), rows in around.items():
+    for sweep in range(1, sweeps + 1):
+        for a, b in sorted(around):
             down = up = 0
-            for before, after, n in rows:
+            for before, after, n in around[a, b]:
                 last = 1 if before is None else rel[key(before, a)] * (1 if before < a else -1)
                 following = -1 if after is None else rel[key(b, after)] * (1 if b < after else -1)
                 down += n * (last != 1 and following == -1)
                 up += n * (last == 1 and following != -1)
-            v, u = sum(r[2] for r in rows), _draw(a, b, sweep, 42)
-            drawn[a, b] = -1 if u < down / v else 0 if u < 1.0 - up / v else 1
-            tally[a, b][drawn[a, b] + 1] += 1
-        rel = drawn
-    got = {(r["as1"], r["as2"]): [round(r[k] * 7) for k in ("p2c", "p2p", "c2p")] for r in L.sample_relations(ctx, start, 7).collect()}
-    assert got == tally
+            v, u = sum(r[2] for r in around[a, b]), _draw(a, b, sweep, 42)
+            rel[a, b] = -1 if u < down / v else 0 if u < 1.0 - up / v else 1
+            tally[a, b][rel[a, b] + 1] += 1
+    return tally
 
 
-def test_all_sweeps_are_registered():
-    from routescope.plans import catalog, q_leak
+@pytest.mark.parametrize("sweeps, span", [(7, 1000), (50, 1000), (50, 17)])
+def test_all_sweeps_at_once_are_those_of_one_by_one_sampling(spark, sweeps, span):
+    loops = [(("x", "y", "x", "z", "w"), 5), (("w", "z", "x", "y"), 2)]
+    ctx = L.link_contexts(counted(spark, some_paths())).unionByName(L.link_contexts(spark.createDataFrame(loops, "path array<string>, n bigint")))
+    start = L.initial_relations(ctx, spark.createDataFrame([("a", "b", -1)], "as1 string, as2 string, rel int"))
+    got = {(r["as1"], r["as2"]): [round(r[k] * sweeps) for k in ("p2c", "p2p", "c2p")] for r in L.sample_relations(ctx, start, sweeps, span=span).collect()}
+    assert got == one_by_one(ctx.collect(), start.collect(), sweeps)
+    assert len({tuple(t) for t in got.values()}) > 2
+
 
-    assert q_leak.ALL_SWEEPS == 1000
-    for name in ("F30_relationship_sampling", "F31_provider_links", "F31_unexplained_paths", "F32_edge_probabilities", "F33_probability_table"):
-        assert f"{name}_all" in catalog.QUERIES and "k < 1000" in catalog.oracles()[f"{name}_all"]
+def test_no_links_no_shares(spark):
+    ctx = L.link_contexts(spark.createDataFrame([], "path array<string>, n bigint"))
+    start = L.initial_relations(ctx, spark.createDataFrame([], "as1 string, as2 string, rel int"))
+    assert L.sample_relations(ctx, start, 5).count() == 0
 
 
-def test_the_counting_twin_is_the_unrolled_one():
+def test_the_twin_samples_one_by_one():
     from routescope.plans import q_leak
     from routescope.plans.sqlviews import with_views
 
+    assert q_leak.SWEEPS == 1000
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    unrolled = con.execute(with_views("SELECT * FROM gibbs ORDER BY 1, 2")).fetchall()
-    assert unrolled and con.execute(with_views(f"SELECT * FROM ({q_leak.gibbs_twin(q_leak.SWEEPS)}) ORDER BY 1, 2")).fetchall() == unrolled
+    ctx = con.execute(with_views("SELECT as1, as2, bef, aft, n FROM ctx")).fetchall()
+    start = [dict(zip(("as1", "as2", "rel"), r)) for r in con.execute(with_views("SELECT as1, as2, rel FROM rel0")).fetchall()]
+    got = con.execute(with_views(f"SELECT * FROM ({q_leak.gibbs_twin(20)})")).fetchall()
+    assert {(a, b): [round(20 * x) for x in shares] for a, b, *shares in got} == one_by_one(ctx, start, 20)
