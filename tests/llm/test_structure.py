@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from routescope.llm import repair, shallot, simhash
+from routescope.llm.tables import components
 
 pytest.importorskip("public_tokenizers")
 
@@ -262,6 +264,25 @@ def test_parts_of_large_blocks(spark, cell):
     assert any(len(s) > 1 for s in by_want.values())
 
 
+@pytest.mark.parametrize("cell", [7, 40, 1000])
+def test_components_over_any_number_of_tasks(spark, cell):
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    prints = sorted({x for pair in links for x in pair})
+    least = {x: x for x in prints}
+    for _ in prints:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    for kind in ("bigint", "binary"):
+        frame = spark.createDataFrame(links, "a bigint, b bigint")
+        if kind == "binary":  # in the order of the numbers
+            frame = frame.select(*[F.unhex(F.lpad(F.hex(c), 16, "0")).alias(c) for c in "ab"])
+        got = {r["node"]: r["root"] for r in components(frame, cell=cell).collect()}
+        want = {a: b for a, b in least.items() if any(a in pair and pair[0] != pair[1] for pair in links)}
+        assert got == (want if kind == "bigint" else {a.to_bytes(8, "big"): b.to_bytes(8, "big") for a, b in want.items()})
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert QUERIES["op12_simhash"](spark, str(tmp_path)).collect() == []
