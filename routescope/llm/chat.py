@@ -15,7 +15,7 @@ ends. Only the texts of ``LEARNED`` roles are learned.
 
 Null text counts as empty, a null role as an empty one. Rows of equal conv_id and turn go by
 role, then text; repeated rows stay repeated. A null conv_id is a conversation as well.
-Roles are escaped as texts are.
+Roles are escaped as texts are, and their line breaks as well, as one ends a role.
 """
 
 from __future__ import annotations
@@ -45,6 +45,15 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def one_line(role: str) -> str:
+    """A role without line breaks: they and backslashes are written with a backslash."""
+    return role.replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def as_given(line: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], line)
+
+
 @dataclass
 class Template:
     """A tokenizer's vocabulary with two ids reserved above it."""
@@ -63,7 +72,7 @@ class Template:
 
     def turns(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and loss mask of each turn."""
-        heads, bodies = self.encode([escape(r) for r in roles]), self.encode([escape(t) for t in texts])
+        heads, bodies = self.encode([escape(one_line(r)) for r in roles]), self.encode([escape(t) for t in texts])
         out = []
         for role, head, body in zip(roles, heads, bodies):
             segments = [[self.start], head, self.newline, body, [self.end], self.newline]
@@ -91,18 +100,16 @@ class Template:
     def turn_of(self, ids: np.ndarray) -> tuple[str, str]:
         """Role and text of one turn, read back from its ids."""
         role, _, text = self.texts(ids)[1].partition("\n")
-        return unescape(role), unescape(text)
+        return as_given(unescape(role)), unescape(text)
 
 
 def formatted(conversations: DataFrame, vocabulary_file: str) -> DataFrame:
-    """(conv_id, turn, position, offset, ids, mask): a row for each turn of the formatted conversations.
-
-    A role with a line break would end early when read back, so line breaks in roles become spaces."""
+    """(conv_id, turn, position, offset, ids, mask): a row for each turn of the formatted conversations."""
     with open(vocabulary_file) as f:
         spark = conversations.sparkSession
         shared = spark.sparkContext.broadcast(f.read())  # the vocabulary file, of fixed size
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
-                                F.translate(F.coalesce("role", F.lit("")), "\n", " ").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+                                F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         template = Template(shared.value)

@@ -2,7 +2,8 @@
 
 Each distinct word bucket of a text is a feature with its share of the words; statistics
 of the text's form (letters, capitals, marks, digits, lines, word lengths, repeats) and
-of its size are dense features. Every pair of features interacts through vectors of a
+of its size are dense features, and so is metadata: the length that the table states for a text
+(``n_chars``; no other column may be used) and how far it is from the true one. Every pair of features interacts through vectors of a
 low rank; the sum over pairs is half the square of the sum less the sum of squares, so
 a text costs time linear in its features.
 
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from routescope.llm.labelled import BUCKETS, buckets, class_rows, class_weights, gathered, hashed_rows, labelled, scored, sigmoid
@@ -83,6 +85,15 @@ def structure(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def form(texts: pa.Array, sizes: pa.Array) -> np.ndarray:
+    """``structure``, then metadata: the stated length, its distance from the true one, whether none is stated."""
+    true = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)
+    stated = sizes.to_numpy(zero_copy_only=False).astype(float)
+    none = ~np.isfinite(stated)
+    stated = np.where(none, true, np.maximum(stated, 0.0))
+    return np.column_stack([structure(texts), np.log1p(stated), np.abs(np.log1p(stated) - np.log1p(true)), none])
+
+
 def shares(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct buckets of each row with their share of its words, where each row's begin, and
     the share of words that repeat an earlier one."""
@@ -119,10 +130,10 @@ class Model:
         squares = own[:, 1 + RANK :] + (dense * dense) @ (v * v)
         return self.offset + own[:, 0] + dense @ w + 0.5 * (total**2 - squares).sum(axis=1)
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, sizes: pa.Array) -> np.ndarray:
         if self.linear is None:
             return np.full(len(texts), self.base)
-        stats = structure(texts)
+        stats = form(texts, sizes)
         out = np.zeros(len(texts))
         for lo, hi, w in arrow_rows(texts, ALNUM):
             ids, value, begin, repeats = shares(buckets(w), w.first)
@@ -181,11 +192,11 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model:
     """A model from the rows of ``labels`` (doc_id, quality) for which ``usable`` holds."""
-    rows = hashed_rows(labelled(docs, labels, "quality", per_class, usable), buckets, structure)
+    rows = hashed_rows(labelled(docs, labels, "quality", per_class, usable), buckets, form)
     return train(gathered(rows, max_words), whole=class_rows(docs, labels, "quality", usable))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row and its ``score``, by the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS
-    return scored(docs, keep, lambda texts: shared.value.score(texts))
+    return scored(docs, keep, lambda texts, sizes: shared.value.score(texts, sizes))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from tokenizers import Tokenizer, pre_tokenizers
 
-from routescope.session import ship_package
+from routescope.session import qualified, ship_package
 
 MAGIC = b"rsids001"
 ENTRY = "<?qQQQ"  # has an id, doc_id, place, length, n_tokens
@@ -167,10 +167,12 @@ def trained(docs: DataFrame, vocabulary_json: str, end_id: int = END_ID) -> byte
 
     def encode(batches):
         encoder = encoder_of(vocabulary_json, end_id)
-        most = SAMPLE_IDS * encoder.kind.itemsize
         for batch in batches:
             for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array([encoder.bytes_of([text.as_py()])[0][:most]], pa.binary())], ["ids"])
+                ids = encoder.bytes_of([text.as_py()])[0]
+                n = len(ids) // encoder.kind.itemsize
+                at = zlib.crc32(ids) % max(1, n - SAMPLE_IDS + 1) * encoder.kind.itemsize  # a place as good as any
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + SAMPLE_IDS * encoder.kind.itemsize]], pa.binary())], ["ids"])
 
     def train(batches):
         parts = [x for batch in batches for x in batch.column("ids").to_pylist()][: 2 * SAMPLE]
@@ -188,6 +190,7 @@ def trained(docs: DataFrame, vocabulary_json: str, end_id: int = END_ID) -> byte
 def write(docs: DataFrame, folder: str, vocabulary_file: str, end_id: int = END_ID) -> DataFrame:
     """Writes the data set into ``folder``; (shard, path, documents, tokens) of its shards, in order."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     with open(vocabulary_file) as f:
         vocabulary = f.read()
     dictionary = trained(docs, vocabulary, end_id)
@@ -234,7 +237,9 @@ def write(docs: DataFrame, folder: str, vocabulary_file: str, end_id: int = END_
             ["shard", "path", "documents", "tokens"])
 
     ship_package(spark)
-    sorted_rows = _ordered(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranged by a digest: the sample that finds the ranges goes to the driver, and whole texts must not
+    keyed = _ordered(docs).withColumn("digest", F.unhex(F.md5("text")))
+    sorted_rows = keyed.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
     placed = sorted_rows.withColumn("shard", F.spark_partition_id().cast("bigint"))
     schema = "shard bigint, path string, documents bigint, tokens bigint"
     # the shards are few: a row for each task that wrote one
@@ -283,6 +288,7 @@ def read(spark: SparkSession, folder: str, shards: DataFrame, with_ids: bool = F
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the files.
 
     Starts run over all shards in order: a sum over a row per shard, then one within each."""
+    folder = qualified(spark, folder)
     before = F.coalesce(F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     todo = shards.select("path", before.alias("before")).repartition(max(1, shards.count()), "path")
 

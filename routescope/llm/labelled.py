@@ -51,20 +51,25 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, per_class: int, us
     known = _known(labels, target, usable)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), stated_size(docs).alias("size"))
     return texts.join(picked[0].unionAll(picked[1]), "doc_id")
 
 
+def stated_size(docs: DataFrame) -> Column:
+    """The length that a table's metadata gives a text; null where it has none."""
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double")
+
+
 def hashed_rows(
-    rows: DataFrame, encode: Callable[[Words], np.ndarray], extra: Callable[[pa.Array], np.ndarray] | None = None
+    rows: DataFrame, encode: Callable[[Words], np.ndarray], extra: Callable[[pa.Array, pa.Array], np.ndarray] | None = None
 ) -> DataFrame:
     """(doc_id, y, lang, ids, extra): what ``encode`` makes of each row's words as 32-bit
-    integers, a line for each word, and what ``extra`` says of its text as doubles."""
+    integers, a line for each word, and what ``extra`` says of its text and stated size as doubles."""
 
     def run(batches):
         for batch in batches:
             text = batch.column("text")
-            more = extra(text) if extra else np.zeros((len(text), 0))
+            more = extra(text, batch.column("size")) if extra else np.zeros((len(text), 0))
             for lo, hi, w in arrow_rows(text, ALNUM):
                 ids = encode(w).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -96,15 +101,15 @@ def gathered(rows: DataFrame, max_words: int, width: int = 1) -> list[tuple[int,
     return out
 
 
-def scored(docs: DataFrame, keep: list[str], run: Callable[[pa.Array], np.ndarray], column: str = "score") -> DataFrame:
-    """``docs`` with its columns ``keep`` and a score of each row's whole text, in one pass without a shuffle."""
-    clean = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+def scored(docs: DataFrame, keep: list[str], run: Callable[[pa.Array, pa.Array], np.ndarray], column: str = "score") -> DataFrame:
+    """``docs`` with its columns ``keep`` and a score of each row's whole text and stated size, in one pass without a shuffle."""
+    clean = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), stated_size(docs).alias("__size"))
     schema = docs.select(*keep, F.lit(0.0).alias(column)).schema
 
     def score(batches):
         for batch in batches:
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__text"]
-            values = run(batch.column(batch.schema.get_field_index("__text")))
+            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("__text", "__size")]
+            values = run(*[batch.column(batch.schema.get_field_index(c)) for c in ("__text", "__size")])
             yield pa.RecordBatch.from_arrays([*kept, pa.array(values, pa.float64())], names=[f.name for f in schema])
 
     ship_package(docs.sparkSession)

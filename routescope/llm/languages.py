@@ -7,9 +7,11 @@ word without known n-grams adds nothing. Words are runs of ASCII letters and non
 characters, in lower case.
 
 The model is learned from at most about ``per_language`` rows of each language, drawn by
-a hash of the id; counts are summed in Spark and cut to the ``max_words`` and
-``max_grams`` most frequent, so its size has a bound. Languages are as many as the column
-has values; their number is taken to be small.
+a hash of the id. Words are counted in Spark; n-grams are those of the different words of a
+language, each once, so neither depends on how rows lie in files. Of each language its most frequent
+words and n-grams are kept, an equal part of ``max_words`` and ``max_grams``, so the model's size has a
+bound and rare languages keep theirs. Languages are as many as the column has values; their number
+is taken to be small.
 
 Null texts and texts without any letter are ``und`` with score 0. A text with letters but
 nothing known gets the most frequent language, with its share as the score. Ties go to
@@ -24,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from routescope.llm.tables import saved
 from routescope.llm.words import ALPHA, Words, arrow_rows, mix, span_hashes
 from routescope.session import ship_package
 
@@ -119,8 +123,8 @@ class Model:
         return out
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(kind, hash, lang, n): words by occurrence, n-grams once for each different word of a slice."""
+def _words(rows: DataFrame) -> DataFrame:
+    """(lang, hash, word, n): the words of each language with their counts; words are combined before they are shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -130,35 +134,46 @@ def _counts(rows: DataFrame) -> DataFrame:
                 for name in sorted(set(lang[lo:hi])):
                     own = np.flatnonzero(of == name)
                     hashes, one, n = np.unique(w.hashes[own], return_index=True, return_counts=True)
-                    yield _batch(0, hashes, name, n)
-                    which = np.sort(own[one])
-                    for length in range(1, LONGEST + 1):
-                        yield _batch(length, *_tally(grams(w, which, length)[0], name))
+                    spelt = [w.kept[a:b].tobytes() for a, b in zip(w.begin[own[one]], w.end[own[one]])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(spelt, pa.binary()), pa.array(n.astype(np.int64))],
+                        ["lang", "hash", "word", "n"])
 
-    def _tally(h, name):
-        hashes, n = np.unique(h, return_counts=True)
-        return hashes, name, n
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, "lang string, hash bigint, word binary, n bigint").groupBy("lang", "hash", "word").agg(F.sum("n").alias("n"))
 
-    def _batch(kind, hashes, name, n):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)),
-             pa.array([name] * len(hashes), pa.string()), pa.array(n.astype(np.int64))], ["kind", "hash", "lang", "n"])
 
-    ship_package(rows.sparkSession)
-    return rows.mapInArrow(run, "kind int, hash bigint, lang string, n bigint")
+def _grams(words: DataFrame) -> DataFrame:
+    """(lang, hash, n): the n-grams of each language's words, every word once."""
+
+    def run(batches):
+        for batch in batches:
+            spelt, lang = batch.column("word").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
+            for name in sorted(set(lang)):
+                own = [spelt[i] for i in np.flatnonzero(lang == name)]
+                data = np.frombuffer(b"".join(own), np.uint8)
+                w = Words(data, np.concatenate([[0], np.cumsum([len(x) for x in own])]), ALPHA)
+                for length in range(1, LONGEST + 1):
+                    hashes, n = np.unique(grams(w, np.arange(len(w.begin)), length)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "hash", "n"])
+
+    return words.select("lang", "word").mapInArrow(run, "lang string, hash bigint, n bigint").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
 
 
 def _table(sums: DataFrame, languages: list[str], most: int) -> Table:
-    """The ``most`` most frequent hashes, each with log frequencies smoothed by half a count."""
-    columns = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
-    wide = sums.groupBy("kind", "hash").agg(*columns, F.sum("n").alias("all"))
-    totals = sums.groupBy().agg(*columns).first()
-    rows = wide.orderBy(F.desc("all"), "hash").limit(most).toPandas()
-    rows["key"] = rows["hash"].to_numpy(np.int64).view(np.uint64)
-    rows = rows.drop_duplicates("key").sort_values("key")
-    counts = rows[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
-    size = np.array([float(totals[i] or 0) for i in range(len(languages))]) + 1
-    return Table(rows["key"].to_numpy(np.uint64), np.log((counts + 0.5) / size).astype(np.float32))
+    """The most frequent hashes of each language, ``most`` in all, with log frequencies smoothed by half a count."""
+    each = max(1, most // len(languages))
+    totals = {r["lang"]: float(r["n"]) for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    ranked = sums.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "hash")))
+    chosen = ranked.where(F.col("r") <= each).select("hash").distinct()  # at most ``most``
+    rows = sums.join(chosen, "hash", "left_semi").select("hash", "lang", "n").toPandas()
+    keys = np.unique(rows["hash"].to_numpy(np.int64).view(np.uint64))
+    counts = np.zeros((len(keys), len(languages)))
+    at = np.searchsorted(keys, rows["hash"].to_numpy(np.int64).view(np.uint64))
+    np.add.at(counts, (at, [languages.index(x) for x in rows["lang"]]), rows["n"].to_numpy(float))
+    size = np.array([totals.get(x, 0.0) for x in languages]) + 1
+    return Table(keys, np.log((counts + 0.5) / size).astype(np.float32))
 
 
 def fit(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
@@ -170,15 +185,12 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = PER_L
         return None
     names = sorted(found)
     parts = 1 << 20
-    cut = F.create_map(*[F.lit(x) for name in names for x in (name, int(min(1.0, per_language / found[name]) * parts))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < cut[F.col("lang")])
+    cuts = docs.sparkSession.createDataFrame([(name, int(min(1.0, per_language / found[name]) * parts)) for name in names], "lang string, cut bigint")
+    drawn = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.col("cut"))  # a row for each language
     text = drawn.select(F.lower("text").alias("text"), "lang")
-    sums = _counts(text).groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n")).persist()
-    try:
-        words = _table(sums.where("kind = 0"), names, max_words)
-        shorter = _table(sums.where("kind > 0"), names, max_grams)
-    finally:
-        sums.unpersist()
+    counted = saved(_words(text), "words")
+    words = _table(counted.groupBy("lang", "hash").agg(F.sum("n").alias("n")), names, max_words)
+    shorter = _table(saved(_grams(counted), "grams"), names, max_grams)
     share = np.array([found[n] for n in names], float)
     return Model(names, share / share.sum(), words, shorter)
 

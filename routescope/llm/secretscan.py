@@ -2,8 +2,9 @@
 
 Base findings stand alone: assignments of a keyword, access identifiers, hexadecimal
 runs. Weak parts (short or loosely named secrets, user names and key ids, endpoints) are
-reported only if a secret and an identifier or endpoint lie within a scope of ``SCOPE``
-characters of each other. Parts are joined as intervals: each is spread over the cells of
+reported only if a secret and a part that completes it, an access identifier, another identifier
+or an endpoint, lie within a scope of ``SCOPE`` characters of each other and do not overlap. Weak
+keywords begin where no letter or digit stands before them. Parts are joined as intervals: each is spread over the cells of
 the text that it (or its scope) touches and meets the others on (text, cell), so a long
 text with many parts is many small groups. Copies of a text are scanned where they lie, but
 their parts meet once, under a digest of the text.
@@ -25,6 +26,10 @@ def either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
+# A weak keyword's match takes the character before it along, which ``_spans`` leaves out again.
+EDGE = "(?:^|[^A-Za-z0-9])"
+
+
 def _keyed(words: tuple[str, ...], value: str) -> str:
     return "(" + "|".join(map(either_case, words)) + r""")["']?\x20*[:=]\x20*["']?(""" + value + ")"
 
@@ -33,12 +38,13 @@ def _keyed(words: tuple[str, ...], value: str) -> str:
 ASSIGN = _keyed(("password", "passwd", "secret", "token", "api_?key"), "[A-Za-z0-9+/_.=-]+")
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"  # runs are maximal, so shorter ones needn't be matched and dropped
-NAMED = _keyed(("pwd", "pass", "passphrase", "client_?secret", "private_?key"), "[A-Za-z0-9+/_.=!@#$%-]{6,}")
-IDENTIFIER = _keyed(("user", "username", "login", "account", "client_?id", "access_?key", "access_?key_?id"), "[A-Za-z0-9+/_.@=-]{3,}")
+NAMED = EDGE + _keyed(("pwd", "pass", "passphrase", "client_?secret", "private_?key"), "[A-Za-z0-9+/_.=!@#$%-]{6,}")
+IDENTIFIER = EDGE + _keyed(("user", "username", "login", "account", "client_?id", "access_?key", "access_?key_?id"), "[A-Za-z0-9+/_.@=-]{3,}")
 ENDPOINT = r"""(https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x20\n\t"'<>]+"""
 KINDS = ("assign", "access", "hex", "short_assign", "named", "identifier", "endpoint")
-SECRETS = ("assign", "short_assign", "named", "access")
-OTHERS = ("identifier", "endpoint")
+SECRETS = ("assign", "short_assign", "named")
+OTHERS = ("access", "identifier", "endpoint")
+EDGED = ("named", "identifier")
 SCOPE, CELL = 200, 256
 LEAST_ASSIGN, LEAST_SHORT, LEAST_ACCESS = 12, 6, 18
 
@@ -59,7 +65,10 @@ def _placed(text: Column, pattern: str, hits: Column) -> Column:
 
 
 def _spans(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end")))
+    def skip(s: Column) -> Column:
+        return F.when(s["hit"].rlike("^[A-Za-z]"), 0).otherwise(1) if kind in EDGED else F.lit(0)
+
+    return F.transform(found, lambda s: F.struct((s["start"] + skip(s)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end")))
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -93,7 +102,8 @@ def linked(scans: DataFrame) -> DataFrame:
     secrets = parts.where(F.col("rank").isin(ranks(SECRETS))).withColumn("cell", cells(F.col("start"), F.col("end")))
     others = parts.where(F.col("rank").isin(ranks(OTHERS))).withColumn("cell", cells(F.col("start") - SCOPE, F.col("end") + SCOPE))
     s, o = secrets.alias("s"), others.alias("o")
-    near = (F.col("s.start") - F.col("o.end") <= SCOPE) & (F.col("o.start") - F.col("s.end") <= SCOPE)
+    apart = (F.col("s.start") >= F.col("o.end")) | (F.col("o.start") >= F.col("s.end"))
+    near = (F.col("s.start") - F.col("o.end") <= SCOPE) & (F.col("o.start") - F.col("s.end") <= SCOPE) & apart
     pairs = s.join(o, (F.col("s.__key") == F.col("o.__key")) & (F.col("s.cell") == F.col("o.cell")) & near)
     ends = pairs.select(F.col("s.__key").alias("__key"), F.explode(F.array(*[F.struct(F.col(f"{x}.start").alias("start"), F.col(f"{x}.rank").alias("rank"), F.col(f"{x}.end").alias("end")) for x in "so"])).alias("s"))
     weak = ends.where(F.col("s.rank") >= KINDS.index("short_assign")).distinct()
@@ -107,8 +117,10 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _with_links(scans: DataFrame) -> DataFrame:
+    """Texts without weak parts, most of them and every empty one, meet nothing."""
     every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
-    return scans.join(linked(scans), "__key", "left").withColumn("spans", every).drop("linked")
+    weak, plain = scans.where(F.size("weak") > 0), scans.where(F.size("weak") == 0).withColumn("spans", F.col("base"))
+    return weak.join(linked(scans), "__key", "left").withColumn("spans", every).drop("linked").select(*plain.columns).unionAll(plain)
 
 
 def written(spans: Column) -> Column:
@@ -154,13 +166,13 @@ def twin() -> str:
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({found}),
 p AS (SELECT row, p, hit, sum(gap + length(hit)) OVER (PARTITION BY row, p ORDER BY nr) AS stop FROM m),
-q AS (SELECT row, hit, stop - length(hit) AS start, stop, CASE
+q AS (SELECT row, hit, stop - length(hit) + CASE WHEN p IN ('n', 'i') AND NOT regexp_matches(hit, '^[A-Za-z]') THEN 1 ELSE 0 END AS start, stop, CASE
   WHEN p = 'a' AND {value} >= {LEAST_ASSIGN} THEN 0 WHEN p = 'a' AND {value} >= {LEAST_SHORT} THEN 3
   WHEN p = 'k' AND length(hit) >= {LEAST_ACCESS} THEN 1 WHEN p = 'h' THEN 2 WHEN p = 'n' THEN 4 WHEN p = 'i' THEN 5 WHEN p = 'e' THEN 6 END AS rank FROM p),
-s AS (SELECT row, start, stop, rank, CASE WHEN rank IN (0, 1, 3, 4) THEN 1 WHEN rank IN (5, 6) THEN 2 END AS side,
+s AS (SELECT row, start, stop, rank, CASE WHEN rank IN (0, 3, 4) THEN 1 WHEN rank IN (1, 5, 6) THEN 2 END AS side,
   ['{"', '".join(KINDS)}'][rank::INT + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS one FROM q WHERE rank IS NOT NULL),
 l AS (SELECT DISTINCT a.row, a.start, a.stop, a.rank, a.one FROM s a JOIN s b ON a.row = b.row AND a.side + b.side = 3
-  AND a.start - b.stop <= {SCOPE} AND b.start - a.stop <= {SCOPE} WHERE a.rank >= 3),
+  AND a.start - b.stop <= {SCOPE} AND b.start - a.stop <= {SCOPE} AND (a.start >= b.stop OR b.start >= a.stop) WHERE a.rank >= 3),
 b AS (SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(one, ',' ORDER BY start, rank, stop) AS base FROM s WHERE rank < 3 GROUP BY row),
 e AS (SELECT row, string_agg(one, ',' ORDER BY start, rank, stop) AS spans, count(*) FILTER (rank >= 3) AS n_linked
