@@ -158,11 +158,19 @@ def _rate(top: Column, bottom: Column) -> Column:
 def feature_series(
     rows: DataFrame, bucket: int = 300, scope: str = "file", busy: DataFrame | None = None
 ) -> DataFrame:
-    """One row per (target, bucket) with all features; ``bucket`` is in epoch seconds.
+    """One row per (target, bucket) with all features; ``bucket`` is in epoch seconds."""
+    return series_of(bucket_states(rows, bucket, scope, busy))
+
+
+def bucket_states(
+    rows: DataFrame, bucket: int = 300, scope: str = "file", busy: DataFrame | None = None
+) -> DataFrame:
+    """What each (target, bucket) holds, one row per value counted distinct: sums, bounds and counts that add up.
 
     Each message is listed under its prefix and under every value counted distinct (hops,
-    peer, edit distance). Grouping that list by value and then by bucket yields counts,
-    distinct counts and entropy together; both groupings combine before their shuffle.
+    peer, edit distance). Rows of the same value in other buckets merge into wider ones (``merge_states``),
+    and ``series_of`` yields counts, distinct counts and entropy together; every grouping
+    combines before its shuffle.
     """
     s = route_changes(rows, scope, bucket, busy=busy)
 
@@ -183,7 +191,7 @@ def feature_series(
         "target", "bucket", "ts", "aw", "path_length", *flags,
         F.explode(F.concat(single, F.coalesce(hops, none))).alias("e"),
     ).select("*", "e.kind", "e.value").drop("e")
-    per_value = listed.groupBy("target", "bucket", "kind", "value").agg(
+    return listed.groupBy("target", "bucket", "kind", "value").agg(
         F.count("*").alias("n"),
         F.count_if(_c("aw") == "A").alias("a"),
         F.count_if(_c("aw") == "W").alias("w"),
@@ -196,6 +204,29 @@ def feature_series(
         *[F.sum(f).alias(f) for f in flags],
     )
 
+
+def merge_states(states: DataFrame, width: int, slide: int | None = None) -> DataFrame:
+    """States of windows of ``width`` seconds, one every ``slide`` (by default side by side), by the clock.
+
+    ``slide`` divides ``width`` and is a multiple of the states' own width; a window is named by its start.
+    New buckets only add rows, so windows may be merged from states written file by file."""
+    slide = slide or width
+    if width % slide:
+        raise ValueError("the slide must divide the width")
+    last = _c("bucket") - F.pmod(_c("bucket"), F.lit(slide))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(width // slide - 1)), lambda k: last - k * slide)
+    placed = states.withColumn("bucket", F.explode(starts)) if width > slide else states.withColumn("bucket", last)
+    by = ["target", "bucket", "kind", "value"]
+    least, most = ("t0", "len_min"), ("t1", "len_max")
+    added = [n for n in states.columns if n not in (*by, *least, *most)]
+    return placed.groupBy(*by).agg(
+        *[F.sum(n).alias(n) for n in added], *[F.min(n).alias(n) for n in least], *[F.max(n).alias(n) for n in most]
+    )
+
+
+def series_of(per_value: DataFrame) -> DataFrame:
+    """One row per (target, bucket) with all features, from ``bucket_states``."""
+
     def of(kind: str, value: Column) -> Column:
         return F.when(_c("kind") == kind, value)
 

@@ -18,7 +18,7 @@ from routescope.sources import adapters as A
 from routescope.sources.landing import landed
 
 c = F.col
-WIDE = 21600  # buckets of six hours suit the density of the supplied events
+WIDE = 300  # seconds, as dump files have them
 
 # ---------------------------------------------------------------- SQL side
 add_view(
@@ -119,9 +119,21 @@ def _series(spark, d):
     return FE.feature_series(rows, WIDE)
 
 
+def _states(spark, d):
+    rows = relevant_updates(
+        A.updates(spark, d), A.targets(spark, d), FE.FEATURE_INPUT, bucket=WIDE, busy=busy_prefixes(spark, d)
+    )
+    return FE.bucket_states(rows, WIDE).withColumn("date", T.from_seconds(c("bucket")).cast("date"))
+
+
+def states(spark, d):
+    """What five-minute buckets hold, value by value, stored once by date; series of any width are merged from it."""
+    return landed(spark, d, "bucket_states", _states, ("date",)).drop("date")
+
+
 def series(spark, d):
     """The feature table, stored once; baselines, anomalies and outages read it."""
-    return landed(spark, d, "feature_series", _series)
+    return landed(spark, d, "feature_series", lambda spark, d: FE.series_of(states(spark, d)))
 
 
 @query("D2_feature_series", shown("fser"))
@@ -129,6 +141,29 @@ def d2(spark, d):
     return show(_series(spark, d))
 
 
+# Route state starts anew with every file of five minutes, whatever the width of the windows.
+def coarser(width: int, slide: int) -> str:
+    starts = ", ".join(f"s // {slide} * {slide} - {k * slide}" for k in range(width // slide))
+    state = state_sql("rel", WIDE, f"target, prefix, s // {WIDE}")
+    return f"SELECT * EXCLUDE (bucket), unnest([{starts}]) AS bucket FROM ({state})"
+
+
+add_view("st6h", coarser(21600, 21600))
+add_view("fser6h", series_sql("st6h"))
+add_view("sthour", coarser(3600, 1800))
+add_view("fserhour", series_sql("sthour"))
+
+
+@query("D2_feature_series_six_hours", shown("fser6h"))
+def d2_six(spark, d):
+    return show(FE.series_of(FE.merge_states(states(spark, d), 21600)))
+
+
+@query("D2_feature_series_sliding_hour", shown("fserhour"))
+def d2_hour(spark, d):
+    return show(FE.series_of(FE.merge_states(states(spark, d), 3600, 1800)))
+
+
 @query("D2_feature_series_global_state", shown("gser"))
 def d2g(spark, d):
     busy = busy_prefixes(spark, d)
@@ -302,8 +337,8 @@ def changes(spark, d):
 
 @query(
     "E1_arrival_gaps",
-    """SELECT * FROM (SELECT target, CAST(bucket AS BIGINT) AS bucket, seq, s - lag(s) OVER (PARTITION BY target, bucket ORDER BY ts, seq) AS gap
-       FROM (SELECT *, s // 21600 * 21600 AS bucket FROM rel)) WHERE gap IS NOT NULL""",
+    f"""SELECT * FROM (SELECT target, CAST(bucket AS BIGINT) AS bucket, seq, s - lag(s) OVER (PARTITION BY target, bucket ORDER BY ts, seq) AS gap
+       FROM (SELECT *, s // {WIDE} * {WIDE} AS bucket FROM rel)) WHERE gap IS NOT NULL""",
 )
 def e1(spark, d):
     rows = relevant(spark, d).withColumn("bucket", T.bucket_seconds(c("ts"), WIDE))
@@ -350,7 +385,7 @@ def e6(spark, d):
 )
 def e12(spark, d):
     base = B.period_stats(FE.totals(baseline_rows(spark, d), [*BY, "period"]), BY, O.PERIOD_FEATURES)
-    s = O.sliding_scores(event_rows(spark, d), base, BY, 4, 2)
+    s = O.sliding_scores(event_rows(spark, d), base, BY, 12, 6)
     return rounded(s.select(*BY, *[c(n).cast("bigint").alias(n) for n in ("win", "win_start", "win_end")], "score"), "score")
 
 
@@ -375,7 +410,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY target, event_name ORDER BY buck
     add_view(name, f"""SELECT p.target, p.event_name, p.win, p.bucket, s.score FROM {name}pos p JOIN {name}score s ON s.target = p.target AND s.event_name = p.event_name AND s.win = p.win""")
 
 
-sliding_view("swin", 4, 2)
+sliding_view("swin", 12, 6)
 sliding_view("dwin", 12, 6)
 
 add_view("fscore", score_sql("etot"))
@@ -417,8 +452,8 @@ def f6c(spark, d):
 
 add_view(
     "panom",
-    """SELECT e.target, e.event_name, e.feature, e.bucket, e.value, b.mean, b.std, round((e.value - b.mean) / b.std, 9) AS z FROM evlong e
-JOIN sbase b ON b.target = e.target AND b.event_name = e.event_name AND b.slot = (e.bucket - e.s0) // 21600 AND b.feature = e.feature
+    f"""SELECT e.target, e.event_name, e.feature, e.bucket, e.value, b.mean, b.std, round((e.value - b.mean) / b.std, 9) AS z FROM evlong e
+JOIN sbase b ON b.target = e.target AND b.event_name = e.event_name AND b.slot = (e.bucket - e.s0) // {WIDE} AND b.feature = e.feature
 WHERE round(b.std, 9) > 0 AND abs(round((e.value - b.mean) / b.std, 9)) >= 3.0""",
 )
 

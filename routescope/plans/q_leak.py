@@ -183,13 +183,13 @@ def gibbs_twin(sweeps):
   UNION ALL
   SELECT s.id, s.t + CASE WHEN w.id IS NULL THEN 0 ELSE 1 END, coalesce(w.rel, s.rel), s.dn + CASE WHEN w.rel = -1 THEN 1 ELSE 0 END, s.fl + CASE WHEN w.rel = 0 THEN 1 ELSE 0 END, s.up + CASE WHEN w.rel = 1 THEN 1 ELSE 0 END
   FROM g s LEFT JOIN (
-    SELECT v.id, CAST(CASE WHEN v.u < v.dn / v.v THEN -1 WHEN v.u < 1.0 - v.up / v.v THEN 0 ELSE 1 END AS INTEGER) AS rel FROM (
-      SELECT r.id, ('0x' || substr(md5(l.as1 || '|' || l.as2 || '|' || (r.t + 1) || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, q.dn, q.up, q.v
-      FROM (SELECT y.id, y.t FROM g y WHERE y.t < {sweeps} AND NOT EXISTS (SELECT 1 FROM beside p JOIN g o ON o.id = p.o WHERE p.id = y.id AND o.t <> y.t + CASE WHEN p.o < p.id THEN 1 ELSE 0 END)) r
-      JOIN lnk l ON l.id = r.id
-      JOIN (SELECT id, coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v FROM (
-              SELECT x.id, x.n, CASE WHEN x.b IS NULL THEN 1 ELSE x.bs * b.rel END AS lst, CASE WHEN x.a IS NULL THEN -1 ELSE x.sgn * a.rel END AS nxt
-              FROM cx x LEFT JOIN g b ON b.id = x.b LEFT JOIN g a ON a.id = x.a) GROUP BY id) q ON q.id = r.id) v) w ON w.id = s.id
+    SELECT q.id, CAST(CASE WHEN q.u < q.dn / q.v THEN -1 WHEN q.u < 1.0 - q.up / q.v THEN 0 ELSE 1 END AS INTEGER) AS rel FROM (
+      SELECT z.id, ('0x' || substr(md5(l.as1 || '|' || l.as2 || '|' || (z.t + 1) || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, z.dn, z.up, z.v FROM (
+        SELECT id, t, coalesce(sum(n) FILTER (lst <> 1 AND nxt = -1), 0)::DOUBLE AS dn, coalesce(sum(n) FILTER (lst = 1 AND nxt <> -1), 0)::DOUBLE AS up, sum(n)::DOUBLE AS v FROM (
+          SELECT r.id, r.t, x.n, CASE WHEN x.b IS NULL THEN 1 ELSE x.bs * b.rel END AS lst, CASE WHEN x.a IS NULL THEN -1 ELSE x.sgn * a.rel END AS nxt
+          FROM (SELECT y.id, y.t FROM g y WHERE y.t < {sweeps} AND NOT EXISTS (
+                  SELECT 1 FROM beside p JOIN g o ON o.id = p.o WHERE p.id = y.id AND o.t <> y.t + CASE WHEN p.o < p.id THEN 1 ELSE 0 END)) r
+          JOIN cx x ON x.id = r.id LEFT JOIN g b ON b.id = x.b LEFT JOIN g a ON a.id = x.a) GROUP BY id, t) z JOIN lnk l ON l.id = z.id) q) w ON w.id = s.id
   WHERE (SELECT min(t) FROM g) < {sweeps})
 SELECT l.as1, l.as2, g.dn / {sweeps}.0::DOUBLE AS p2c, g.fl / {sweeps}.0::DOUBLE AS p2p, g.up / {sweeps}.0::DOUBLE AS c2p
 FROM (SELECT id, max(dn) AS dn, max(fl) AS fl, max(up) AS up FROM g GROUP BY id) g JOIN lnk l ON l.id = g.id"""

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from routescope.functions import times as T
@@ -140,3 +141,33 @@ def test_sessions_over_pieces(spark):
     got = sorted((r["a"], r["b"], r["n"]) for r in Q.sessions(df, ["k"], fewest=1, piece=5000).select(
         T.seconds(F.col("start")).alias("a"), T.seconds(F.col("end")).alias("b"), "n").collect())
     assert got == [(w[0], w[-1], len(w)) for w in want]
+
+
+def test_states_merge_to_any_width(spark, tmp_path):
+    """Windows merged from five-minute states, written in two goes, against a plain count of what they cover."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(0, 4 * 3600), rng.choice("AAAW"), rng.randrange(1, 4), f"10.0.{rng.randrange(6)}.0/24", " ".join(str(rng.randrange(1, 9)) for _ in range(3))) for i in range(400)]
+    rows = [(i, s, aw, peer, prefix, path if aw == "A" else "") for i, s, aw, peer, prefix, path in rows]
+    df = spark.createDataFrame(rows, "seq int, s bigint, aw string, peer_as bigint, prefix string, as_path string")
+    hops = F.filter(F.split("as_path", " "), lambda h: h != "")
+    df = df.select("seq", T.from_seconds(F.col("s")).alias("ts"), "aw", "peer_as", "prefix", "as_path", hops.alias("hops"), F.lit("t").alias("target"), "s")
+    for part in (F.col("s") < 6000, F.col("s") >= 6000):
+        FE.bucket_states(df.where(part).drop("s")).write.mode("append").parquet(str(tmp_path / "states"))
+    states = spark.read.parquet(str(tmp_path / "states"))
+    for width, slide in ((3600, 1800), (3600, 3600), (900, 300)):
+        got = {r["bucket"]: r for r in FE.series_of(FE.merge_states(states, width, slide)).collect()}
+        want = {}
+        for i, s, aw, peer, prefix, path in rows:
+            for k in range(width // slide):
+                want.setdefault(s // slide * slide - k * slide, []).append((aw, peer, prefix, path))
+        assert set(got) == set(want)
+        for b, own in want.items():
+            r = got[b]
+            assert r["total_messages"] == len(own) and r["announcement_count"] == sum(x[0] == "A" for x in own)
+            assert r["unique_prefix_count"] == len({x[2] for x in own})
+            assert r["unique_peer_as_count"] == len({x[1] for x in own if x[0] == "A"})
+            assert r["unique_as_count"] == len({h for x in own for h in x[3].split()})
+            both = {x[2] for x in own if x[0] == "A"} & {x[2] for x in own if x[0] == "W"}
+            assert r["flapping_prefix_count"] == len(both)
+    with pytest.raises(ValueError):
+        FE.merge_states(states, 3600, 1000)
