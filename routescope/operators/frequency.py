@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from routescope.functions import paths as P
 from routescope.functions import scores as S
 from routescope.functions import times as T
-from routescope.operators.links import fake_links
+from routescope.operators.links import fake_links, fake_paths, with_path_facts
 from routescope.session import cut_lineage
 
 WEEK = 7 * 86400
@@ -94,17 +94,21 @@ def rarity_verdicts(updates: DataFrame, pairs: DataFrame, window: int = WEEK) ->
     )
 
 
-def mark_updates(updates: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seq, fakes, has_fake, suspicious) of updates with unexplained links.
+def mark_paths(updates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, fakes, suspicious): the paths of ``updates`` with unexplained links.
 
-    Each distinct fake link is judged once and the verdict joined back.
+    Each distinct path is looked up once, each distinct fake link judged once; the paths are stored, being read twice.
     """
-    fakes = fake_links(updates, edges, ["seq"])
-    verdicts = rarity_verdicts(updates, fakes).select("as1", "as2", "suspicious")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "as1", "as2")))
-    return fakes.join(verdicts, ["as1", "as2"]).groupBy("seq").agg(
-        ordered.alias("fakes"), F.max("suspicious").alias("suspicious")
-    ).withColumn("has_fake", F.lit(True))
+    paths = cut_lineage(fake_paths(updates, edges))
+    listed = paths.select("path_id", F.explode("fakes").alias("f")).select("path_id", "f.as1", "f.as2")
+    verdicts = rarity_verdicts(updates, listed).select("as1", "as2", "suspicious")
+    judged = listed.join(verdicts, ["as1", "as2"]).groupBy("path_id").agg(F.max("suspicious").alias("suspicious"))
+    return paths.join(judged, "path_id")
+
+
+def mark_updates(updates: DataFrame, edges: DataFrame) -> DataFrame:
+    """``updates`` with unexplained links, with these as ``fakes``, ``has_fake`` and whether any is ``suspicious``."""
+    return with_path_facts(updates, mark_paths(updates, edges)).withColumn("has_fake", F.lit(True))
 
 
 def fake_link_groups(alert_links: DataFrame) -> DataFrame:

@@ -60,8 +60,7 @@ def alert_actors(marked: DataFrame, prefix2as: DataFrame) -> DataFrame:
 def forged_paths(announcements: DataFrame, edges: DataFrame, prefix2as: DataFrame, target_asns: DataFrame) -> DataFrame:
     """Alerts for updates that cross a target over a rare, unexplained link."""
     marked = frequency.mark_updates(announcements, edges).where("suspicious")
-    rows = announcements.join(marked, "seq")
-    acted = alert_actors(rows, prefix2as).withColumn("target_as", F.explode(F.array_distinct("hops")))
+    acted = alert_actors(marked, prefix2as).withColumn("target_as", F.explode(F.array_distinct("hops")))
     mine = acted.join(target_asns.select(F.col("asn").alias("target_as")).distinct(), "target_as", "left_semi")
     return mine.select(
         F.lit("forge_hijacked").alias("type"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routescope.functions import paths as P
@@ -21,11 +21,38 @@ def exploded_links(rows: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def path_id(hops: Column | str = "hops") -> Column:
+    """The id of a path in a path dictionary: a digest of its hops."""
+    return F.unhex(F.md5(F.array_join(hops, " ")))
+
+
+def path_dictionary(rows: DataFrame) -> DataFrame:
+    """(path_id, hops): every distinct path of two hops or more, once; repeats combine before they are shuffled."""
+    long = rows.where(F.size("hops") >= 2).select(path_id().alias("path_id"), "hops")
+    return long.groupBy("path_id").agg(F.any_value("hops").alias("hops"))
+
+
+def fake_paths(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, fakes): the paths of ``rows`` with links that no relationship explains, and these (pos, as1, as2) in order."""
+    unknown = exploded_links(path_dictionary(rows), ["path_id"]).join(both_ways(edges), ["as1", "as2"], "left_anti")
+    return unknown.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("pos", "as1", "as2"))).alias("fakes"))
+
+
+def with_path_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the facts of their paths (path_id, ...), found per path and joined back once."""
+    return rows.withColumn("path_id", path_id()).join(facts, "path_id", how).drop("path_id")
+
+
 def fake_links(rows: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep…, pos, as1, as2): links of a path that no relationship explains."""
-    return exploded_links(rows, keep).join(both_ways(edges), ["as1", "as2"], "left_anti").select(
-        *keep, "pos", "as1", "as2"
-    )
+    """(keep…, pos, as1, as2): links of a path that no relationship explains; each distinct path is looked up once."""
+    named = rows.select(*keep, path_id().alias("path_id")).join(fake_paths(rows, edges), "path_id")
+    return named.select(*keep, F.explode("fakes").alias("f")).select(*keep, "f.*")
+
+
+def fake_link_text(fakes: Column | str, first_only: bool = False) -> Column:
+    """Fake links in path order as ``a-b;c-d`` (or only the first)."""
+    names = F.transform(fakes, lambda s: F.concat_ws("-", s["as1"], s["as2"]))
+    return F.get(names, F.lit(0)) if first_only else F.concat_ws(";", names)
 
 
 def fake_link_list(fakes: DataFrame, key: list[str], first_only: bool = False) -> DataFrame:

@@ -112,7 +112,7 @@ def f2(spark, d):
 def b28(spark, d):
     u = announcements(spark, d)
     marked = frequency.mark_updates(u, A.asrel(spark, d)).where("suspicious")
-    acted = hijack.alert_actors(u.join(marked, "seq"), A.prefix2as(spark, d))
+    acted = hijack.alert_actors(marked, A.prefix2as(spark, d))
     return acted.select(
         "seq", F.array_join("attacker_ases", " ").alias("attacker_ases"),
         F.get("hijacker_as_list", F.lit(0)).alias("hijacker_as"),

@@ -79,13 +79,18 @@ def c3(spark, d):
     return prefix_join.covered(A.updates(spark, d), owned).select("seq", "prefix")
 
 
+def _fake_lists(spark, d, first_only):
+    u = A.updates(spark, d).select("seq", "hops")
+    known = links.with_path_facts(u, links.fake_paths(u, A.asrel(spark, d)))
+    return known.select("seq", links.fake_link_text("fakes", first_only).alias("fake_links"), F.size("fakes").cast("bigint").alias("n_fake"))
+
+
 @query(
     "C4_fake_links",
     """SELECT seq, string_agg(as1 || '-' || as2, ';' ORDER BY pos) AS fake_links, count(*) AS n_fake FROM fakes GROUP BY seq""",
 )
 def c4(spark, d):
-    fakes = links.fake_links(A.updates(spark, d), A.asrel(spark, d), ["seq"])
-    return links.fake_link_list(fakes, ["seq"])
+    return _fake_lists(spark, d, False)
 
 
 @query(
@@ -93,8 +98,7 @@ def c4(spark, d):
     "SELECT seq, arg_min(as1 || '-' || as2, pos) AS fake_links, count(*) AS n_fake FROM fakes GROUP BY seq",
 )
 def c4b(spark, d):
-    fakes = links.fake_links(A.updates(spark, d), A.asrel(spark, d), ["seq"])
-    return links.fake_link_list(fakes, ["seq"], first_only=True)
+    return _fake_lists(spark, d, True)
 
 
 @query(
@@ -105,10 +109,8 @@ def c4b(spark, d):
 )
 def b15(spark, d):
     u = A.updates(spark, d).where("aw = 'A'")
-    bad = links.fake_link_list(links.fake_links(u, A.asrel(spark, d), ["seq"]), ["seq"])
-    return u.select("seq").join(bad, "seq", "left").select(
-        "seq", c("n_fake").isNull().alias("valid"), F.coalesce("fake_links", F.lit("")).alias("bad_pairs")
-    )
+    known = links.with_path_facts(u.select("seq", "hops"), links.fake_paths(u, A.asrel(spark, d)), "left")
+    return known.select("seq", c("fakes").isNull().alias("valid"), F.coalesce(links.fake_link_text("fakes"), F.lit("")).alias("bad_pairs"))
 
 
 @query(

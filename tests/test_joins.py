@@ -106,3 +106,12 @@ def test_pair_never_seen_is_suspicious(spark):
     pairs = spark.createDataFrame([("8", "9"), ("1", "2")], "as1 string, as2 string")
     got = {(r["as1"], r["as2"]): (r["n"], r["total"], r["suspicious"]) for r in frequency.rarity_verdicts(u, pairs).collect()}
     assert got == {("8", "9"): (0, 0, True), ("1", "2"): (2, 2, False)}
+
+
+def test_facts_of_paths_are_found_once_and_joined_by_path(spark):
+    u = spark.createDataFrame([(1, ["100", "200", "400"]), (2, ["100", "200", "400"]), (3, ["400", "200", "9"]), (4, ["7"]), (5, []), (6, None)], "seq int, hops array<string>")
+    assert links.path_dictionary(u).count() == 2
+    known = links.with_path_facts(u, links.fake_paths(u, edges(spark)), "left").select("seq", links.fake_link_text("fakes").alias("t"), links.fake_link_text("fakes", True).alias("f"))
+    got = {r["seq"]: (r["t"], r["f"]) for r in known.collect()}
+    assert got[1] == got[2] == ("200-400", "200-400") and got[3] == ("400-200;200-9", "400-200") and got[4][1] is None and got[6][1] is None
+    assert "hashpartitioning(seq" not in known._jdf.queryExecution().executedPlan().toString()
