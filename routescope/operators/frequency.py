@@ -37,20 +37,69 @@ def updates_until(updates: DataFrame, points: DataFrame) -> DataFrame:
     are added from one row per day: no task sees more than a day of seconds.
     """
     per_second = updates.groupBy(T.seconds(F.col("ts")).alias("t")).agg(F.count("*").alias("n"))
-    ask = points.select("t").distinct().select("t", F.lit(0).cast("bigint").alias("n"))
+    return counts_until(per_second, points.select("t"), [])
+
+
+def counts_until(per_second: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, t, until): the counts (by…, t, n) added up to and including each wanted point (by…, t)."""
+    ask = points.distinct().withColumn("n", F.lit(0).cast("bigint"))
     day = F.floor(F.col("t") / 86400)
-    line = per_second.unionByName(ask).groupBy("t").agg(F.sum("n").alias("n")).withColumn("day", day)
-    in_day = Window.partitionBy("day").orderBy("t")
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = line.groupBy("day").agg(F.sum("n").alias("n")).select(
-        "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")
+    line = per_second.select(*by, "t", "n").unionByName(ask).groupBy(*by, "t").agg(F.sum("n").alias("n")).withColumn("day", day)
+    in_day = Window.partitionBy(*by, "day").orderBy("t")
+    before = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = line.groupBy(*by, "day").agg(F.sum("n").alias("n")).select(
+        *by, "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")
     )
-    running = line.select("t", "day", F.sum("n").over(in_day).alias("run"))
-    return running.join(days, "day").select("t", (F.col("run") + F.col("carried")).alias("until")).join(
-        ask.select("t"), "t", "left_semi"
+    running = line.select(*by, "t", "day", F.sum("n").over(in_day).alias("run"))
+    return running.join(days, [*by, "day"]).select(*by, "t", (F.col("run") + F.col("carried")).alias("until")).join(
+        ask.select(*by, "t"), [*by, "t"], "left_semi"
     )
 
 
+def rarity_as_of(updates: DataFrame, asked: DataFrame, window: int = WEEK) -> DataFrame:
+    """Verdicts on links as of asked times: ``asked`` has as1, as2, day (a date) and t_end (seconds, or null).
+
+    A link's sightings are counted among the updates of the week up to ``t_end``; without an end, or if that
+    week has no updates, among those of ``day`` alone. The threshold comes from the first AS's share of the
+    day's updates. A row without updates to count among has no data and is suspicious. Counts are running sums per
+    day, looked up at both ends of a window, so a question costs two look-ups however long its window.
+    """
+    asked = cut_lineage(asked.select("as1", "as2", F.col("day").cast("date").alias("day"), F.col("t_end").cast("bigint").alias("t_end")).distinct())
+    d0 = F.unix_date("day").cast("bigint") * 86400
+    spans = asked.select(
+        "as1", "as2", "day", "t_end", F.explode(F.array(
+            F.struct(F.lit("7d_window").alias("coverage"), (F.col("t_end") - window - 1).alias("lo"), F.col("t_end").alias("hi")),
+            F.struct(F.lit("single_day").alias("coverage"), (d0 - 1).alias("lo"), (d0 + 86399).alias("hi")))).alias("w")
+    ).select("as1", "as2", "day", "t_end", "w.*").where("hi IS NOT NULL")
+    ends = F.explode(F.array("lo", "hi")).alias("t")
+    sightings = link_sightings(updates, ["ts"]).join(asked.select("as1", "as2").distinct(), ["as1", "as2"], "left_semi")
+    per_pair = sightings.groupBy("as1", "as2", T.seconds(F.col("ts")).alias("t")).agg(F.count("*").alias("n"))
+    all_until = cut_lineage(updates_until(updates, spans.select(ends)))
+    pair_until = cut_lineage(counts_until(per_pair, spans.select("as1", "as2", ends), ["as1", "as2"]))
+
+    def at(table: DataFrame, end: str, name: str, by: list[str]) -> DataFrame:
+        return table.select(*by, F.col("t").alias(end), F.col("until").alias(name))
+
+    two = ["as1", "as2"]
+    counted = spans.join(at(all_until, "lo", "a0", []), "lo").join(at(all_until, "hi", "a1", []), "hi")
+    counted = counted.join(at(pair_until, "lo", "p0", two), [*two, "lo"]).join(at(pair_until, "hi", "p1", two), [*two, "hi"])
+    used = counted.select(*two, "day", "t_end", "coverage", (F.col("a1") - F.col("a0")).alias("total"), (F.col("p1") - F.col("p0")).alias("n")).where("total > 0")
+    # '7d_window' comes before 'single_day'
+    best = used.groupBy(*two, "day", "t_end").agg(F.min(F.struct("coverage", "total", "n")).alias("b"))
+    date = F.to_date("ts").alias("day")
+    per_day = updates.groupBy(date).agg(F.count("*").alias("day_total"))
+    active = updates.select(date, F.explode(F.array_distinct("hops")).alias("as1")).groupBy("day", "as1").agg(F.count("*").alias("active"))
+    named = best.toDF("x1", "x2", "x_day", "x_end", "b")
+    same = (F.col("as1") == F.col("x1")) & (F.col("as2") == F.col("x2")) & (F.col("day") == F.col("x_day")) & F.col("t_end").eqNullSafe(F.col("x_end"))
+    judged = asked.join(named, same, "left").select(
+        *two, "day", "t_end", F.coalesce("b.coverage", F.lit("insufficient")).alias("coverage"),
+        F.coalesce("b.n", F.lit(0).cast("bigint")).alias("n"), F.coalesce("b.total", F.lit(0).cast("bigint")).alias("total"))
+    share = F.coalesce(F.try_divide("active", "day_total"), F.lit(0.0))
+    rows = judged.join(per_day, "day", "left").join(active, ["day", "as1"], "left").withColumns(
+        {"ratio": F.coalesce(F.try_divide("n", "total"), F.lit(0.0)), "threshold": F.when(F.col("total") > 0, S.forge_threshold(share))})
+    return rows.select(*two, "day", "t_end", "coverage", "n", "total", "ratio", "threshold", F.coalesce(F.col("ratio") <= F.col("threshold"), F.lit(True)).alias("suspicious"))
+
+
 def rarity_verdicts(updates: DataFrame, pairs: DataFrame, window: int = WEEK) -> DataFrame:
     """Per wanted pair: sightings and all updates in the week up to its last sighting,
     their ratio, the threshold its first AS earns, and whether the link is suspicious.

@@ -386,6 +386,40 @@ def d13(spark, d):
     return m.select("seq", text.alias("fake_links"), "suspicious", "has_fake")
 
 
+# Questions about the verdict at some time: three days after a link's last sighting, without a time,
+# or after all data, by the first AS.
+add_view(
+    "asked",
+    """SELECT as1, as2, CAST(make_timestamp(last * 1000000) AS DATE) AS day, CASE CAST(as1 AS BIGINT) % 3 WHEN 0 THEN last + 259200 WHEN 2 THEN last + 90 * 86400 END AS t_end
+FROM (SELECT as1, as2, max(s) AS last FROM fakes GROUP BY 1, 2)""",
+)
+add_view(
+    "answered",
+    """SELECT q.as1, q.as2, q.day, q.t_end, w.total AS wt, w.n AS wn, d.total AS dt, d.n AS dn, coalesce(ac.active, 0) AS active
+FROM asked q
+LEFT JOIN (SELECT q.as1, q.as2, q.t_end, count(*) AS total, count(h.seq) AS n FROM (SELECT DISTINCT as1, as2, t_end FROM asked) q JOIN updates u ON u.s BETWEEN q.t_end - 604800 AND q.t_end AND u.aw = 'A'
+  LEFT JOIN (SELECT DISTINCT seq, as1, as2 FROM hoplinks) h ON h.seq = u.seq AND h.as1 = q.as1 AND h.as2 = q.as2 GROUP BY 1, 2, 3) w ON w.as1 = q.as1 AND w.as2 = q.as2 AND w.t_end = q.t_end
+LEFT JOIN (SELECT q.as1, q.as2, q.day, count(*) AS total, count(h.seq) AS n FROM (SELECT DISTINCT as1, as2, day FROM asked) q JOIN updates u ON u.s // 86400 = date_diff('day', DATE '1970-01-01', q.day) AND u.aw = 'A'
+  LEFT JOIN (SELECT DISTINCT seq, as1, as2 FROM hoplinks) h ON h.seq = u.seq AND h.as1 = q.as1 AND h.as2 = q.as2 GROUP BY 1, 2, 3) d ON d.as1 = q.as1 AND d.as2 = q.as2 AND d.day = q.day
+LEFT JOIN (SELECT s // 86400 AS day, asn, count(*) AS active FROM (SELECT seq, s, unnest(list_distinct(hops)) AS asn FROM updates WHERE aw = 'A') GROUP BY 1, 2) ac ON ac.day = date_diff('day', DATE '1970-01-01', q.day) AND ac.asn = q.as1""",
+)
+
+
+@query(
+    "D12_verdict_as_of",
+    """SELECT as1, as2, CAST(day AS VARCHAR) AS day, coalesce(t_end, -1) AS t_end, coverage, n, total, round(ratio, 8) AS ratio, threshold, ratio <= threshold AS suspicious FROM (
+         SELECT *, n / total::DOUBLE AS ratio, CASE WHEN act >= 0.1 THEN 0.0005 WHEN act >= 0.01 THEN 0.001 WHEN act >= 0.001 THEN 0.002 ELSE 0.005 END::DOUBLE AS threshold FROM (
+           SELECT as1, as2, day, t_end, CASE WHEN wt > 0 THEN '7d_window' ELSE 'single_day' END AS coverage, CASE WHEN wt > 0 THEN wn ELSE dn END AS n, CASE WHEN wt > 0 THEN wt ELSE dt END AS total, active / dt::DOUBLE AS act FROM answered))""",
+)
+def d12_as_of(spark, d):
+    u = A.updates(spark, d).where("aw = 'A'")
+    last = links.fake_links(u, A.asrel(spark, d), ["ts"]).groupBy("as1", "as2").agg(F.max(T.seconds(c("ts"))).alias("last"))
+    kind = c("as1").cast("bigint") % 3
+    asked = last.select("as1", "as2", T.from_seconds(c("last")).cast("date").alias("day"), F.when(kind == 0, c("last") + 259200).when(kind == 2, c("last") + 90 * 86400).alias("t_end"))
+    v = frequency.rarity_as_of(u, asked)
+    return v.withColumns({"day": c("day").cast("string"), "t_end": F.coalesce("t_end", F.lit(-1).cast("bigint")), "ratio": F.round("ratio", 8)})
+
+
 add_view(
     "flgroups",
     """SELECT t AS target_as, prefix, as1, as2, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n, count(DISTINCT as_path) AS n_paths

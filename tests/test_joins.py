@@ -115,3 +115,15 @@ def test_facts_of_paths_are_found_once_and_joined_by_path(spark):
     got = {r["seq"]: (r["t"], r["f"]) for r in known.collect()}
     assert got[1] == got[2] == ("200-400", "200-400") and got[3] == ("400-200;200-9", "400-200") and got[4][1] is None and got[6][1] is None
     assert "hashpartitioning(seq" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verdicts_as_of_asked_times(spark):
+    day = 86400
+    seen = [(1, 0, "1 2 3"), (2, day, "1 2"), (3, day + 5, "4 5"), (4, 8 * day, "1 2 1 2"), (5, 8 * day + 1, "4 5"), (6, 30 * day, "1 2")]
+    u = spark.createDataFrame(seen, "seq int, s bigint, p string").select("seq", T.from_seconds(F.col("s")).alias("ts"), F.split("p", " ").alias("hops"))
+    asked = [("1", "2", 0, 0), ("1", "2", 1, 8 * day), ("1", "2", 8, None), ("1", "2", 8, 100 * day), ("9", "8", 8, 8 * day + 1), ("1", "2", 50, 100 * day), ("1", "2", 1, 8 * day)]
+    q = spark.createDataFrame(asked, "as1 string, as2 string, d int, t_end bigint").select("as1", "as2", F.date_from_unix_date("d").alias("day"), "t_end")
+    got = {(r["as1"], r["day"].toordinal() - 719163, r["t_end"]): (r["coverage"], r["n"], r["total"]) for r in frequency.rarity_as_of(u, q).collect()}
+    assert got == {
+        ("1", 0, 0): ("7d_window", 1, 1), ("1", 1, 8 * day): ("7d_window", 2, 3), ("1", 8, None): ("single_day", 1, 2),
+        ("1", 8, 100 * day): ("single_day", 1, 2), ("9", 8, 8 * day + 1): ("7d_window", 0, 3), ("1", 50, 100 * day): ("insufficient", 0, 0)}
