@@ -43,7 +43,7 @@ BANDS, ROWS = 28, 5
 COORDS = BANDS * ROWS
 LEAST = 0.8
 PIVOTS = (1, 64, 256)  # of each bucket, by round; the last holds for all later ones
-PART = 2048  # members of a bucket, and of a task's group, compared at once
+PART = 1024  # members of a bucket, and of a task's group, compared at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,7 +243,7 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + occurrences(h, first).astype(np.uint64) * _STEP), first
 
 
-def near_pairs(x: pd.DataFrame, p: pd.DataFrame, apart: float, most: int = 1 << 22) -> list[tuple[bytes, bytes]]:
+def near_pairs(x: pd.DataFrame, p: pd.DataFrame, apart: float, most: int = 1 << 20) -> list[tuple[bytes, bytes]]:
     """Pairs of a member of ``x`` and a pivot of ``p`` (key, root, text), of different roots, at most ``apart``."""
     own, own_first = elements(p["text"].tolist())
     owner = np.repeat(np.arange(len(p)), np.diff(own_first))
