@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from routescope.functions import times as T
@@ -10,7 +12,7 @@ from routescope.operators import learned, periods, reports
 from routescope.operators import sequences as Q
 from routescope.operators import traffic as TR
 from routescope.plans import jobs
-from routescope.plans.registry import query
+from routescope.plans.registry import SQL_OF, query
 from routescope.plans.sqlviews import add_view
 from routescope.sources import adapters as A
 
@@ -139,15 +141,17 @@ def e11(spark, d):
     return big(r, "idx", "drop_start", "drop_end")
 
 
-def combined_views(tag: str, threshold: float) -> None:
+def combined_views(tag: str, threshold: float, name: str | None = None) -> None:
+    """Views ``name``all and ``name``comb over the points and drops of ``tag``."""
+    name = name or tag
     add_view(
-        f"{tag}all",
+        f"{name}all",
         f"""SELECT series, event_name, idx, max(z) FILTER (k = 1) AS stat_z, bool_or(k = 2) AS low, bool_or(k = 3) AS drp, max(sev) FILTER (k = 3) AS drop_sev FROM (
   SELECT series, event_name, idx, round(abs(value - mean) / eff, 9) AS z, 1 AS k, NULL AS sev FROM {tag}pts WHERE round(abs(value - mean) / eff, 9) > {threshold}
   UNION ALL SELECT series, event_name, idx, NULL, 2, NULL FROM {tag}pts WHERE mean >= 0.04 AND value <= 0.03
   UNION ALL SELECT series, event_name, idx, NULL, 3, severity FROM {tag}drop) GROUP BY 1, 2, 3""",
     )
-    add_view(f"{tag}comb", keep_runs_sql(f"{tag}all"))
+    add_view(f"{name}comb", keep_runs_sql(f"{name}all"))
 
 
 combined_views("n", 1.2)
@@ -494,3 +498,21 @@ def f20b(spark, d):
     named = periods.detect_periods(t, ["series"], 24, 168).select("series", "period_name")
     r = jobs.traffic_job(t, windows(spark, d), named)
     return rounded(r.drop("anomaly_start", "anomaly_end"), "current_avg", "historical_avg", "percent_change")
+
+
+# ---------------------------------------------------------------- at the default thresholds
+@query(
+    "F12_traffic_statistical_default",
+    """SELECT series, event_name, idx, round(z, 6) AS z, CASE WHEN z > 5 THEN 'high' WHEN z > 3 THEN 'medium' ELSE 'low' END AS severity FROM (
+         SELECT *, round(abs(value - mean) / eff, 9) AS z FROM npts WHERE round(abs(value - mean) / eff, 9) > 3.0)""",
+)
+def f12_default(spark, d):
+    return rounded(big(TR.statistical(points(spark, d)).select(*KEY, "idx", "z", "severity"), "idx"), "z")
+
+
+combined_views("n", 2.5, "role")
+
+
+@query("F21_role_job_default", re.sub(r"\bncomb\b", "rolecomb", SQL_OF["F21_role_job"]))
+def f21_default(spark, d):
+    return big(jobs.role_job(role_points(spark, d)), "idx")

@@ -11,7 +11,7 @@ from routescope.plans.sqlviews import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+SQL_OF: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            _SQL[name] = sql
+            SQL_OF[name] = sql
         return fn
 
     return keep
@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def oracles() -> dict[str, str]:
     """SQL twins with the views they use, resolved once all views are known."""
-    return {name: with_views(sql) for name, sql in _SQL.items()}
+    return {name: with_views(sql) for name, sql in SQL_OF.items()}
