@@ -32,7 +32,7 @@ HEADLINE = (
 INGEST = {
     "ingest_paths": adapters.paths, "ingest_updates": adapters.updates, "ingest_prefix2as": adapters.prefix2as,
     "ingest_asrel": adapters.asrel, "ingest_asprob": adapters.asprob, "ingest_traffic": adapters.traffic,
-    "ingest_feature_series": q_features.series, "ingest_alerts": q_hijack.all_alerts,
+    "ingest_feed": adapters.feed_path, "ingest_feature_series": q_features.series, "ingest_alerts": q_hijack.all_alerts,
 }
 # Queries whose work is one pass over all updates, for rows per second.
 PER_ROW = ("A1_read_update_dump", "D2_feature_series", "C4_fake_links", "B19_leak_fold")
