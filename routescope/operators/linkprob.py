@@ -144,7 +144,11 @@ def initial_relations(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _laid_out(contexts: DataFrame, start: DataFrame) -> DataFrame:
+CELLS = 4_000_000  # states of links by sweeps that one task redraws
+FEW_CELLS = 500_000  # while there are idle cores, and not worth a task of their own below
+
+
+def _laid_out(contexts: DataFrame, start: DataFrame, parts: int) -> DataFrame:
     """Contexts by link, each with the keys of the links beside it, the signs that turn their
     relations, and whether they come before the link itself in a sweep. A missing end has nulls."""
     before, after = F.col("before"), F.col("after")
@@ -159,7 +163,7 @@ def _laid_out(contexts: DataFrame, start: DataFrame) -> DataFrame:
     def early(one: str, two: str) -> Column:
         return F.coalesce((F.col(one) < F.col("as1")) | ((F.col(one) == F.col("as1")) & (F.col(two) < F.col("as2"))), F.lit(False))
 
-    return ctx.withColumns({"b_early": early("b1", "b2"), "a_early": early("a1", "a2")}).repartition("as1", "as2").sortWithinPartitions("as1", "as2")
+    return ctx.withColumns({"b_early": early("b1", "b2"), "a_early": early("a1", "a2")}).repartition(parts, "as1", "as2").sortWithinPartitions("as1", "as2")
 
 
 def _histories(column: pa.Array, last: pa.Array, sign: np.ndarray, early: np.ndarray, width: int, missing: int) -> np.ndarray:
@@ -210,7 +214,7 @@ def _votes(seen: DataFrame, width: int) -> DataFrame:
 _STATES = "as1 string, as2 string, last int, states binary, u binary, changed boolean"
 
 
-def _redrawn(rows: DataFrame, width: int) -> DataFrame:
+def _redrawn(rows: DataFrame, width: int, parts: int) -> DataFrame:
     """Each link's states drawn anew from its votes; a link comes first, its sums of votes follow."""
 
     def run(batches):
@@ -233,7 +237,7 @@ def _redrawn(rows: DataFrame, width: int) -> DataFrame:
         if link is not None:
             yield _state_rows([drawn(link, n, down, up)])
 
-    ordered = rows.repartition("as1", "as2").sortWithinPartitions("as1", "as2", "tag")
+    ordered = rows.repartition(parts, "as1", "as2").sortWithinPartitions("as1", "as2", "tag")
     return ordered.mapInArrow(run, _STATES)
 
 
@@ -298,10 +302,13 @@ def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000,
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     links = saved(start.select("as1", "as2", "rel", *[F.lit(0).cast("bigint").alias(k) for k in ("down", "flat", "up")]), "links-0")
-    ctx = saved(_laid_out(contexts, links), "contexts")
+    # Rows are small on disk and grow with the sweeps in memory, so their number sets the partitions, not their bytes.
+    cells = links.count() * min(span, sweeps)
+    parts = max(min(spark.sparkContext.defaultParallelism, cells // FEW_CELLS + 1), cells // CELLS + 1)
+    ctx = saved(_laid_out(contexts, links, parts), "contexts")
     for first in range(1, sweeps + 1, span):
         width = min(span, sweeps + 1 - first)
-        state = saved(_begun(links, first, width, seed), f"states-{first}-0")
+        state = saved(_begun(links.repartition(parts, "as1", "as2"), first, width, seed), f"states-{first}-0")
         turn = 0
         while True:
             turn += 1
@@ -310,7 +317,7 @@ def sample_relations(contexts: DataFrame, start: DataFrame, sweeps: int = 1000,
             votes = _votes(seen.select("as1", "as2", "n", *[f"{x}_{k}" for x in "ba" for k in ("sign", "early", "last", "states")]), width)
             heads = state.select("as1", "as2", F.lit(0).alias("tag"), F.lit(0).cast("bigint").alias("n"), "last", "states", "u",
                                  *[F.lit(None).cast("binary").alias(k) for k in ("down", "up")])
-            state = saved(_redrawn(heads.unionByName(votes), width), f"states-{first}-{turn}")
+            state = saved(_redrawn(heads.unionByName(votes), width, parts), f"states-{first}-{turn}")
             if turn > 1:
                 removed(spark, f"{folder}/states-{first}-{turn - 2}")
             if state.where("changed").isEmpty():
