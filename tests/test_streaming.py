@@ -103,6 +103,45 @@ def test_a_message_of_several_target_ases_counts_once(spark, tmp_path):
     assert got == [("t", 1, 0), ("t", 2, 1), ("t", 3, 0), ("u", 1, 0), ("u", 2, 1)]
 
 
+def test_prefixes_of_a_group_share_a_value_of_state(spark, tmp_path):
+    parts = [[(100 * b + k, 1000 * b + k, "W" if (b + k) % 5 == 0 else "A", f"p{k % 20}", "" if (b + k) % 5 == 0 else f"1 {k % 3 + b}") for k in range(40)] for b in range(3)]
+    folder = feed(spark, tmp_path, parts)
+    schema = batch(spark, parts[0]).schema
+    rows = J.update_stream(spark, folder, schema, max_files=1).withColumn("target", F.lit("t"))
+    out = K.route_changes(rows, groups=2)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, K.ROCKS)
+    try:
+        q = J.run_to_table(out, str(tmp_path / "out"))
+        q.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    done = [p for p in q.recentProgress if p["numInputRows"]]
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in done] == [2, 2, 2]  # 20 prefixes, two calls a batch
+    whole = FE.route_changes(spark.read.schema(schema).parquet(folder).withColumn("target", F.lit("t")), "global")
+    shown = ["seq", "prefix", "edit", *K.CHANGES]
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out/table")).select(*shown).collect())) == sorted(map(str, whole.select(*shown).collect()))
+
+
+def test_prefixes_of_a_group_are_forgotten_one_by_one(spark, tmp_path):
+    day = 86_400
+    parts = [[(1, 0, "A", "p", "1 2"), (2, day, "A", "q", "1 2")], [(3, 5 * day // 2, "A", "r", "1 2")], [(4, 5 * day // 2 + 9000, "A", "r", "1 2")],
+             [(5, 5 * day // 2 + 9100, "A", "p", "1 2"), (6, 5 * day // 2 + 9100, "A", "q", "1 2")], [(7, 6 * day, "A", "s", "1 2")],
+             [(8, 6 * day + 9000, "A", "s", "1 2")], [(9, 6 * day + 9100, "A", "q", "1 2"), (10, 6 * day + 9100, "A", "s", "1 2")]]
+    folder = feed(spark, tmp_path, parts)
+    rows = J.update_stream(spark, folder, batch(spark, parts[0]).schema, max_files=1).withColumn("target", F.lit("t"))
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, K.ROCKS)
+    try:
+        J.run_to_table(K.route_changes(rows, ttl_days=2, groups=1), str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    got = {r["seq"]: r["dup_a"] for r in spark.read.parquet(str(tmp_path / "out/table")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 1, 9: 0, 10: 1}
+
+
 def test_duplicates_within_watermark(spark, tmp_path):
     folder = feed(spark, tmp_path, [PARTS[0], PARTS[0]])
     s = J.update_stream(spark, folder, batch(spark, PARTS[0]).schema, max_files=1)
