@@ -171,3 +171,30 @@ def test_states_merge_to_any_width(spark, tmp_path):
             assert r["flapping_prefix_count"] == len(both)
     with pytest.raises(ValueError):
         FE.merge_states(states, 3600, 1000)
+
+
+def test_only_rows_of_a_prefix_carry_what_messages_add(spark):
+    rows = [(1, 0, "A", "10.0.0.0/24", "1 2"), (2, 10, "A", "10.0.0.0/24", "1 2"), (3, 20, "W", "10.0.0.0/24", "")]
+    df = spark.createDataFrame(rows, "seq int, s bigint, aw string, prefix string, as_path string")
+    hops = F.filter(F.split("as_path", " "), lambda h: h != "")
+    df = df.select("seq", T.from_seconds(F.col("s")).alias("ts"), "aw", F.lit(1).cast("bigint").alias("peer_as"), "prefix", "as_path", hops.alias("hops"), F.lit("t").alias("target"))
+    got = {(r["kind"], r["value"]): r for r in FE.bucket_states(df).collect()}
+    own = got["prefix", "10.0.0.0/24"]
+    assert (own["n"], own["a"], own["w"], own["t0"], own["t1"], own["len_sum"], own["dup_a"]) == (3, 2, 1, 0, 20, 4, 1)
+    hop = got["as", "2"]
+    assert (hop["n"], hop["a"], hop["t0"], hop["len_sum"], hop["dup_a"]) == (2, 0, None, None, None)
+    assert got["edit", "0"]["n"] == 1 and got["peer", "1"]["n"] == 2
+
+
+def test_messages_meet_targets_without_a_shuffle_of_their_own(spark, tmp_path):
+    from routescope.operators.relevance import relevant_updates
+    from routescope.sources import adapters as A
+
+    folder = str(tmp_path)
+    spark.range(50_000).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(id % 25 AS int) AS s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    spark.range(25).selectExpr("CAST(id AS int) AS n_nationkey", "concat('N', id) AS n_name").write.parquet(f"{folder}/nation.parquet")
+    u = spark.range(100).selectExpr("id AS seq", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS ts", "'A' AS aw", "id AS peer_as", "'p' AS prefix", "'1 2' AS as_path", "array('1', '2') AS hops")
+    targets = A.targets(spark, folder)
+    assert targets.count() == 50_000
+    plan = relevant_updates(u, targets, FE.FEATURE_INPUT, bucket=300)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
