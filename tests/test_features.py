@@ -196,5 +196,6 @@ def test_messages_meet_targets_without_a_shuffle_of_their_own(spark, tmp_path):
     u = spark.range(100).selectExpr("id AS seq", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS ts", "'A' AS aw", "id AS peer_as", "'p' AS prefix", "'1 2' AS as_path", "array('1', '2') AS hops")
     targets = A.targets(spark, folder)
     assert targets.count() == 50_000
+    assert "Join" not in targets._jdf.queryExecution().optimizedPlan().toString()  # its true size is known
     plan = relevant_updates(u, targets, FE.FEATURE_INPUT, bucket=300)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
