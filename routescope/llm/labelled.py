@@ -55,6 +55,14 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, per_class: int, us
     return texts.join(picked[0].unionAll(picked[1]), "doc_id")
 
 
+def every_labelled(docs: DataFrame, labels: DataFrame, target: str, usable: Column | None, parts: int) -> DataFrame:
+    """(doc_id, text, lang, y): whole texts of all labelled rows, in ``parts`` partitions by id; which labels count
+    is as in ``labelled``. Texts are shuffled once: both sides lie alike before they meet."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = _known(labels, target, usable)
+    return texts.where("doc_id is not null").repartition(parts, "doc_id").join(known.repartition(parts, "doc_id"), "doc_id")
+
+
 def stated_size(docs: DataFrame) -> Column:
     """The length that a table's metadata gives a text; null where it has none."""
     return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double")

@@ -5,10 +5,13 @@ first four and six bytes, which speak for inflections never seen. Filters of sev
 widths slide over the embeddings and keep their largest answer over the whole text; a
 logistic layer joins the answers. Each bucket starts from its smoothed log odds.
 
-The sample is bounded: ``per_class`` labelled ids a class and ``max_words`` words in all.
-A fifth of it trains nothing and sets, per language, the threshold that makes fewest
-errors among all labelled rows, each class weighed by its share of these; the language is guessed from the text, by bucket frequencies of the sample's
-rows, so ``lang`` itself enters no score. Thresholds become 0.5 in the score.
+Every labelled row takes part, whatever their number. Four fifths, by a hash, give the counts of
+buckets and the weights: each group of rows is walked through by one task in small steps from the
+weights all start with, the groups' changes are averaged by Spark, and the next round starts there.
+The other fifth sets, per language, the threshold that makes fewest errors, from counts of its answers
+in steps of 1/``GRID``; the language is guessed from the text, by bucket frequencies, so ``lang`` itself
+enters no score. Thresholds become 0.5 in the score. The driver holds the model, whose size ``ROWS``
+fixes, never rows. Sums are of integers and groups go by hash, so no order of rows decides.
 
 Null text counts as empty. A text without words has the score of all answers zero.
 Repeated rows get equal scores; rows with null or clashing columns need none of them.
@@ -22,15 +25,21 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from routescope.llm.labelled import BUCKETS, buckets, class_rows, class_weights, gathered, hashed_rows, labelled, scored, sigmoid
+from routescope.llm.labelled import BUCKETS, buckets, every_labelled, scored, sigmoid
 from routescope.llm.words import ALNUM, Words, arrow_rows, mix
+from routescope.session import ship_package
+from routescope.sources.landing import fresh_folder, removed
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DEPTH = 8
-PER_CLASS = 3000
-MAX_WORDS = 8_000_000
+PER_CLASS = 4096
+ROUNDS = 3
+STEP = 8  # rows whose gradients are added before the weights move
+SCALE = 1 << 20  # changes are summed as multiples of its inverse
+GRID = 1024
 STEMS = ((4, 1 << 16), (6, 1 << 18))  # bytes at the start of a word, buckets for them
 ROWS = BUCKETS + sum(n for _, n in STEMS)
 
@@ -99,122 +108,267 @@ class Model:
         return np.round(sigmoid(self.logits(ids, first) - self.thresholds[self.languages(ids, first)]), 6)
 
 
-def train(
-    rows: list[tuple[int, str | None, np.ndarray, np.ndarray]], epochs: int = 3, rate: float = 0.1, whole: tuple[int, int] | None = None
-) -> Model:
-    """Stochastic gradients with per-weight rates, one row at a time; seeded. Both classes teach
-    alike; thresholds weigh them as they occur among the rows counted in ``whole``."""
-    labels = np.array([r[0] for r in rows], int)
-    base, weigh = class_weights(labels, whole)
-    if len(np.unique(labels)) < 2:
-        return Model(base)
-    sampled = float(labels.mean())
+class Walk:
+    """Weights moved by stochastic gradients with per-weight rates, some rows at a time."""
+
+    def __init__(self, start: Model, rate: float, weigh: np.ndarray):
+        self.start, self.rate, self.weigh = start, rate, weigh
+        self.embedding = start.embedding.copy()
+        self.small = [x.copy() for x in _small(start)]  # filters and biases by width, answers, offset
+        self.g_e = np.full_like(self.embedding, 1e-2)
+        self.g_small = [np.full_like(x, 1e-2) for x in self.small]
+        self.touched = np.zeros(ROWS, bool)
+
+    def step(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> None:
+        full = np.diff(first) > 0
+        if not full.any():
+            return
+        starts, ends, y = first[:-1][full], first[1:][full], y[full]
+        n, k = len(ids), len(WIDTHS)
+        owner = np.repeat(np.arange(len(y)), ends - starts)
+        e = self.embedding[ids].sum(axis=1)
+        filters, bias, (out, offset) = self.small[:k], self.small[k : 2 * k], self.small[2 * k :]
+        best, where = [], []
+        for width, f, b in zip(WIDTHS, filters, bias):
+            answer = e @ f[0]
+            for j in range(1, min(width, n)):
+                part = e[j:] @ f[j]
+                part[owner[j:] != owner[: n - j]] = 0
+                answer[: n - j] += part
+            top = np.maximum.reduceat(answer, starts, axis=0)
+            where.append(np.minimum.reduceat(np.where(answer == top[owner], np.arange(n)[:, None], n), starts, axis=0))
+            best.append(top + b)
+        raw = np.concatenate(best, axis=1)
+        pool = np.maximum(raw, 0)
+        slope = (self.weigh[y] * (sigmoid(pool @ out + offset[0]) - y)).astype(np.float32)
+        back = slope[:, None] * out * (raw > 0)
+        change = [np.zeros_like(x) for x in self.small]
+        change[-2], change[-1] = slope @ pool, slope.sum(keepdims=True)
+        at, to = [], []
+        for i, width in enumerate(WIDTHS):
+            d = back[:, i * FILTERS : (i + 1) * FILTERS]
+            change[k + i] = d.sum(axis=0)
+            for j in range(width):
+                inside = where[i] + j < ends[:, None]
+                spot, own = np.where(inside, where[i] + j, 0), d * inside
+                change[i][j] = np.einsum("rfd,rf->df", e[spot], own)
+                moved = own != 0
+                at.append(ids[spot[moved]])
+                to.append((own[:, :, None] * filters[i][j].T)[moved])
+        at, to = np.concatenate(at).ravel(), np.repeat(np.concatenate(to), 1 + len(STEMS), axis=0)
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            row, begin = np.unique(at[order], return_index=True)
+            total = np.add.reduceat(to[order], begin, axis=0)
+            self.g_e[row] += total**2
+            self.embedding[row] -= self.rate * total / np.sqrt(self.g_e[row])
+            self.touched[row] = True
+        for x, g, by in zip(self.small, self.g_small, change):
+            g += by**2
+            x -= self.rate * by / np.sqrt(g)
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the embedding that moved, and by how much; the small weights follow as rows from ``ROWS`` on."""
+        row = np.flatnonzero(self.touched)
+        flat = _flat(self.small) - _flat(_small(self.start))
+        delta = np.concatenate([self.embedding[row] - self.start.embedding[row], flat])
+        return np.concatenate([row, ROWS + np.arange(len(flat))]).astype(np.int32), np.rint(np.clip(delta, -1000, 1000) * SCALE).astype(np.int32)
+
+
+def _small(m: Model) -> list[np.ndarray]:
+    return [*m.filters, *m.bias, m.out, np.array([m.offset], np.float32)]
+
+
+def _flat(parts: list[np.ndarray]) -> np.ndarray:
+    flat = np.concatenate([x.ravel() for x in parts])
+    return np.concatenate([flat, np.zeros(-len(flat) % DEPTH, np.float32)]).reshape(-1, DEPTH)
+
+
+def _moved(m: Model, row: np.ndarray, delta: np.ndarray) -> Model:
+    """The model after mean changes of its rows."""
+    inside = row < ROWS
+    embedding = m.embedding.copy()
+    embedding[row[inside]] += delta[inside]
+    small = _small(m)
+    flat = _flat(small)
+    flat[row[~inside] - ROWS] += delta[~inside]
+    flat, parts = flat.ravel(), []
+    for x in small:
+        parts.append(flat[: x.size].reshape(x.shape))
+        flat = flat[x.size :]
+    k = len(WIDTHS)
+    return Model(m.base, embedding, parts[:k], parts[k : 2 * k], parts[-2], float(parts[-1][0]))
+
+
+def _words(batch: pa.RecordBatch):
+    """Embedding rows, first words and the place in the batch of its rows, some at a time."""
+    for lo, hi, w in arrow_rows(batch.column("text"), ALNUM, 1 << 20):
+        yield lo, hi, word_and_stems(w), w.first
+
+
+def _counted(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each label that hold a bucket, and words of each language in it, over all of ``rows``."""
+    place = {name: i for i, name in enumerate(names)}
+
+    def run(batches):
+        seen = np.zeros((2, ROWS), np.int64)
+        spoken = np.zeros((max(1, len(names)), BUCKETS), np.int64)
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            lang = [place.get(x, -1) for x in batch.column("lang").to_pylist()]
+            for lo, hi, ids, first in _words(batch):
+                for i in range(lo, hi):
+                    own = ids[first[i - lo] : first[i - lo + 1]]
+                    seen[y[i], np.unique(own)] += 1
+                    if lang[i] >= 0:
+                        np.add.at(spoken[lang[i]], own[:, 0], 1)
+        for kind, table in enumerate((seen, spoken)):
+            of, row = np.nonzero(table)
+            for a in range(0, len(of), 1 << 16):
+                b = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(of[b]), kind, np.int32)), pa.array(of[b].astype(np.int32)), pa.array(row[b].astype(np.int32)), pa.array(table[of[b], row[b]])],
+                    ["kind", "of", "row", "n"])
+
+    got = rows.select("y", "lang", "text").mapInArrow(run, "kind int, of int, row int, n bigint").groupBy("kind", "of", "row").agg(F.sum("n").alias("n"))
+    got = {k: v.to_numpy() for k, v in zip(("kind", "of", "row", "n"), got.toArrow().columns)}
+    seen, spoken = np.zeros((2, ROWS), np.int64), np.zeros((max(1, len(names)), BUCKETS), np.int64)
+    for kind, table in enumerate((seen, spoken)):
+        own = got["kind"] == kind
+        table[got["of"][own], got["row"][own]] = got["n"][own]
+    return seen, spoken
+
+
+def _begun(base: float, seen: np.ndarray, size: np.ndarray) -> Model:
     rng = np.random.default_rng(7)
-    rows = [(y, lang, ids.reshape(-1, 1 + len(STEMS)), more) for y, lang, ids, more in rows]
-    held = np.arange(len(rows)) % 5 == 4
-    trained = np.flatnonzero(~held) if len(np.unique(labels[~held])) == 2 else np.arange(len(rows))
-
-    seen = np.zeros((2, ROWS), np.float64)
-    size = np.zeros(2)
-    for i in trained:
-        seen[labels[i], np.unique(rows[i][2])] += 1
-        size[labels[i]] += 1
-    odds = np.log((seen[1] + 2) / (size[1] + 4)) - np.log((seen[0] + 2) / (size[0] + 4))
-    odds[seen.sum(axis=0) == 0] = 0
     embedding = rng.normal(0, 0.02, (ROWS, DEPTH)).astype(np.float32)
-    embedding[:, 0] = odds
+    embedding[:, 0] = np.log((seen[1] + 2) / (size[1] + 4)) - np.log((seen[0] + 2) / (size[0] + 4))
+    embedding[seen.sum(axis=0) == 0] = 0
     filters = [rng.normal(0, 0.3, (w, DEPTH, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0, :] = np.abs(f[:, 0, :])
-    bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out = rng.normal(0.3, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
-    offset = 0.0
-    g_e = np.full((ROWS, DEPTH), 1e-2, np.float32)
-    g_f = [np.full_like(f, 1e-2) for f in filters]
-    g_b = [np.full_like(b, 1e-2) for b in bias]
-    g_o, g_c = np.full_like(out, 1e-2), 1e-2
-    for _ in range(epochs):
-        for i in rng.permutation(trained):
-            y, _, ids, _ = rows[i]
-            if not len(ids):
-                continue
-            weight = 0.5 / (sampled if y else 1 - sampled)
-            e = embedding[ids].sum(axis=1)
-            best, where = [], []
-            for width, f, b in zip(WIDTHS, filters, bias):
-                n = len(ids)
-                answer = e @ f[0]
-                for j in range(1, min(width, n)):
-                    answer[: n - j] += e[j:] @ f[j]
-                at = answer.argmax(axis=0)
-                best.append(answer[at, np.arange(FILTERS)] + b)
-                where.append(at)
-            raw = np.concatenate(best)
-            pool = np.maximum(raw, 0)
-            slope = weight * (float(sigmoid(np.float64(pool @ out + offset))) - y)
-            back = slope * out * (raw > 0)
-            g_o += (slope * pool) ** 2
-            out -= rate * slope * pool / np.sqrt(g_o)
-            g_c += slope * slope
-            offset -= rate * slope / np.sqrt(g_c)
-            for k, width in enumerate(WIDTHS):
-                d = back[k * FILTERS : (k + 1) * FILTERS]
-                g_b[k] += d * d
-                bias[k] -= rate * d / np.sqrt(g_b[k])
-                for j in range(min(width, len(ids))):
-                    spot = where[k] + j
-                    ok = spot < len(ids)
-                    at = ids[spot[ok]].ravel()
-                    to_f = e[spot[ok]].T * d[ok]
-                    to_e = np.repeat((filters[k][j][:, ok] * d[ok]).T, 1 + len(STEMS), axis=0)
-                    g_f[k][j][:, ok] += to_f**2
-                    filters[k][j][:, ok] -= rate * to_f / np.sqrt(g_f[k][j][:, ok])
-                    np.add.at(g_e, at, to_e**2)
-                    np.subtract.at(embedding, at, rate * to_e / np.sqrt(g_e[at]))
-    embedding[seen.sum(axis=0) == 0] = 0
+    return Model(base, embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], out)
 
-    names = sorted({r[1] for r in rows if r[1]})
-    frequency = np.full((BUCKETS, max(1, len(names))), 0.1)
-    for i in trained:
-        if rows[i][1]:
-            np.add.at(frequency[:, names.index(rows[i][1])], rows[i][2][:, 0], 1)
-    by_language = np.log(frequency / frequency.sum(axis=0)).astype(np.float32)
-    model = Model(base, embedding, filters, bias, out, float(offset), by_language, np.zeros(frequency.shape[1]))
-    check = np.flatnonzero(held)
-    values, lang = [], []
-    for i in check:
-        first = np.array([0, len(rows[i][2])])
-        values.append(model.logits(rows[i][2], first)[0])
-        lang.append(model.languages(rows[i][2], first)[0])
-    values, lang = np.array(values), np.array(lang, int)
-    everywhere = _threshold(values, labels[check], weigh=weigh)
-    for k in range(frequency.shape[1]):
-        own = lang == k
-        model.thresholds[k] = _threshold(values[own], labels[check][own], everywhere, weigh=weigh)
-    return model
+
+def _round(rows: DataFrame, model: Model, rate: float, weigh: np.ndarray) -> Model:
+    """The model after every group walked through its rows; a row of the embedding moves by the mean of the groups that moved it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        walk, part = None, None
+        for batch in batches:
+            parts, y = batch.column("part").to_numpy(), batch.column("y").to_numpy()
+            for lo, hi, ids, first in _words(batch):
+                edges = [lo, *(lo + 1 + np.flatnonzero(np.diff(parts[lo:hi]))), hi]
+                for a, b in zip(edges[:-1], edges[1:]):
+                    if a < b and parts[a] != part:
+                        if walk is not None:
+                            yield from _change_rows(walk)
+                            walk = None
+                        walk, part = Walk(shared.value, rate, weigh), parts[a]
+                    for at in range(a, b, STEP):
+                        to = min(at + STEP, b)
+                        begin, end = first[at - lo], first[to - lo]
+                        walk.step(ids[begin:end], first[at - lo : to - lo + 1] - begin, y[at:to])
+        if walk is not None:
+            yield from _change_rows(walk)
+
+    moved = rows.select("part", "y", "text").mapInArrow(run, "row int, " + ", ".join(f"d{i} int" for i in range(DEPTH)))
+    mean = moved.groupBy("row").agg(*[(F.sum(f"d{i}") / F.count("*") / SCALE).alias(f"d{i}") for i in range(DEPTH)])
+    got = mean.toArrow()
+    shared.unpersist()
+    return _moved(model, got.column("row").to_numpy(), np.column_stack([got.column(f"d{i}").to_numpy() for i in range(DEPTH)]).astype(np.float32))
+
+
+def _change_rows(walk: Walk):
+    row, delta = walk.changes()
+    for a in range(0, len(row), 1 << 16):
+        b = slice(a, a + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(row[b]), *[pa.array(np.ascontiguousarray(delta[b, i])) for i in range(DEPTH)]], ["row", *[f"d{i}" for i in range(DEPTH)]])
+
+
+def _thresholds(rows: DataFrame, model: Model) -> np.ndarray:
+    """Per guessed language the cut with fewest errors among all of ``rows``, by counts of answers on a grid."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, ids, first in _words(batch):
+                value = np.rint(np.clip(shared.value.logits(ids, first), -100, 100) * GRID).astype(np.int32)
+                guess = shared.value.languages(ids, first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("y").slice(lo, hi - lo), pa.array(guess), pa.array(value)], ["y", "guess", "value"])
+
+    got = rows.select("y", "text").mapInArrow(run, "y int, guess int, value int").groupBy("y", "guess", "value").count()
+    got = got.orderBy("guess", "value", "y").toArrow()
+    shared.unpersist()
+    y, guess, value, n = (got.column(k).to_numpy() for k in ("y", "guess", "value", "count"))
+    value = value / GRID
+    everywhere = _threshold(value, y, counts=n)
+    out = np.zeros(model.by_language.shape[1])
+    for k in range(len(out)):
+        own = guess == k
+        out[k] = _threshold(value[own], y[own], everywhere, counts=n[own])
+    return out
 
 
 def _threshold(
-    values: np.ndarray, labels: np.ndarray, otherwise: float = 0.0, least: int = 20, weigh: np.ndarray | tuple[float, float] = (1.0, 1.0)
+    values: np.ndarray, labels: np.ndarray, otherwise: float = 0.0, least: int = 20, weigh: np.ndarray | tuple[float, float] = (1.0, 1.0),
+    counts: np.ndarray | None = None,
 ) -> float:
-    """Middle of the widest cut with fewest errors, a row of each class counting as ``weigh`` says;
-    ``otherwise`` with few rows of a class."""
-    if min(labels.sum(), (1 - labels).sum()) < least:
+    """Middle of the widest cut with fewest errors, a row of each class counting as ``weigh`` says and
+    standing for ``counts`` like it; ``otherwise`` with few rows of a class."""
+    counts = np.ones(len(labels), np.int64) if counts is None else counts
+    if min((labels * counts).sum(), ((1 - labels) * counts).sum()) < least:
         return otherwise
-    order = np.argsort(values)
-    v, y = values[order], labels[order]
-    missed = np.concatenate([[0], np.cumsum(y)])
-    false = np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    order = np.argsort(values, kind="stable")
+    v, y, n = values[order], labels[order], counts[order]
+    missed = np.concatenate([[0], np.cumsum(y * n)])
+    false = np.concatenate([np.cumsum(((1 - y) * n)[::-1])[::-1], [0]])
     errors = weigh[1] * missed + weigh[0] * false
     cuts = np.flatnonzero(errors[1:-1] <= errors[1:-1].min() + 1e-9 * max(1.0, errors.max())) + 1  # sums of weights may differ by rounding
     best = max(cuts, key=lambda c: v[c] - v[c - 1])
     return float((v[best] + v[best - 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model:
-    """A model from the rows of ``labels`` (doc_id, toxic) for which ``usable`` holds."""
-    rows = hashed_rows(labelled(docs, labels, "toxic", per_class, usable), word_and_stems)
-    return train(gathered(rows, max_words, 1 + len(STEMS)), whole=class_rows(docs, labels, "toxic", usable))
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = PER_CLASS, rate: float = 0.1) -> Model:
+    """A model from all rows of ``docs`` whose label in ``labels`` (doc_id, toxic) is known and ``usable``.
+
+    ``per_class`` is half the number of rows a group walks through from one start; it bounds no more than that. The rows
+    are stored once, by group, while the model is made."""
+    spark = docs.sparkSession
+    folder = fresh_folder(spark, "labelled")
+    ship_package(spark)
+    groups = int(max(1, -(-labels.count() // (2 * per_class)), docs.count() >> 16))
+    rows = every_labelled(docs, labels, "toxic", usable, groups)
+    part = F.pmod(F.hash("doc_id"), F.lit(groups))  # as rows lie already
+    mixed = lambda seed: F.xxhash64("doc_id", "text", F.lit(seed))
+    placed = rows.select("y", "lang", "text", "doc_id", (F.pmod(mixed(1), F.lit(5)) == 4).alias("held"), part.alias("part"), mixed(2).alias("mix"))
+    placed = placed.sortWithinPartitions("part", "mix", "doc_id", "text", "lang").drop("mix", "doc_id")
+    placed.write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(placed.schema).parquet(folder)
+    size = np.zeros((2, 2), np.int64)  # by held and label
+    for r in rows.groupBy("held", "y").count().collect():
+        size[int(r["held"]), r["y"]] = r["count"]
+    total = size.sum(axis=0)
+    base = float(total[1] / max(1, total.sum()))
+    if not total.all():
+        removed(spark, folder)
+        return Model(base)
+    trained = rows.where("not held") if size[0].all() else rows
+    counts = size[0] if size[0].all() else total
+    names = sorted(r["lang"] for r in rows.where("lang <> ''").select("lang").distinct().collect())
+    seen, spoken = _counted(trained, names)
+    model = _begun(base, seen, counts)
+    weigh = 0.5 * counts.sum() / counts
+    for turn in range(ROUNDS):
+        model = _round(trained, model, rate / (1 + turn), weigh)
+    model.embedding[seen.sum(axis=0) == 0] = 0
+    frequency = spoken.T + 0.1
+    model.by_language = np.log(frequency / frequency.sum(axis=0)).astype(np.float32)
+    model.thresholds = _thresholds(rows.where("held"), model)
+    removed(spark, folder)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], column: str = "score") -> DataFrame:

@@ -18,6 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from routescope.llm import chat, dartminhash, decontaminate, factors, forest, idfiles, languages, secretscan, toxicity, wfst  # noqa: E402
 from routescope.llm.labelled import gathered, hashed_rows  # noqa: E402
+from routescope.llm.words import ALNUM, arrow_rows  # noqa: E402
 from routescope.llm.words import SPACED, Words, bytes_of, shingles  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string"
@@ -383,3 +384,22 @@ def test_contracts_of_the_queries(spark, tmp_path):
     both = f"user\n{CONTROL}\nassistant\n{CONTROL}\n"
     assert got[-1]["turns_sha256"] == hashlib.sha256(both.encode()).hexdigest() and got[-1]["loss_sha256"] == hashlib.sha256(CONTROL.encode()).hexdigest()
     assert got[-1]["loss_chars"] == len(CONTROL)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A sign on few rows counts, wherever they stand; files and groups lose none."""
+    sign = lambda i: " foul" if i % 4 == 0 and i % 40 else " vile" if i % 40 == 0 else ""
+    rows = docs(spark, [(i, prose(i, 20) + sign(i), "en") for i in range(1200)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id bigint, toxic int")
+    model = toxicity.fit(rows, labels, per_class=100)
+    probes = docs(spark, [(i, prose(5000 + i, 20) + (" vile" if i % 2 else ""), "en") for i in range(40)])
+    got = toxicity.score(probes, model, ["doc_id"]).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+    again = toxicity.fit(rows.repartition(7), labels, per_class=100)
+    assert (again.embedding == model.embedding).all() and (again.thresholds == model.thresholds).all()
+    every = rows.join(labels.withColumnRenamed("toxic", "y"), "doc_id")
+    seen, spoken = toxicity._counted(every.select("y", "lang", "text"), ["en"])
+    texts = pa.array([r["text"] for r in every.select("text").collect()])
+    assert spoken.sum() == sum(len(w.hashes) for _, _, w in arrow_rows(texts, ALNUM))
+    _, _, word = next(iter(arrow_rows(pa.array(["vile"]), ALNUM)))
+    assert seen[:, toxicity.word_and_stems(word)[0, 0]].tolist() == [0, 30]
