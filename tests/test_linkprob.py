@@ -50,6 +50,20 @@ def test_core(spark, rows):
         assert set(rows(L.core_links(counted(spark, paths)))) == peel(paths)
 
 
+def test_core_rounds_carry_meetings_once(spark, rows, monkeypatch):
+    """A round hands meetings on by one shuffle, without joins or checkpoints of whole rows; long chains peel link by link."""
+    ring = {tuple(str(100 + (i + k) % 6) for k in range(4)): 1 for i in range(6)}
+    tail = {tuple(str(100 + i + k) for k in range(3)): 1 for i in range(5, 14)}
+    paths = ring | tail | {("a", "b", "a"): 2, ("100", "101", "102"): 1, ("102", "101", "100"): 1}
+    frame = counted(spark, paths)
+    met = rows(L.meetings(frame))
+    want = {m for p in paths for u, v, w in zip(p, p[1:], p[2:]) for m in ((u, v, w), (w, v, u))}
+    assert len(met) == len(want) and set(met) == want
+    monkeypatch.setattr(L, "cut_lineage", None)
+    assert set(rows(L.core_links(frame))) == peel(paths) != set()
+    assert rows(L.core_links(frame.where("false"))) == []
+
+
 def _core_cut(p, core):
     flags = [key(a, b) in core for a, b in zip(p, p[1:])]
     if True not in flags:
