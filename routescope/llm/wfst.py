@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from routescope.llm.words import slices
 from routescope.session import ship_package
@@ -36,6 +37,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types o
 UNIGRAM, BPE = 1, 2  # model types of the format
 KEPT = 300_000  # words, units and pairs of pieces remembered by a task, of each
 INFINITE = float("inf")
+SLICE = 1 << 20  # bytes of text that a task encodes before it hands on their ids
 LONG_UNIT = 64  # characters; longer ones aren't remembered
 
 
@@ -275,7 +277,9 @@ def encode(docs: DataFrame, transducer: Transducer, keep: list[str]) -> DataFram
     whether decoding the ids gives the text back."""
     added = {"ids": "array<int>", "n_bytes": "bigint", "exact": "boolean"}
     schema = docs.select(*keep, *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()]).schema
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    # a text that is kept anyway is sent to Python once
+    source = "text" if "text" in keep and schema["text"].dataType == StringType() else "__text"
+    rows = docs.select(*keep, *([] if source == "text" else [F.coalesce("text", F.lit("")).alias("__text")]))
     shared = docs.sparkSession.sparkContext.broadcast(transducer)  # as large as the model file
 
     def run(batches):
@@ -283,12 +287,12 @@ def encode(docs: DataFrame, transducer: Transducer, keep: list[str]) -> DataFram
         fallback = np.zeros(len(t.texts), bool)
         fallback[t.bytes_at] = True
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.schema.get_field_index(source))
             kept = [c for c, name in zip(batch.columns, batch.schema.names) if name != "__text"]
-            for lo, hi in slices(texts):
-                some = [t.encode(x) for x in texts.slice(lo, hi - lo).to_pylist()]
-                back = [t.decode(ids) for ids in some]
-                exact = [b == x.replace(SPACE, " ") for b, x in zip(back, texts.slice(lo, hi - lo).to_pylist())]
+            for lo, hi in slices(texts, SLICE):
+                strings = [x or "" for x in texts.slice(lo, hi - lo).to_pylist()]
+                some = [t.encode(x) for x in strings]
+                exact = [t.decode(ids) == x.replace(SPACE, " ") for ids, x in zip(some, strings)]
                 at = np.concatenate([[0], np.cumsum([len(i) for i in some])]).astype(np.int32)
                 ids = np.concatenate([np.zeros(0, np.int32), *some])
                 n_bytes = np.diff(np.concatenate([[0], np.cumsum(fallback[ids])])[at]) if len(ids) else np.zeros(hi - lo, np.int64)

@@ -16,6 +16,7 @@ import corpus_pipeline
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from routescope.llm.queries import vocabulary  # noqa: E402
 from routescope.llm import chat, dartminhash, decontaminate, factors, forest, idfiles, languages, secretscan, toxicity, wfst  # noqa: E402
 from routescope.llm.labelled import gathered, hashed_rows  # noqa: E402
 from routescope.llm.words import ALNUM, arrow_rows  # noqa: E402
@@ -164,6 +165,16 @@ def test_pieces_equal_the_library(spark):
     assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(texts))
 
 
+def test_a_kept_text_is_sent_once(spark):
+    frame = spark.createDataFrame([(1, "one two  three"), (2, None), (3, ""), (4, "x" * 9)], "doc_id bigint, text string")
+    t = wfst.compiled(vocabulary("piece_bpe_32k.model"))
+    whole = wfst.encode(frame, t, frame.columns)
+    assert "__text" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: (r["text"], r["ids"], r["exact"]) for r in whole.collect()}
+    assert got[2] == (None, [], True) and got[3] == ("", [], True)
+    assert {k: v[1] for k, v in got.items()} == {r["doc_id"]: r["ids"] for r in wfst.encode(frame, t, ["doc_id"]).collect()}
+
+
 def test_unigram_weights_decide_alone():
     t = wfst.Transducer(wfst.UNIGRAM, {"ab": 1, "a": 2, "b": 3, "bc": 4}, {"ab": 1.0, "a": 0.4, "b": 0.5, "bc": 0.3}, [], 0, [], False, False, longest=2, unseen=11.0)
     assert t.path("abc") == ["a", "bc"] and t.path("ab") == ["a", "b"] and t.path("z") == ["z"]
