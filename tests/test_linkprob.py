@@ -207,3 +207,34 @@ def test_the_twin_samples_one_by_one():
     start = [dict(zip(("as1", "as2", "rel"), r)) for r in con.execute(with_views("SELECT as1, as2, rel FROM rel0")).fetchall()]
     got = con.execute(with_views(f"SELECT * FROM ({q_leak.gibbs_twin(20)})")).fetchall()
     assert {(a, b): [round(20 * x) for x in shares] for a, b, *shares in got} == one_by_one(ctx, start, 20)
+
+
+def _plain_facts(path, core):
+    return [(i, key(a, b) in core, a == min(a, b), core.get(key(a, b))) for i, (a, b) in enumerate(zip(path, path[1:]))]
+
+
+def test_paths_meet_links_by_their_ids(spark):
+    paths = [("a", "b", "c", "d"), ("d", "c", "x"), ("q", "r"), ("b", "a", "b"), ("z",)]
+    core = {("a", "b"): 0.9, ("c", "d"): 0.2}
+    frame = spark.createDataFrame([(*k, v) for k, v in core.items()], "as1 string, as2 string, p2c double")
+    flagged = L._flagged(spark.createDataFrame([(list(p), 2) for p in paths], "path array<string>, n bigint"), frame, ["p2c"])
+    got = {tuple(r["path"]): [tuple(f) for f in r["facts"]] for r in flagged.collect()}
+    assert got == {p: _plain_facts(p, core) for p in paths if len(p) > 1}
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert lists and not any("path#" in line for line in lists)  # paths aren't grouped link by link
+
+
+def test_trimming_against_a_plain_rewrite(spark):
+    paths = {("a", "b", "c", "d", "e"): 1, ("e", "d", "c"): 2, ("b", None, "c", "d"): 3, ("a", "b", "b"): 4, ("k", "l"): 5, ("l", "k", "m"): 6}
+    sure = {("d", "e"), ("b", "a"), ("d", "c"), ("l", "k"), ("b", None), ("m", "k"), ("k", "m")}
+    want = {}
+    for p, n in paths.items():
+        ends = [(i, a, b) for i, (a, b) in enumerate(zip(p, p[1:])) if a is not None and b is not None]
+        left = max([i + 1 for i, a, b in ends if (b, a) in sure], default=0)
+        right = min([i for i, a, b in ends if (a, b) in sure], default=len(p) - 1)
+        if right > left:
+            want[p[left : right + 1]] = want.get(p[left : right + 1], 0) + n
+    pieces = spark.createDataFrame([(list(p), n) for p, n in paths.items()], "path array<string>, n bigint")
+    got = L._trimmed(pieces, spark.createDataFrame(list(sure), "as1 string, as2 string"))
+    assert {tuple(r["path"]): r["n"] for r in got.collect()} == want
