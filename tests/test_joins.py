@@ -127,3 +127,18 @@ def test_verdicts_as_of_asked_times(spark):
     assert got == {
         ("1", 0, 0): ("7d_window", 1, 1), ("1", 1, 8 * day): ("7d_window", 2, 3), ("1", 8, None): ("single_day", 1, 2),
         ("1", 8, 100 * day): ("single_day", 1, 2), ("9", 8, 8 * day + 1): ("7d_window", 0, 3), ("1", 50, 100 * day): ("insufficient", 0, 0)}
+
+
+def test_related_hops_against_all_pairs(spark):
+    paths = [["1", "2", "3"], ["3", "1", "1"], ["1", None, "2"], ["1", "2"], ["7"], [], ["2", "1", "2"], ["4", "5"], ["1", "2", "3"]]
+    edges = [("1", "2"), ("3", "2"), ("2", "3"), ("5", "5"), ("4", None)]
+    tied = {frozenset(e) for e in edges if None not in e and e[0] != e[1]}
+    want = {(tuple(p), a) for p in paths for a in p for b in p if frozenset((a, b)) in tied}
+    r = links.related_to_path(
+        spark.createDataFrame([(p,) for p in paths], "hops array<string>"), spark.createDataFrame(edges, "as1 string, as2 string")
+    )
+    got = [(tuple(x["hops"]), x["asn"]) for x in r.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = r._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+    assert "hops#" not in plan[at + 1].split("filter(")[0]  # pairs travel under the path's id
