@@ -224,21 +224,22 @@ add_view(
 )
 
 
-def docs(spark, d):
+def received(spark, d):
     u = A.updates(spark, d)
-    return D.build(u.unionByName(u.where("seq % 10 = 0")))  # some messages arrive twice
+    return u.unionByName(u.where("seq % 10 = 0"))  # some messages arrive twice
+
+
+def docs(spark, d):
+    return D.build(received(spark, d))
 
 
 def stored_docs(spark, d):
     """The documents as written, by date."""
-    return landed(spark, d, "documents_by_date", lambda spark, d: docs(spark, d).repartitionByRange("timestamp", "_id"), ("date",))
+    return landed(spark, d, "documents_by_date", lambda spark, d: D.build_by_time(received(spark, d)), ("date",))
 
 
 def stored_index(spark, d):
-    def build(spark, d):
-        return D.postings(stored_docs(spark, d)).repartitionByRange("date", "kind", "key", "_id").sortWithinPartitions("date", "kind", "key")
-
-    return landed(spark, d, "postings_by_date", build, ("date",))
+    return landed(spark, d, "postings_by_date", lambda spark, d: D.sorted_postings(stored_docs(spark, d)), ("date",))
 
 
 @query(

@@ -11,28 +11,48 @@ from routescope.functions import paths as P
 from routescope.functions import times as T
 
 
-def build(updates: DataFrame, file_source: str | None = None) -> DataFrame:
-    """Documents with path and pair arrays; messages of equal id become one.
+OPTIONAL = ("next_hop", "local_pref", "med", "communities")
 
-    The id is the MD5 of ``timestamp|peer_as|prefix|as_path``.
-    """
+
+def _messages(updates: DataFrame) -> DataFrame:
+    """Messages with the digest that becomes their id, before paths are taken apart."""
     blank = F.lit("")
     peer = F.coalesce(F.col("peer_as").cast("string"), blank)
     prefix = F.coalesce("prefix", blank)
     path = F.coalesce("as_path", blank)
-    stamp = T.text(F.col("ts"))
-    pairs = F.transform(
-        P.adjacent_pairs(P.parse_path(path)), lambda p: F.concat_ws("-", p["as1"], p["as2"])
+    return updates.select(
+        F.unhex(F.md5(F.concat_ws("|", T.text(F.col("ts")), peer, prefix, path))).alias("_id"),
+        "ts", "aw", "peer_ip", peer.alias("peer_as"), prefix.alias("prefix"), path.alias("as_path"), "origin_as",
+        *[n for n in OPTIONAL if n in updates.columns],
     )
-    optional = [n for n in ("next_hop", "local_pref", "med", "communities") if n in updates.columns]
-    docs = updates.select(
-        F.md5(F.concat_ws("|", stamp, peer, prefix, path)).alias("_id"),
-        F.col("ts").alias("timestamp"), F.col("aw").alias("type"), "peer_ip", peer.alias("peer_as"),
-        prefix.alias("prefix"), path.alias("as_path"), P.parse_path(path).alias("as_path_array"), pairs.alias("as_pairs"),
-        F.coalesce("origin_as", blank).alias("origin"), *optional,
+
+
+def _documents(messages: DataFrame, file_source: str | None) -> DataFrame:
+    hops = P.parse_path(F.col("as_path"))
+    pairs = F.transform(P.adjacent_pairs(hops), lambda p: F.concat_ws("-", p["as1"], p["as2"]))
+    return messages.select(
+        F.lower(F.hex("_id")).alias("_id"),
+        F.col("ts").alias("timestamp"), F.col("aw").alias("type"), "peer_ip", "peer_as", "prefix", "as_path",
+        hops.alias("as_path_array"), pairs.alias("as_pairs"),
+        F.coalesce("origin_as", F.lit("")).alias("origin"), *[n for n in OPTIONAL if n in messages.columns],
         F.lit(file_source).alias("file_source"), F.col("ts").cast("date").alias("date"),
     )
-    return docs.dropDuplicates(["_id"])
+
+
+def build(updates: DataFrame, file_source: str | None = None) -> DataFrame:
+    """Documents with path and pair arrays; messages of equal id become one.
+
+    The id is the MD5 of ``timestamp|peer_as|prefix|as_path``. Paths are taken apart after the shuffle.
+    """
+    return _documents(_messages(updates).dropDuplicates(["_id"]), file_source)
+
+
+def build_by_time(updates: DataFrame, file_source: str | None = None) -> DataFrame:
+    """``build`` with the documents ranged by time. Messages of equal id are of one second, so the
+    ranges bring them together and nothing is shuffled again to make them one."""
+    second = T.seconds(F.col("ts"))
+    ranged = _messages(updates).withColumn("_second", second).repartitionByRange("_second", "_id")
+    return _documents(ranged.dropDuplicates(["_second", "_id"]), file_source)
 
 
 def write(docs: DataFrame, path: str, mode: str = "append") -> None:
@@ -49,10 +69,20 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("date", "_id", F.explode(entries).alias("e")).select("date", "e.kind", "e.key", "_id")
 
 
+DOCS = 250_000  # documents whose postings one task sorts
+
+
+def sorted_postings(docs: DataFrame) -> DataFrame:
+    """``postings`` in ranges of a day's prefixes, sorted by date and key within each. The documents
+    are shuffled, not the many postings of each."""
+    short = docs.select("date", "_id", "prefix", "as_path_array", "as_pairs")
+    parts = docs.count() // DOCS + docs.sparkSession.sparkContext.defaultParallelism
+    return postings(short.repartitionByRange(parts, "date", "prefix", "_id")).sortWithinPartitions("date", "kind", "key")
+
+
 def write_postings(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """Postings by date; sorted by key, so that a key's rows lie together and other row groups are skipped."""
-    rows = postings(docs).repartitionByRange("date", "kind", "key", "_id").sortWithinPartitions("date", "kind", "key")
-    rows.write.mode(mode).partitionBy("date").parquet(path)
+    """Postings by date; sorted by key, so that a key's rows lie together in a file and other row groups are skipped."""
+    sorted_postings(docs).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def _days(start: str, end: str) -> Column:

@@ -142,3 +142,17 @@ def test_sql_surface(spark):
     views.register_query(spark, folder, "B5_origin_as")
     n = spark.sql("SELECT count(*) AS n FROM updates u JOIN B5_origin_as o ON o.seq = u.seq AND o.origin = u.origin_as").first()["n"]
     assert n == spark.sql("SELECT count(*) AS n FROM updates WHERE aw = 'A'").first()["n"] > 0
+
+
+def test_documents_by_time_shuffle_short_rows_once(spark):
+    twice = _updates(spark).unionByName(_updates(spark)).withColumn("peer_as", F.when(F.col("seq") % 5 > 0, F.col("peer_as")))
+    ranged = D.build_by_time(twice, "file.txt")
+    assert sorted(map(str, ranged.collect())) == sorted(map(str, D.build(twice, "file.txt").collect()))
+    plan = ranged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1
+    below = plan[plan.index("Exchange"):]
+    assert "transform(" not in below and "split(" not in below  # paths are taken apart after it
+    index = D.sorted_postings(ranged)
+    assert sorted(index.collect()) == sorted(D.postings(ranged).collect())
+    shuffled = index._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled.index("Generate explode") < shuffled.index("Repartition")  # the postings are made above the shuffle
