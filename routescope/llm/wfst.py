@@ -10,8 +10,9 @@ across a boundary depends on nothing but the two pieces beside it. Composing an
 them gives a lattice over positions, whose shortest path in the tropical semiring is the
 encoding. With unigram models the third machine accepts all, and weights alone decide.
 
-Text falls apart into units at places that no piece spans; a unit's path is found once per
-task and kept in a bounded memory. Null text counts as empty and encodes to no ids. The
+Text falls apart into units at places that no piece spans: at spaces, control characters, and
+between the characters that pieces join with letters and those that they never do. A unit's path
+is found once per task and kept in a bounded memory, whose older half is given up when it is full. Null text counts as empty and encodes to no ids. The
 escape character itself decodes to a space, as in the model's own library. Repeated rows
 encode alike. Models with a character map or user-defined pieces are refused.
 """
@@ -19,9 +20,7 @@ encode alike. Models with a character map or user-defined pieces are refused.
 from __future__ import annotations
 
 import re
-from array import array
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from routescope.session import ship_package
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 UNIGRAM, BPE = 1, 2  # model types of the format
-KEPT = 300_000  # words, units and pairs of pieces remembered by a task, of each
+KEPT = 300_000  # pairs of pieces remembered by a task, and words and units, of each
 INFINITE = float("inf")
 SLICE = 1 << 20  # bytes of text that a task encodes before it hands on their ids
 LONG_UNIT = 64  # characters; longer ones aren't remembered
@@ -82,10 +81,13 @@ class Transducer:
     turns: dict = field(default_factory=dict)  # of pieces that the merges make of their own characters
     unit: re.Pattern | None = None
     pairs: dict = field(default_factory=dict)
-    paths: dict = field(default_factory=dict)
-    words: dict = field(default_factory=dict)
+    paths: dict = field(default_factory=dict)  # ids of units
+    words: dict = field(default_factory=dict)  # ids of what follows a space, with it
+    older_paths: dict = field(default_factory=dict)
+    older_words: dict = field(default_factory=dict)
     by_words: bool = False
-    alone: re.Pattern | None = None  # characters that no piece joins with others
+    arcs: dict = field(default_factory=dict)  # by its characters in turn, under "" the pieces that begin so, the shortest first
+    codes: dict = field(default_factory=dict)  # ids of pieces as 32-bit integers
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -150,32 +152,43 @@ class Transducer:
         """With the acceptor at most one path enters a position, as the pieces before it are
         what the merges make of that prefix. So the composition is searched as it unfolds,
         longer arcs first, and a position left without a way on is not entered again."""
-        n, whole, longest, pairs = len(text), self.turns, self.longest, self.pairs
+        n, trie, known, accepts = len(text), self.arcs, self.pairs.get, self.accepts
         path: list[str] = []
-        starts, dead = [0], set()
-        at, size = 0, min(longest, n)
+        ahead: list[list[str]] = []  # arcs not tried yet, of each position on the way
+        dead: set[int] = set()
+        at = 0
         while at < n:
-            while size:
-                arc = text[at : at + size]
-                if (size == 1 or arc in whole) and at + size not in dead:
+            node = trie.get(text[at])
+            if node is None:
+                arcs = [text[at]]
+            else:
+                for c in text[at + 1 :]:
+                    further = node.get(c)
+                    if further is None:
+                        break
+                    node = further
+                arcs = [*node[""]]
+            while True:
+                while arcs:
+                    arc = arcs.pop()
+                    if dead and at + len(arc) in dead:
+                        continue
                     if not path:
                         break
-                    known = pairs.get((path[-1], arc))
-                    if known is None:
-                        known = self.accepts(path[-1], arc)
-                    if known:
+                    fits = known((path[-1], arc))
+                    if fits is None:
+                        fits = accepts(path[-1], arc)
+                    if fits:
                         break
-                size -= 1
-            if size:
-                path.append(arc)
-                at += size
-                starts.append(at)
-                size = min(longest, n - at)
-            else:
-                dead.add(at)
-                starts.pop()
-                size = len(path.pop()) - 1
-                at = starts[-1]
+                else:
+                    dead.add(at)
+                    at -= len(path.pop())
+                    arcs = ahead.pop()
+                    continue
+                break
+            path.append(arc)
+            ahead.append(arcs)
+            at += len(arc)
         return path
 
     def _cheapest(self, text: str) -> list[str]:
@@ -200,15 +213,30 @@ class Transducer:
             return [known]
         return [self.bytes_at[b] for b in piece.encode()] if self.bytes_at else [self.unknown]
 
+    def _coded(self, text: str) -> bytes:
+        """The ids of a unit as 32-bit integers."""
+        codes = self.codes.get
+        return b"".join([codes(p) or np.array(self.ids(p), "<i4").tobytes() for p in self.path(text)])
+
     def unit_ids(self, text: str) -> bytes:
-        """The ids of a unit as 32-bit integers; units after a space are remembered as words."""
+        """The ids of a unit; units after a space are remembered as words."""
+        if len(text) > LONG_UNIT:
+            return self._coded(text)
+        if text[0] == SPACE:
+            return self.words.get(text[1:]) or self._word(text[1:])
         found = self.paths.get(text)
         if found is None:
-            found = array("i", chain.from_iterable(map(self.ids, self.path(text)))).tobytes()
-            if len(text) <= LONG_UNIT and text[0] != SPACE:
-                if len(self.paths) >= KEPT:
-                    self.paths.clear()
-                self.paths[text] = found
+            found = self.older_paths.get(text) or self._coded(text)
+            if len(self.paths) >= KEPT // 2:
+                self.paths, self.older_paths = {}, self.paths
+            self.paths[text] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self.older_words.get(word) or self._coded(SPACE + word)
+        if len(self.words) >= KEPT // 2:
+            self.words, self.older_words = {}, self.words
+        self.words[word] = found
         return found
 
     def units_ids(self, text: str) -> bytes:
@@ -218,16 +246,10 @@ class Transducer:
         plain = self.by_words and self.prefix and not ("  " in text or text[:1] in ("", " ") or text[-1] == " " or SPACE in text)
         if not plain:
             return np.frombuffer(self.units_ids(self.normalise(text)), "<i4")
-        known = self.words.get  # single spaces only: every word is one unit or, with control characters, a few
-        return np.frombuffer(b"".join([known(w) or self._word_ids(w) for w in text.split(" ")]), "<i4")
-
-    def _word_ids(self, word: str) -> bytes:
-        found = self.units_ids(SPACE + word)
-        if len(word) <= LONG_UNIT and not self.alone.search(word):
-            self.words[word] = found
-            if len(self.words) >= KEPT:
-                self.words.clear()
-        return found
+        out = []
+        for word in text.split(" "):  # single spaces only: every word is one unit or a few
+            out.append(self.words.get(word) or self.units_ids(SPACE + word))
+        return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         texts = self.texts
@@ -235,6 +257,30 @@ class Transducer:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
+def arc_tree(pieces) -> dict:
+    """The pieces by their characters in turn; each node has under "" all that begin its text, and its first character."""
+    tree: dict = {}
+    for piece in sorted(pieces):  # a piece comes after those that it begins with
+        node = tree
+        for i, c in enumerate(piece):
+            node = node.setdefault(c, {"": node[""] if i else (c,)})
+        if len(piece) > 1:
+            node[""] = (*node[""], piece)
+    return tree
+
+
+def largest_joined(pieces) -> set[str]:
+    """The largest set of characters that pieces join with each other, but never with another one; spaces aside."""
+    part: dict[str, set[str]] = {}
+    for piece in pieces:
+        chars = set(piece) - {SPACE}
+        if len(chars) > 1:
+            whole = chars.union(*[part[c] for c in chars if c in part])
+            if any(part.get(c) is None or len(part[c]) < len(whole) for c in chars):
+                part.update(dict.fromkeys(whole, whole))
+    return max(part.values(), key=len, default=set())
+
+
 def compiled(model_file: str) -> Transducer:
     """The transducer of a model file, which only the driver reads."""
     with open(model_file, "rb") as f:
@@ -260,7 +306,8 @@ def compiled(model_file: str) -> Transducer:
     if kind == BPE:
         outcomes = {p: out.merged(p) for p in pieces}
         out.turns = {p: turns for p, (left, turns) in outcomes.items() if left == [p]}
-    out.alone = re.compile("[\x00-\x1f]")
+        out.arcs = arc_tree(out.turns)
+    out.codes = {p: np.array([i], "<i4").tobytes() for p, i in pieces.items()}
     spanned = {c for p in pieces if len(p) > 1 for c in p}
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         out.unit = re.compile(".+", re.S)
@@ -268,7 +315,9 @@ def compiled(model_file: str) -> Transducer:
         # no piece goes from a character to a space, or over a control character
         out.by_words = True
         alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in spanned)
-        out.unit = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        joined = "".join(map(re.escape, sorted(largest_joined(pieces) - set(map(chr, range(32))))))
+        rest = f"{SPACE}*[^{SPACE}{alone}{joined}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        out.unit = re.compile(f"{SPACE}*[{joined}]+|{rest}" if joined else rest)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import struct
 import zlib
@@ -175,6 +176,24 @@ def test_a_kept_text_is_sent_once(spark):
     assert {k: v[1] for k, v in got.items()} == {r["doc_id"]: r["ids"] for r in wfst.encode(frame, t, ["doc_id"]).collect()}
 
 
+def test_a_word_is_searched_once_whatever_mark_follows():
+    t = wfst.compiled(vocabulary("piece_bpe_32k.model"))
+    asked, path = [], t.path
+    t.path = lambda unit: asked.append(unit) or path(unit)
+    text = "Esorre Esorre, (Esorre) Esorre.\n(Esorre"
+    ids = t.encode(text)
+    assert sorted(u for u in asked if "Esorre" in u) == ["Esorre", "▁Esorre"]
+    assert ids.tolist() == [i for p in t.merged(t.normalise(text))[0] for i in t.ids(p)] and t.decode(ids) == text
+
+
+def test_units_and_searched_paths_equal_the_merges():
+    t = wfst.compiled(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice("aeinstéüß ,.'(1-\n\té日😀\x01") for _ in range(rng.randrange(1, 40)))
+        assert t.encode(text).tolist() == [i for p in t.merged(t.normalise(text))[0] for i in t.ids(p)]
+
+
 def test_unigram_weights_decide_alone():
     t = wfst.Transducer(wfst.UNIGRAM, {"ab": 1, "a": 2, "b": 3, "bc": 4}, {"ab": 1.0, "a": 0.4, "b": 0.5, "bc": 0.3}, [], 0, [], False, False, longest=2, unseen=11.0)
     assert t.path("abc") == ["a", "bc"] and t.path("ab") == ["a", "b"] and t.path("z") == ["z"]
