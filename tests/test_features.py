@@ -199,3 +199,33 @@ def test_messages_meet_targets_without_a_shuffle_of_their_own(spark, tmp_path):
     assert "Join" not in targets._jdf.queryExecution().optimizedPlan().toString()  # its true size is known
     plan = relevant_updates(u, targets, FE.FEATURE_INPUT, bucket=300)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_messages_dealt_by_bucket_give_the_same_series_in_one_shuffle(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        hops = [str(rng.randrange(1, 7)) for _ in range(4)]
+        aw = rng.choice("AAAW")
+        rows.append((i % 390, rng.randrange(0, 3000), aw, int(hops[0]), f"10.0.{rng.randrange(3)}.0/24",
+                     " ".join(hops) if aw == "A" else "", hops if aw == "A" else []))
+    u = spark.createDataFrame(rows, "seq long, s long, aw string, peer_as long, prefix string, as_path string, hops array<string>")
+    u.withColumn("ts", T.from_seconds(F.col("s"))).drop("s").write.parquet(str(tmp_path / "u"))
+    u = spark.read.parquet(str(tmp_path / "u"))
+    spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3"), ("y", "1")], "target string, asn string").write.parquet(str(tmp_path / "t"))
+    targets = spark.read.parquet(str(tmp_path / "t"))
+    assert FE.bucket_tasks(u, 300) == 1 and FE.bucket_tasks(u, 300, per_task=100) == 4
+    assert FE.bucket_tasks(u, 300, most=5) is None and FE.bucket_tasks(u.limit(0), 300) == 1
+    plain = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 300), 300)
+    dealt = FE.feature_series(relevant_updates(u, targets, FE.FEATURE_INPUT, 300, spread=4), 300)
+    show = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert show(plain) == show(dealt)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "hashpartitioning(target#" in plan and "prefix#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_the_stored_series_needs_no_stored_states(spark, tmp_path, monkeypatch):
+    from routescope.plans import q_features as Q_
+
+    monkeypatch.setattr(Q_, "landed", lambda spark, d, name, build, *rest: (name, build))
+    assert Q_.series(spark, "x") == ("feature_series", Q_._series)
